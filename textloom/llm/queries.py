@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import warc
+from textloom.llm import language_id, warc
 from textloom.llm.decontaminate import contamination
 from textloom.llm.embedding_dedup import linked
+from textloom.llm.jaccard_join import joined_documents
 from textloom.llm.line_dedup import apply_bitmaps, drop_bitmaps
 from textloom.llm.packing import pack
+from textloom.llm.quote_links import chat_text, conversations, reply_ordered
+from textloom.llm.suffix_dedup import repeated_spans
 from textloom.llm.token_counts import token_counts
 
 
@@ -22,6 +25,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joined_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = apply_bitmaps(docs, drop_bitmaps(docs))
@@ -42,6 +49,61 @@ FROM lines LEFT JOIN often ON lines.key = often.key GROUP BY doc_id
 """
 
 
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = conversations(reply_ordered(table(spark, sf_dir, "conversations")))
+    turns = F.array_join(F.transform("messages", lambda m: m.turn.cast("string")), ",")
+    return parts.select("conv_id", "part", "subpart", "n_messages", "n_quotes", "n_linked", turns.alias("turns"), chat_text().alias("chat"))
+
+
+OP4_SQL = r"""
+WITH m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
+), lines AS (
+  SELECT conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^[ \t]*(>[> \t]*)', 1) AS marks,
+    regexp_matches(ls[i], '(?i)^[ \t]*on .*wrote:[ \t]*$') AND i < len(ls) AND regexp_matches(coalesce(ls[i + 1], ''), '^[ \t]*>') AS intro
+  FROM (SELECT conv_id, turn, ls, unnest(range(1, len(ls) + 1)) AS i FROM m)
+), lev AS (
+  SELECT *, len(marks) - len(replace(marks, '>', '')) AS level FROM lines
+), bodies AS (
+  SELECT conv_id, turn, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT intro), ''), chr(10)) AS body
+  FROM lev GROUP BY conv_id, turn
+), runs AS (
+  SELECT conv_id, turn, level, line, i, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM lev
+), pas AS (
+  SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '[\s>]+', ' ', 'g'))) AS p
+  FROM runs WHERE level > 0 GROUP BY conv_id, turn, level, run
+), parts AS (
+  SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(x, '[\s>]+', ' ', 'g'))) AS p
+  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), string_split(body, chr(10)))) AS x FROM bodies)
+), hits AS (
+  SELECT pas.conv_id AS conv_id, pas.turn AS turn, level, pas.p AS p, (SELECT max(q.turn) FROM parts q WHERE q.conv_id = pas.conv_id AND q.p = pas.p AND q.turn < pas.turn) AS source
+  FROM pas WHERE p <> ''
+), links AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (1000000 - level) * 1000000000 + source) AS quoted FROM hits GROUP BY conv_id, turn
+), o AS (
+  SELECT m.conv_id AS conv_id, m.turn AS turn, coalesce(m.role, 'user') AS role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+    coalesce(quoted, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn)) AS parent
+  FROM m JOIN bodies ON m.conv_id = bodies.conv_id AND m.turn = bodies.turn LEFT JOIN links ON m.conv_id = links.conv_id AND m.turn = links.turn
+)
+SELECT conv_id, CAST(floor(coalesce(parent, -1) / 256) AS BIGINT) AS part, CAST(floor(turn / 4096) AS BIGINT) AS subpart, count(*) AS n_messages,
+  CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked,
+  string_agg(CAST(turn AS VARCHAR), ',' ORDER BY parent NULLS FIRST, turn) AS turns,
+  string_agg('<|' || role || '|>' || chr(10) || body, chr(10) ORDER BY parent NULLS FIRST, turn) AS chat
+FROM o GROUP BY 1, 2, 3
+"""
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, model, columns=["doc_id"])
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "lang_shares")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -105,5 +167,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_line_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_jaccard_join, op3_line_dedup, op4_quote_links, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
+ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_quote_links": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}
