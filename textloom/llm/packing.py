@@ -17,7 +17,9 @@ a null doc_id stays null; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from textloom.llm.common import stored
 from textloom.llm.token_counts import slices
 
-SLICE_BYTES = 4 << 20
-SEEN_WORDS = 200_000
+SLICE_BYTES = 8 << 20
+SEEN_WORDS = 300_000
+TOGETHER = 200
+MARKS = ",.;:!?"
 OPEN_WINDOWS = 64
 MERGE = 16
 
@@ -47,6 +51,7 @@ class WordEncoder:
     def __init__(self, file: str) -> None:
         import json
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -55,38 +60,73 @@ class WordEncoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = steps[0].get("type") == "Split" and steps[0].get("invert") and "\\s" in str(steps[0].get("pattern"))
         self.by_word &= not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
-        self.seen: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.ends = np.zeros(0, bool)
+        suffix = spec["model"].get("end_of_word_suffix")
+        if suffix:
+            ids = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(ids.values()) + 1, bool)
+            self.ends[[i for t, i in ids.items() if t.endswith(suffix)]] = True
+        self.marks = dict(zip(MARKS, self.encode([*MARKS]), strict=True))
+        self.seen: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, many to a call: each is one word of the tokenizer too, so its last id tells where it ends."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            own = words[at : at + TOGETHER]
+            raw = self.encode([" ".join(own)])[0]
+            last = np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1 if len(self.ends) else ()
+            if len(last) == len(own):
+                cut = [0, *(4 * last).tolist()]
+                out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            else:
+                out += self.encode(own)
+        return out
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        seen = self.seen
-        out = [seen.get(w) for w in words]
-        new = [i for i, x in enumerate(out) if x is None]
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. A mark after a letter is a word of its own to the tokenizer, so the rest is looked up without it."""
+        seen, out, new = self.seen, [], {}
+        for w in words:
+            if w.isascii() and "<|" not in w:
+                w = w.lower()
+            mark = w[-1:] if w[-1:] in MARKS and w[-2:-1].isalpha() else ""
+            w = w[:-1] if mark else w
+            out.append((w, mark))
+            if w not in seen:
+                new[w] = b""
+        letters = [w for w in new if w.isalpha()]
+        new.update(zip(letters, self.plain(letters), strict=True))
+        others = [w for w in new if not w.isalpha()]
+        new.update(zip(others, self.encode(others), strict=True))
+        found = []
+        for w, mark in out:
+            x = new[w] if w in new else seen[w]
+            found.append(x + self.marks[mark] if mark else x)
         if len(seen) + len(new) > SEEN_WORDS:
             seen.clear()
-        for i, x in zip(new, self.encode([words[i] for i in new]), strict=True):
-            out[i] = x
-            if len(words[i]) <= 32 and len(seen) < SEEN_WORDS:
-                seen[words[i]] = x
-        return out
+        for w, x in new.items():
+            if len(w) <= 32 and len(seen) < SEEN_WORDS:
+                seen[w] = x
+        return found
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's ids begin (with the end at last)."""
         if not self.by_word:
             each = self.encode(texts.to_pylist())
-            return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))
+            return np.frombuffer(b"".join(each), np.uint32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)))
         lists = pc.ascii_split_whitespace(texts)
         table = lists.flatten().dictionary_encode()
         found = self.words(table.dictionary.to_pylist())
-        size = np.array([len(x) for x in found], np.int64)
-        base = np.concatenate(([0], np.cumsum(size)))[:-1]
-        pool = np.concatenate([*found, np.zeros(0, np.uint32)])
+        size = np.fromiter(map(len, found), np.int32, len(found)) >> 2
+        base = np.cumsum(size, dtype=np.int32) - size
+        pool = np.frombuffer(b"".join(found), np.uint32)
         index = table.indices.to_numpy()
         n = size[index]
-        ends = np.cumsum(n)
-        flat = pool[np.repeat(base[index] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(n, dtype=np.int64)
+        flat = pool[np.repeat((base[index] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         of_text = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         return flat, np.concatenate(([0], ends))[of_text]
 
