@@ -1,0 +1,58 @@
+"""Overlap scores of generated texts: ROUGE-N, ROUGE-L and BLEU, as Column functions on words."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from textloom.functions.text import split_words
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """All runs of n words, as texts."""
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+
+def clipped_matches(a: Column, b: Column) -> Column:
+    """Common elements of two arrays, each as often as it is in both."""
+    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
+    return F.aggregate(F.array_distinct(a), F.lit(0).cast("long"), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+
+
+def f1(common: Column, n_a: Column, n_b: Column) -> Column:
+    return F.when((n_a == 0) | (n_b == 0) | (common == 0), F.lit(0.0)).otherwise(2 * common / (n_a + n_b))
+
+
+def rouge_n(prediction: Column, reference: Column, n: int = 1) -> Column:
+    p, r = (ngrams(split_words(F.lower(c)), n) for c in (prediction, reference))
+    return f1(clipped_matches(p, r), F.size(p), F.size(r))
+
+
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, row by row of the usual table."""
+    first = F.array_repeat(F.lit(0), F.size(b) + 1)
+
+    def row(above: Column, x: Column) -> Column:
+        step = lambda out, j: F.concat(out, F.array(F.when(F.get(b, j) == x, F.get(above, j) + 1).otherwise(F.greatest(F.get(above, j + 1), F.element_at(out, -1)))))
+        at = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(at, F.array(F.lit(0)), step)
+
+    return F.element_at(F.aggregate(a, first, row), -1)
+
+
+def rouge_l(prediction: Column, reference: Column) -> Column:
+    p, r = (split_words(F.lower(c)) for c in (prediction, reference))
+    return f1(longest_common(p, r), F.size(p), F.size(r))
+
+
+def bleu(prediction: Column, reference: Column, most: int = 4) -> Column:
+    """Geometric mean of clipped precisions, with the brevity penalty; 0 if a precision is 0."""
+    p, r = split_words(prediction), split_words(reference)
+    logs = []
+    for n in range(1, most + 1):
+        a, b = ngrams(p, n), ngrams(r, n)
+        logs.append(F.when(F.size(a) > 0, F.nullif(clipped_matches(a, b), F.lit(0).cast("long")) / F.size(a)))
+    precision = F.exp(sum((F.log(x) for x in logs), F.lit(0.0)) / most)
+    brevity = F.when(F.size(p) >= F.size(r), F.lit(1.0)).otherwise(F.exp(1 - F.size(r) / F.size(p)))
+    return F.coalesce(precision * brevity, F.lit(0.0))
