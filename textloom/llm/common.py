@@ -45,11 +45,29 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most ``BATCH_BYTES``, unless the application has set a size of its own. Spark's default allows for
+    ten thousand rows, however long their texts are; each task holds a batch on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """Partitions for so many rows with ``each`` in one."""
     return max(least, -(-rows // each))
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Dealt by the keys and sorted by them within partitions, for a function whose work isn't told by the bytes it reads: the number of
+    partitions is the session's, and stays so."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+
+
 def runs(
     batches: Iterator[pa.RecordBatch], keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 20_000
 ) -> Iterator[pa.RecordBatch]:

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import stored
+from textloom.llm.common import bounded_batches, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import Words, mix, words
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SEGMENT = 256
 PASSES = 4
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -166,6 +166,7 @@ def contamination(
     """``columns`` of the documents (all, unless given) plus n_words, hits (positions of the words inside occurrences of
     windows) and item_ids (of the items with occurring windows, as strings, in order)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     new = ["n_words", "hits", "item_ids"]
     columns = [c for c in (docs.columns if columns is None else columns) if c not in new]
     kept = [docs.schema[c] for c in columns]

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import bounded_batches
 from textloom.llm.token_counts import slices
 
 BITS = 14
@@ -30,7 +31,7 @@ FEATURES = 1 << BITS
 TRAIN_DOCS = 2000
 SMOOTHING = 0.1
 ROUNDS = 12
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LEAST_SHARE = 0.02
 MOST_LABELS = 1000
 
@@ -62,6 +63,7 @@ def held_out(doc_id: Column, remainder: int = 1, of: int = 3) -> Column:
 
 def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """The labels, in order, and the distributions of their features."""
+    bounded_batches(labelled.sparkSession)
     own = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
     own = own.where("text is not null and label is not null and id is not null")
     found = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
@@ -134,6 +136,7 @@ def infer(p: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``df`` (all, unless given) plus lang_pred, score and lang_shares (a map of the chosen languages).
     Columns with these names are replaced."""
+    bounded_batches(df.sparkSession)
     labels, p = model
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))]
     names = [f.name for f in new]

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import stored
+from textloom.llm.common import bounded_batches, stored
 from textloom.llm.token_counts import slices
 
 SLICE_BYTES = 8 << 20
@@ -216,6 +216,7 @@ def pack(
         packer.finish(False)
         yield packer.batch()
 
+    bounded_batches(df.sparkSession)
     source = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     done = stored(source.mapInArrow(first, SCHEMA), "packed")
     tasks = max(1, len(done.inputFiles()))

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.llm.common import bounded_batches
+
 SLICE_BYTES = 4 << 20
 SEEN_UNITS = 300_000
 UNIT = re.compile(" +[^ ]*")
@@ -143,6 +145,7 @@ def token_counts(
     ``model_file`` is a sentencepiece model that every executor finds under that path. Columns of ``df`` with the names
     of the new ones are replaced.
     """
+    bounded_batches(df.sparkSession)
     new = ["n_bytes", "n_tokens", "over_limit"]
     kept = [f for f in df.schema.fields if f.name != text and f.name not in new]
     schema = T.StructType(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import parts, shared_path, stored
+from textloom.llm.common import bounded_batches, parts, shared_path, stored
 
 BLOCK_LINES = 256
 LEAST_BYTES = 100
@@ -74,6 +74,7 @@ def payload() -> Column:
 def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
     """Writes the archives and their index to the shared folder; returns the directory."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     own = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
     again = stored(revisits(own, least), "revisits")
     rows = own.withColumn("payload_digest", F.sha2(payload(), 256)).join(again, ["page_id", "payload_digest"], "left")
