@@ -31,13 +31,13 @@ def test_against_brute_force(spark, monkeypatch):
     stock = ["alpha Beta ", "ALPHA beta", "  ñandú ÑA\t", "Ñandú ña", "x", "", "gamma delta\r", "one two three", "\x0bepsilon zeta"]
     rows = [(i, "\n".join(rng.choice(stock) for _ in range(rng.choice([1, 2, 5, 150])))) for i in range(50)]
     rows += [(50, None), (51, ""), (7, "alpha beta\nalpha beta\nnew one here"), (7, "alpha beta\nalpha beta\nnew one here"), (None, "alpha beta")]
-    df = spark.createDataFrame([(*r, "v") for r in rows], "doc_id long, text string, n_lines string").repartition(4)
+    df = spark.createDataFrame([(*r, "v", 1) for r in rows], "doc_id long, text string, n_lines string, drops int").repartition(4)
     for min_chars, min_docs, heavy in ((5, 5, 1000), (5, 5, 4), (1, 2, 1000), (5, 1000, 1000)):
         monkeypatch.setattr(line_dedup, "HEAVY", heavy)
         monkeypatch.setattr(line_dedup, "LEAST_HEAVY", 1)
         bitmaps = line_dedup.drop_bitmaps(df, min_chars=min_chars, min_docs=min_docs)
         got = line_dedup.apply_bitmaps(df, bitmaps)
-        assert got.columns == ["doc_id", "text", "n_lines", "n_dropped"]
+        assert got.columns == ["doc_id", "text", "drops", "n_lines", "n_dropped"]
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute(rows, min_chars, min_docs)
     empty = df.limit(0)
     assert line_dedup.apply_bitmaps(empty, line_dedup.drop_bitmaps(empty)).count() == 0
