@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import parts, stored
+from textloom.llm.common import bounded_batches, parts, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import windows, words
 
@@ -32,7 +32,7 @@ MIN_WORDS = 50
 GRAM = 16
 WINDOW = 32
 RIGHT, LEFT = 56, 40
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 CHUNK = 20_000
 EDGE = 200
 ROWS_EACH = 500_000
@@ -56,20 +56,25 @@ def minimisers(h: np.ndarray) -> np.ndarray:
 
 
 def chosen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """The kept suffixes of each document: positions and hashes of their first words."""
+    """The kept suffixes of each document: the hashes of their first words, each with its positions."""
     for b in batches:
         texts = pc.fill_null(b["text"].cast(pa.large_string()), "")
         for at, to in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
             w = words(texts.slice(at, to - at))
             h, _, first = windows(w, GRAM)
             count = np.diff(w.first)
-            pos, hashes = [], []
+            pos, hashes, size, per = [], [], [], []
             for i in range(to - at):
                 p = minimisers(h[first[i] : first[i + 1]]) if count[i] >= min_words else np.zeros(0, np.int64)
-                pos.append(p.astype(np.int32))
-                hashes.append(h[first[i] + p].view(np.int64))
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in pos]))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, x[0].dtype if x else np.int64)]))) for x in (pos, hashes)]
+                own, inverse, n = np.unique(h[first[i] + p], return_inverse=True, return_counts=True)
+                pos.append(p[np.argsort(inverse, kind="stable")].astype(np.int32))
+                hashes.append(own.view(np.int64))
+                size.append(n)
+                per.append(len(own))
+            outer = pa.array(np.concatenate(([0], np.cumsum(per))).astype(np.int32))
+            inner = pa.array(np.concatenate(([0], np.cumsum(np.concatenate([*size, np.zeros(0, np.int64)])))).astype(np.int32))
+            places = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.concatenate([*pos, np.zeros(0, np.int32)]))))
+            lists = [places, pa.ListArray.from_arrays(outer, pa.array(np.concatenate([*hashes, np.zeros(0, np.int64)])))]
             yield pa.RecordBatch.from_arrays([b["id"].slice(at, to - at), b["mark"].slice(at, to - at), pa.array(count), *lists], ["id", "mark", "n_words", "pos", "h"])
 
 
@@ -188,7 +193,22 @@ def compared(table: pa.Table, skip: int, min_words: int) -> Iterator[pa.RecordBa
     corner = (reach[:-1] >= 0) & (reach[:-1] + r >= min_words) & (reach[1:] < reach[:-1])
     corner[:, :skip] = False
     k, i = np.nonzero(corner)
-    yield found(table, i, False, pos[i] - reach[k, i], pos[i] + k + GRAM, partner[k, i])
+    if not len(i):
+        return
+    start, end, other = pos[i] - reach[k, i], pos[i] + k + GRAM, partner[k, i]
+    # spans of one document that touch become one, so a document repeated throughout sends a few rows
+    _, doc = np.unique(table["mark"].to_numpy()[i], return_inverse=True)
+    order = np.lexsort((end, start, doc))
+    i, start, end, other, doc = i[order], start[order].astype(np.int64), end[order].astype(np.int64), other[order], doc[order]
+    apart = doc.astype(np.int64) << 32
+    furthest = np.maximum.accumulate(apart + end)
+    new = np.concatenate(([True], apart[1:] + start[1:] > furthest[:-1]))
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(i)) - 1
+    stop = furthest[last] - apart[last]
+    for lo in range(0, len(first), CHUNK):
+        at = first[lo : lo + CHUNK]
+        yield found(table, i[at], False, start[at], stop[lo : lo + CHUNK], other[at])
 
 
 def found(table: pa.Table, i: np.ndarray, edge: bool, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
@@ -203,16 +223,19 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     start, end (word positions, the end outside) and other (a document with a part of it)."""
     if min_words < GRAM + WINDOW - 1:
         raise ValueError(f"passages of under {GRAM + WINDOW - 1} words may hold no suffix")
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("id", "text"))
-    kept = stored(own.mapInArrow(lambda b: chosen(b, min_words), "id long, mark long, n_words long, pos array<int>, h array<long>"), "suffixes")
+    kept = stored(own.mapInArrow(lambda b: chosen(b, min_words), "id long, mark long, n_words long, pos array<array<int>>, h array<long>"), "suffixes")
     each = kept.where("id is not null").select("id", "mark", F.inline(F.arrays_zip("pos", "h")))
     shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
     places = each.join(shared, "h").groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
-    placed = places.select("id", "mark", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"))
+    every = F.flatten(F.transform("at", lambda x: F.transform(x.pos, lambda p: F.struct(p.alias("pos"), x.h.alias("h")))))
+    placed = places.select("id", "mark", every.alias("at")).select("id", "mark", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"))
     suffixes = stored(own.join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "pos", "h").mapInArrow(contexts, SUFFIX), "contexts")
     order = ["h", "context", "id"]
     n = parts(suffixes.count(), ROWS_EACH, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order, "pos")
+    after = F.substring("context", 2 * GRAM + 1, 2 * GRAM)  # the words after those that equal h already tells; short, as ranges come from a sample
+    sorted_ = suffixes.repartitionByRange(n, "h", after, "id").sortWithinPartitions(*order, "pos")
     all_ = stored(sorted_.mapInArrow(lambda b: matches(b, min_words, True), MATCH), "matches")
     columns = [c.split()[0] for c in SUFFIX.split(", ")]
     edges = all_.where("is_edge").select(columns).distinct().coalesce(1).sortWithinPartitions(*order, "pos")  # 2 * EDGE rows for each range at most
