@@ -25,10 +25,43 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"))
 
 
+#: For small tables; the recursion walks the links of each vector.
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (
+  SELECT vec_id, vec_id AS x FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.x = l.a
+), c AS (SELECT vec_id, min(x) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON c.vec_id = n.a
+"""
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined_documents(table(spark, sf_dir, "documents"))
 
 
+#: For small tables; the recursion walks the links of each document.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 5 * c >= 4 * (x.n + y.n - c)
+), r AS (SELECT doc_id, doc_id AS x FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.x = l.a),
+g AS (SELECT doc_id, min(x) AS component_id FROM r GROUP BY doc_id),
+k AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin FROM l GROUP BY a)
+SELECT g.doc_id AS doc_id, least(g.doc_id, coalesce(twin, g.doc_id)) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, g.doc_id = component_id AS kept
+FROM g LEFT JOIN k ON g.doc_id = k.a
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = apply_bitmaps(docs, drop_bitmaps(docs))
@@ -101,7 +134,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"))
+    """The documents with passages that others hold; spans lists first and last word of each, from 0."""
+    found = repeated_spans(table(spark, sf_dir, "documents")).where("n_repeated > 0")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s.start.cast("string"), F.lit("-"), (s.end - 1).cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS i FROM w)
+), d AS (SELECT g FROM g GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+h AS (SELECT doc_id, i, i + 50 AS e FROM g WHERE g IN (SELECT g FROM d)),
+o AS (SELECT *, CASE WHEN i <= lag(e) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM h),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM o),
+s AS (SELECT doc_id, min(i) AS a, max(e) AS b FROM k GROUP BY doc_id, island)
+SELECT s.doc_id AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || '-' || (b - 1), ',' ORDER BY a) AS spans
+FROM s JOIN w ON s.doc_id = w.doc_id GROUP BY s.doc_id
+"""
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,4 +219,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_jaccard_join, op3_line_dedup, op4_quote_links, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
-ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_quote_links": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quote_links": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}
