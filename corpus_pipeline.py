@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import jaccard_join, language_id, line_dedup
-from textloom.llm.common import stored
+from textloom.llm.common import discard, stored
 from textloom.llm.decontaminate import contamination
 from textloom.llm.packing import pack
 
@@ -67,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        out = stored(stage(spark, out, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, out = out, stored(stage(spark, out, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, out, sf_dir)

@@ -32,10 +32,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The columns are nullable afterwards. ``discard`` removes the files once nothing reads them.
     """
     path = shared_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this driver has stored. For after the results are written elsewhere."""
+    for path in map(spark._jvm.org.apache.hadoop.fs.Path, _written):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``stored`` wrote."""
     spark = df.sparkSession
