@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounds, runs, stored
+from textloom.llm.common import bounded_batches, bounds, dealt, runs, stored
 from textloom.llm.components import components
 
 BUCKET = 48
@@ -42,14 +42,16 @@ def layout(rows: int, threshold: float, recall: float) -> tuple[int, int]:
 
 def linked(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for each vector."""
+    bounded_batches(df.sparkSession)
     own = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"))
     vectors = stored(own.where("id is not null").groupBy("id").agg(F.min("v").alias("v")), "vectors")
     bits, tables = layout(vectors.count(), threshold, recall)
 
-    coded = stored(vectors.mapInArrow(lambda batches: codes(batches, bits, tables), "id long, v binary, codes array<int>"), "codes")
+    single = dict(df.dtypes)[vector] == "array<float>"
+    coded = stored(vectors.mapInArrow(lambda batches: codes(batches, bits, tables, single), "id long, v binary, codes array<int>"), "codes")
     each = coded.select("id", "v", "codes", F.posexplode("codes").alias("t", "code"))
     large = coded.select(F.posexplode("codes").alias("t", "code")).groupBy("t", "code").count().where(F.col("count") > BLOCK)
-    large = large.select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("k"))
+    large = stored(large.select("t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("k")), "large")  # broadcast only where its size allows
     chunk = F.coalesce(F.pmod(F.xxhash64("id"), F.col("k")), F.lit(0)).cast("int")
     pairs = (
         each.join(large, ["t", "code"], "left").withColumn("c", chunk)
@@ -57,8 +59,8 @@ def linked(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
         .select("t", "code", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "c", "id", "v", "codes")
     )
     keys = ["t", "code", "i", "j"]
-    grouped = pairs.repartition(*keys).sortWithinPartitions(*keys)
-    found = stored(grouped.mapInArrow(lambda batches: runs(batches, keys, lambda t: compared(t, threshold)), "id long, n long, least long"), "links")
+    grouped = dealt(pairs, keys)
+    found = stored(grouped.mapInArrow(lambda batches: runs(batches, keys, lambda t: compared(t, threshold, single)), "id long, n long, least long"), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     nodes = components(found, "id", "least").withColumnRenamed("node", "id")
     out = vectors.select("id").join(links, "id", "left").join(nodes, "id", "left").select(
@@ -71,8 +73,8 @@ def linked(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
     return out.unionByName(nameless)
 
 
-def codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
-    """Unit vectors in double precision with their codes; rows that can't link are left out."""
+def codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int, single: bool) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes, in their own precision, with their codes; rows that can't link are left out."""
     planes: dict[int, np.ndarray] = {}
     for b in batches:
         ids, lists = b["id"].to_numpy(zero_copy_only=False), b["v"]
@@ -82,18 +84,23 @@ def codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator
             x = lists.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, dim)
             top = np.abs(x).max(1)
             fine = np.isfinite(top) & (top > 0)
-            x, at = x[fine] / top[fine, None], at[fine]
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x, at = x[fine], at[fine]
             if dim not in planes:
                 planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, tables * bits))
-            sign = ((x @ planes[dim]) > 0).reshape(-1, tables, bits)
+            sign = ((unit(x) @ planes[dim]) > 0).reshape(-1, tables, bits)
             code = sign @ (1 << np.arange(bits, dtype=np.int64))
             code = ((code ^ (int(dim) * 0x9E3779B1)) & 0x7FFFFFFF).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(code.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary()), flat], ["id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array([r.tobytes() for r in x.astype(np.float32 if single else np.float64)], pa.binary()), flat], ["id", "v", "codes"])
 
 
-def compared(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def compared(table: pa.Table, threshold: float, single: bool) -> Iterator[pa.RecordBatch]:
     """Links within whole buckets or between two chunks of one."""
     t, code, i, j, c, ids = (table[x].to_numpy() for x in ("t", "code", "i", "j", "c", "id"))
     vectors = table["v"].combine_chunks()
@@ -108,7 +115,7 @@ def compared(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
             at = lo + np.flatnonzero([len(r) == width for r in raw])
             if len(at) < 2:
                 continue
-            x = np.frombuffer(b"".join(raw[k - lo] for k in at)).reshape(len(at), -1)
+            x = unit(np.frombuffer(b"".join(raw[k - lo] for k in at), np.float32 if single else np.float64).reshape(len(at), -1).astype(np.float64))
             near = np.triu(x @ x.T >= threshold, 1)
             if i[lo] != j[lo]:
                 near &= c[at][:, None] != c[at][None, :]
