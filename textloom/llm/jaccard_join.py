@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounds, runs, stored
+from textloom.llm.common import bounded_batches, bounds, dealt, runs, stored
 from textloom.llm.components import components
 from textloom.llm.token_counts import slices
 from textloom.llm.words import Words, mix, windows, words
@@ -41,7 +41,7 @@ RECALL = 0.99
 MARGIN = 0.14
 BLOCK = 128
 BLOCK_SHINGLES = 200_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SEED = 77
 _PROBES = np.random.default_rng(SEED).integers(0, COORDINATES, (COORDINATES, 1024), dtype=np.uint8)
 _EDGES = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(64 - COORDINATES.bit_length() + 1))
@@ -72,10 +72,10 @@ def shingle_sets(w: Words, size: int) -> Iterator[np.ndarray]:
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             yield own[keep]
         elif count[i]:
-            x = np.uint64(count[i])
+            x = np.array([count[i]], np.uint64)
             for k in range(w.first[i], w.first[i + 1]):
-                x = mix(np.array([x * _C + w.hash[k]], np.uint64))[0]
-            yield np.array([x], np.uint64)
+                x = mix(x * _C + w.hash[k])
+            yield x
         else:
             yield np.zeros(0, np.uint64)
 
@@ -244,7 +244,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float64)
     if len(row):
         column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-        step = max(64, 4_000_000 // len(sets))
+        step = min(int(column[-1]) + 1, max(64, 4_000_000 // len(sets)))
         for a in range(0, int(column[-1]) + 1, step):
             lo, hi = np.searchsorted(column, [a, a + step])
             part = np.zeros((len(sets), step), np.float32)
@@ -256,6 +256,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def joined_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, size: int = WORDS, recall: float = RECALL, bucket: int | None = None, levels: int | None = None) -> DataFrame:
     """doc_id, class_id (the least id with the same set), n_links (other documents linked directly), component_id (the least
     id that links reach) and kept (it is that one)."""
+    bounded_batches(docs.sparkSession)
     bucket, levels = bucket or BUCKET, levels or LEVELS
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     named = own.where("id is not null")
@@ -270,10 +271,10 @@ def joined_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     groups = stored(hung.select(F.col("node").alias("id"), F.col("component").alias("group")).unionByName(hung.select(F.col("component").alias("id"), F.col("component").alias("group")).distinct()), "groups")
     facts = groups.join(sketches.select("id", "d1", "size", "n"), "id")
     sums = facts.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    dealt = in_blocks(facts.join(sums, "group"), ["group"], ["id", "d1", "size"])
+    blocks = in_blocks(facts.join(sums, "group"), ["group"], ["id", "d1", "size"])
     whole = stored(named.join(groups.select("id"), "id", "left_semi"), "texts")
     keys = ["group", "i", "j"]
-    ready = dealt.join(whole, "id").repartition(*keys).sortWithinPartitions(*keys)
+    ready = dealt(blocks.join(whole, "id"), keys)
     found = stored(ready.mapInArrow(lambda b: runs(b, keys, lambda t: compared(t, threshold, size), 500), "id long, n long, least long"), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     parts = components(found, "id", "least").withColumnRenamed("node", "id")
@@ -314,7 +315,7 @@ def chosen_paths(sketches: DataFrame, threshold: float, recall: float, bucket: i
         last = level == levels
         brute = sizes if last else sizes.where(F.col("n") <= bucket)
         ready = in_blocks(nodes.join(brute.select("node", F.ceil(F.col("n") / bucket).cast("int").alias("k")), "node"), ["node"], ["id"])
-        ready = joined(ready, sketches).repartition(*keys).sortWithinPartitions(*keys)
+        ready = dealt(joined(ready, sketches), keys)
         links = stored(ready.mapInArrow(lambda b: runs(b, keys, lambda t: searched(t, threshold - MARGIN), 5000), "id long, least long"), "candidates")
         found = links if found is None else found.unionByName(links)
         large = sizes.where(F.col("n") > bucket)
