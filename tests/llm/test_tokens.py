@@ -66,5 +66,4 @@ def test_packing_of_nothing(spark):
 def test_ids_of_slices():
     own = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert own.by_word
-    flat, first = own.ids(pa.array(["a b", "", "c"], pa.large_string()))
-    assert first.tolist() == [0, 2, 2, 3] and len(flat) == 3
+    assert [len(x) for x in own.ids(pa.array(["a b", "", "c"], pa.large_string()))] == [8, 0, 4]

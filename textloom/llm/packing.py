@@ -18,6 +18,7 @@ a null doc_id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -34,9 +35,10 @@ from textloom.llm.common import bounded_batches, stored
 from textloom.llm.token_counts import slices
 
 SLICE_BYTES = 8 << 20
-SEEN_WORDS = 300_000
+SEEN_WORDS = 500_000
 TOGETHER = 200
 MARKS = ",.;:!?"
+LETTERS = r"a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}"
 OPEN_WINDOWS = 64
 MERGE = 16
 
@@ -45,6 +47,13 @@ PIECE = SCHEMA.replace(" long", "").replace(" binary", "").replace(" boolean", "
 ARROW = pa.schema([(c, pa.int64()) for c in PIECE[:-2]] + [("ids", pa.binary()), ("is_open", pa.bool_())])
 
 
+def little(ids: list[int]) -> bytes:
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that works word by word."""
 
@@ -70,7 +79,7 @@ class WordEncoder:
         self.seen: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def plain(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters only, many to a call: each is one word of the tokenizer too, so its last id tells where it ends."""
@@ -78,7 +87,7 @@ class WordEncoder:
         for at in range(0, len(words), TOGETHER):
             own = words[at : at + TOGETHER]
             raw = self.encode([" ".join(own)])[0]
-            last = np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1 if len(self.ends) else ()
+            last = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1 if len(self.ends) else ()
             if len(last) == len(own):
                 cut = [0, *(4 * last).tolist()]
                 out += [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -86,49 +95,45 @@ class WordEncoder:
                 out += self.encode(own)
         return out
 
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. A mark after a letter is a word of its own to the tokenizer, so the rest is looked up without it."""
-        seen, out, new = self.seen, [], {}
-        for w in words:
-            if w.isascii() and "<|" not in w:
-                w = w.lower()
-            mark = w[-1:] if w[-1:] in MARKS and w[-2:-1].isalpha() else ""
-            w = w[:-1] if mark else w
-            out.append((w, mark))
-            if w not in seen:
-                new[w] = b""
-        letters = [w for w in new if w.isalpha()]
-        new.update(zip(letters, self.plain(letters), strict=True))
-        others = [w for w in new if not w.isalpha()]
-        new.update(zip(others, self.encode(others), strict=True))
-        found = []
-        for w, mark in out:
-            x = new[w] if w in new else seen[w]
-            found.append(x + self.marks[mark] if mark else x)
-        if len(seen) + len(new) > SEEN_WORDS:
+    def words(self, words: pa.Array) -> list[bytes]:
+        """Ids of each word. ASCII words are looked up in lower case, and without a mark after a letter, which is a word of its own to
+        the tokenizer; words with a part of a special token stay as they are."""
+        plain = pc.and_(pc.equal(pc.binary_length(words), pc.utf8_length(words).cast(pa.int64())), pc.invert(pc.match_substring(words, "<|")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        marked = pc.match_substring_regex(words, f"[{LETTERS}][{MARKS}]$")
+        bare = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        tails = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1, None), "").dictionary_encode()
+        seen = self.seen
+        keys = bare.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [seen.get(w) for w in keys]
+        late = [i for i, x in enumerate(found) if x is None]
+        letters = [i for i in late if keys[i].isalpha()]
+        for i, x in zip(letters, self.plain([keys[i] for i in letters]), strict=True):
+            found[i] = x
+        others = [i for i in late if found[i] is None]
+        for i, x in zip(others, self.encode([keys[i] for i in others]), strict=True):
+            found[i] = x
+        if len(seen) + len(late) > SEEN_WORDS:
             seen.clear()
-        for w, x in new.items():
-            if len(w) <= 32 and len(seen) < SEEN_WORDS:
-                seen[w] = x
-        return found
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and where each text's ids begin (with the end at last)."""
+        for i in late[:SEEN_WORDS]:
+            if len(keys[i]) <= 32:
+                seen[keys[i]] = found[i]
+        ends = [self.marks.get(t, b"") for t in tails.dictionary.to_pylist()]
+        return [found[i] + ends[t] for i, t in zip(bare.indices.to_numpy().tolist(), tails.indices.to_numpy().tolist(), strict=True)]
+
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, as unsigned 32-bit numbers."""
         if not self.by_word:
-            each = self.encode(texts.to_pylist())
-            return np.frombuffer(b"".join(each), np.uint32), np.concatenate(([0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)))
+            yield from self.encode(texts.to_pylist())
+            return
         lists = pc.ascii_split_whitespace(texts)
         table = lists.flatten().dictionary_encode()
-        found = self.words(table.dictionary.to_pylist())
-        size = np.fromiter(map(len, found), np.int32, len(found)) >> 2
-        base = np.cumsum(size, dtype=np.int32) - size
-        pool = np.frombuffer(b"".join(found), np.uint32)
-        index = table.indices.to_numpy()
-        n = size[index]
-        ends = np.cumsum(n, dtype=np.int64)
-        flat = pool[np.repeat((base[index] - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        of_text = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
-        return flat, np.concatenate(([0], ends))[of_text]
+        found = self.words(table.dictionary)
+        index = table.indices.to_numpy().tolist()
+        at = 0
+        for n in pc.list_value_length(lists).to_numpy().tolist():
+            yield b"".join([found[i] for i in index[at : at + n]])
+            at += n
 
 
 @lru_cache(2)
@@ -236,14 +241,12 @@ def pack(
     return out.select(*PIECE[: -1 if with_ids else -2])
 
 
-def whole_ids(own: WordEncoder, texts: pa.Array, at: int, to: int, n_bytes: int, slice_bytes: int) -> Iterator[np.ndarray]:
+def whole_ids(own: WordEncoder, texts: pa.Array, at: int, to: int, n_bytes: int, slice_bytes: int) -> Iterator[bytes]:
     """The ids of the texts at..to-1, without the end id."""
     if own.by_word and to == at + 1 and n_bytes > 2 * slice_bytes:
-        yield np.concatenate([own.ids(pa.array([p], pa.large_string()))[0] for p in word_parts(texts[at].as_py(), slice_bytes)])
-        return
-    flat, first = own.ids(texts.slice(at, to - at))
-    for i in range(to - at):
-        yield flat[first[i] : first[i + 1]]
+        yield b"".join(x for p in word_parts(texts[at].as_py(), slice_bytes) for x in own.ids(pa.array([p], pa.large_string())))
+    else:
+        yield from own.ids(texts.slice(at, to - at))
 
 
 def word_parts(text: str, most: int) -> Iterator[str]:
@@ -258,10 +261,10 @@ def word_parts(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-def pieces_of(packer: Packer, doc: int | None, ids: np.ndarray, size: int, end_id: int, with_ids: bool) -> None:
+def pieces_of(packer: Packer, doc: int | None, raw: bytes, size: int, end_id: int, with_ids: bool) -> None:
     """Cuts one document into full windows and a remainder, and places them."""
-    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-    raw, n = ids.tobytes(), len(ids)
+    raw += end_id.to_bytes(4, "little")
+    n = len(raw) // 4
     for start in range(0, n, size):
         own = raw[4 * start : 4 * (start + size)]
         packer.put([[doc, start, len(own) // 4, zlib.crc32(own), n, own if with_ids else None]], len(own) // 4)
