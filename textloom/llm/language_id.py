@@ -92,7 +92,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n += np.bincount(codes[place[i] : place[i + 1]], minlength=FEATURES)
     for label, n in total.items():
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([str(label)] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], ["label", "feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([str(label)] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["label", "feature", "n"])
 
 
 def shares(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
