@@ -61,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No stage but the second can be said in SQL; tests hold the stages against brute force.
+#: The first and last stages can't be said in SQL; tests hold the stages against what was planted and the last against the library.
 ORACLE_SQL = None
 
 

@@ -1,6 +1,9 @@
 import random
+import zlib
 
 import corpus_pipeline as P
+import public_tokenizers
+from tokenizers import Tokenizer
 
 
 def test_stages(spark, tmp_path):
@@ -32,6 +35,11 @@ def test_stages(spark, tmp_path):
     assert ids["decontaminate"] == ids["jaccard_join"] - {300, 301}
     packed = P.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids["decontaminate"]
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in out.collect():
+        want = b"".join(i.to_bytes(4, "little") for i in [*whole.encode(r.text or "", add_special_tokens=False).ids, 1])
+        own = sorted((p.start, p.length, p.ids_crc32) for p in packed if p.doc_id == r.doc_id)
+        assert [(a, n, zlib.crc32(want[4 * a : 4 * (a + n)])) for a, n, _ in own] == own and sum(n for _, n, _ in own) * 4 == len(want)
 
 
 def test_nothing(spark, tmp_path):
