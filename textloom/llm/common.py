@@ -72,11 +72,11 @@ def parts(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
-def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Dealt by the keys and sorted by them within partitions, for a function whose work isn't told by the bytes it reads: the number of
+def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Dealt by the keys and sorted by them (and ``order``) within partitions, for a function whose work isn't told by the bytes it reads: the number of
     partitions is the session's, and stays so."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def runs(

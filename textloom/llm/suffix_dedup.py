@@ -8,7 +8,7 @@ right that it shares, with those that share most words to the left. A match coun
 come from the overlapping matches of their suffixes.
 
 The sort is dealt by range on hash, context and document, so a passage that many documents share is spread over tasks; each suffix has a
-bounded number of comparisons, however many share it. The ends of the ranges, some rows for each, are compared in a task of their own.
+bounded number of comparisons, however many share it. The ends of the ranges, some rows for each, are compared once more with those of the next range.
 
 Edge cases: null texts and those under ``min_words`` words have no spans; repeats within one document don't count; rows that repeat a doc_id
 are the same document, and each has spans of its own; rows without a doc_id have no spans; an empty table gives an empty result.
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, parts, stored
+from textloom.llm.common import bounded_batches, dealt, parts, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import windows, words
 
@@ -108,7 +108,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SUFFIX = "h long, context binary, id long, mark long, pos int, n_right int, n_left int"
-MATCH = SUFFIX + ", is_edge boolean, start int, end int, other long"
+MATCH = SUFFIX + ", edge int, start int, end int, other long"
 
 
 def matches(batches: Iterator[pa.RecordBatch], min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
@@ -126,11 +126,10 @@ def matches(batches: Iterator[pa.RecordBatch], min_words: int, edges: bool) -> I
         new = np.flatnonzero(h[1:] != h[:-1]) + 1
         cut = len(h) if last or not len(new) or new[-1] <= skip else int(new[-1])
         yield from compared(table.slice(0, cut).combine_chunks(), skip, min_words)
-        if edges and (last or not begun):
-            first = np.arange(min(EDGE, int(new[0]) if len(new) else len(h))) if not begun else np.zeros(0, int)
-            final = np.arange(max(int(new[-1]) if len(new) else 0, len(h) - EDGE), len(h)) if last else np.zeros(0, int)
-            ends = np.union1d(first, final).astype(int)
-            yield found(table, ends, True, ends * 0, ends * 0, ends * 0)
+        if edges and not begun:  # the range before this one may end with the same words
+            yield whole(table.slice(0, min(EDGE, int(new[0]) if len(new) else len(h))), part() - 1)
+        if edges and last:
+            yield whole(table.slice(max(int(new[-1]) if len(new) else 0, len(h) - EDGE)), part())
         begun = True
         keep = cut if cut < len(h) else max(0, len(h) - EDGE)
         skip = cut - keep
@@ -208,14 +207,31 @@ def compared(table: pa.Table, skip: int, min_words: int) -> Iterator[pa.RecordBa
     stop = furthest[last] - apart[last]
     for lo in range(0, len(first), CHUNK):
         at = first[lo : lo + CHUNK]
-        yield found(table, i[at], False, start[at], stop[lo : lo + CHUNK], other[at])
+        yield found(table, i[at], start[at], stop[lo : lo + CHUNK], other[at])
 
 
-def found(table: pa.Table, i: np.ndarray, edge: bool, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-    names = [c.split()[0] for c in MATCH.split(", ")]
-    own = [table[c].combine_chunks().take(pa.array(i)) if edge or c in ("id", "mark") else pa.nulls(len(i), table[c].type) for c in names[:7]]
-    more = [pa.array(np.full(len(i), edge)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([*own, *more], names)
+def part() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+MATCH_NAMES = [c.split()[0] for c in MATCH.split(", ")]
+
+
+def found(table: pa.Table, i: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """Matches of the rows i."""
+    own = [table[c].combine_chunks().take(pa.array(i)) if c in ("id", "mark") else pa.nulls(len(i), table[c].type) for c in MATCH_NAMES[:7]]
+    more = [pa.nulls(len(i), pa.int32()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*own, *more], MATCH_NAMES)
+
+
+def whole(table: pa.Table, edge: int) -> pa.RecordBatch:
+    """Rows at an end of a range, to be compared with those beyond it."""
+    table, n = table.combine_chunks(), table.num_rows
+    more = [pa.array([edge] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+    own = [x if isinstance(x := table[c].combine_chunks(), pa.Array) else pa.concat_arrays(x.chunks) for c in MATCH_NAMES[:7]]
+    return pa.RecordBatch.from_arrays([*own, *more], MATCH_NAMES)
 
 
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -238,8 +254,8 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     sorted_ = suffixes.repartitionByRange(n, "h", after, "id").sortWithinPartitions(*order, "pos")
     all_ = stored(sorted_.mapInArrow(lambda b: matches(b, min_words, True), MATCH), "matches")
     columns = [c.split()[0] for c in SUFFIX.split(", ")]
-    edges = all_.where("is_edge").select(columns).distinct().coalesce(1).sortWithinPartitions(*order, "pos")  # 2 * EDGE rows for each range at most
-    spans = all_.where("not is_edge").unionByName(edges.mapInArrow(lambda b: matches(b, min_words, False), MATCH)).select("id", "mark", "start", "end", "other")
+    edges = dealt(all_.where("edge is not null"), ["edge"], *order, "pos").select(columns)  # 2 * EDGE rows for each pair of ranges at most
+    spans = all_.where("edge is null").unionByName(edges.mapInArrow(lambda b: matches(b, min_words, False), MATCH)).select("id", "mark", "start", "end", "other")
     before = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, 0)
     merged = (
