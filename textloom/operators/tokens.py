@@ -21,10 +21,9 @@ PAIRS = "array<struct<t:int,m:int>>"
 
 def bytes_ids(text: Column) -> Column:
     """Ids of the bytes of a text."""
-    digits = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-    at = F.sequence(F.lit(0), F.octet_length(F.coalesce(text, F.lit(""))) - 1)
-    full = F.transform(at, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(F.length(digits) == 0, F.array().cast(INTS)).otherwise(full)
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
+    digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, 1)) - 1
+    return F.transform(pairs, lambda h: digit(h, 1) * 16 + digit(h, 2))
 
 
 def bpe_ids(tokenizer_file: str) -> Callable[[Column], Column]:
