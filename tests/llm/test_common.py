@@ -19,3 +19,15 @@ def test_discard_leaves_other_tables(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/own")
     common.discard(spark.read.parquet(f"{tmp_path}/own"))
     assert spark.read.parquet(f"{tmp_path}/own").count() == 3
+
+
+def test_folder_of_the_session_or_one_of_our_own():
+    class Conf(dict):
+        pass
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    assert common.shared_dir(Session(spark_checkpoint_dir="hdfs://n/x/")) == "hdfs://n/x"
+    assert common.shared_dir(Session()).startswith("file:///")

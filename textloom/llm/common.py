@@ -15,8 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{os.getuid()}-{os.getpid()}")
     return found.rstrip("/")
 
 
