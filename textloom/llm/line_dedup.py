@@ -1,7 +1,7 @@
 """Operator 3: lines that many documents repeat, found with DataFrame functions only.
 
 Each line long enough becomes a 128-bit hash of its key with its document and position; texts stay where they are. The hashes
-are dealt by range, sorted within a partition by hash and document, and streamed: along a hash, the first document in that order
+are dealt by range, a document's positions of a hash become one row, and the rows are sorted within a partition by hash and document, and streamed: along a hash, the first document in that order
 (the largest doc_id) keeps its lines, and the later ones lose theirs once the stream has seen, or sees in the next few rows,
 ``min_docs`` documents. A row looks at no more than ``min_docs`` neighbours, so nothing is held for a hash however common it is.
 The few hashes that hold more than one in ``HEAVY`` of all rows (there can't be more than ``HEAVY`` of them) would still
@@ -69,9 +69,8 @@ def drop_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     light = (
         seen.join(F.broadcast(heavy), ["h1", "h2"], "left_anti")
         .repartitionByRange(parts(rows, ROWS_EACH, int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h1", "h2")
-        .sortWithinPartitions("h1", "h2", F.desc("doc_id"))
         .groupBy("h1", "h2", "doc_id")
-        .agg(F.collect_list(F.struct("row_mark", "pos")).alias("at"))
+        .agg(F.array_sort(F.collect_list(F.struct("row_mark", "pos"))).alias("at"))
         .select("doc_id", "at", F.row_number().over(order).alias("k"), F.count("*").over(order.rowsBetween(1, min_docs - 1)).alias("after"))
         .where((F.col("k") > 1) & (F.col("k") + F.col("after") >= min_docs))
         .select("doc_id", F.inline("at"))
