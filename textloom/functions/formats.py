@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.messages import message
 
+# Fixed value: labels of choices.
 LETTERS = "ABCD"
 
 

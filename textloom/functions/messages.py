@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import strip
 
 MESSAGES = "array<struct<role:string,content:string>>"
+# Fixed value: turns of a dialogue in one text.
 DIALOGUE = r"(?s)\n\n(Human|Assistant): (.*?)(?=\n\n(?:Human|Assistant): |$)"
 
 

@@ -17,6 +17,7 @@ STOPWORDS = [
     "each", "than", "then", "some", "into", "our", "any", "who", "may",
 ]
 
+# What counts as a number and as a block of code, the tolerance, the special strings.
 NUMBER = r"-?\d+\.?\d*"
 CODE_BLOCK = r"(?s)```python\s*(.*?)```"
 TOLERANCE = 1e-3

@@ -19,6 +19,7 @@ from textloom.functions.numbers import LCG_M, lcg
 from textloom.operators.ordering import row_numbers
 from textloom.sources.schemas import CALCULATOR_ITEM
 
+# The share of slips, the system prompt, the offset of the validation seed.
 ERROR_RATE = 0.20
 SYSTEM_PROMPT = "You are a helpful assistant."
 VALIDATION_SEED = 10_000
