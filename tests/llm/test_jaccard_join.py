@@ -70,5 +70,20 @@ def test_runs_follow_the_recall():
     assert J.runs_needed(0.99, 1) == 5 and J.runs_needed(0.99, 3) == 10
 
 
+def sketches_of(spark, groups):
+    """A table for ``chosen_paths`` of the tokens in each group; ids go on from group to group."""
+    rows = [bytearray(t.astype("<u4").tobytes()) for g in groups for t in g]
+    return spark.createDataFrame(list(enumerate(rows)), "id long, tokens binary")
+
+
+def test_large_nodes_with_the_same_classes_split_each_by_its_own_draws(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = [[rng.integers(0, 2**32, J.COORDINATES)] * 12 for _ in range(40)]
+    linked = {r.id // 12 for r in J.chosen_paths(sketches_of(spark, groups), 0.8, 0.99, 8, 3).collect()}
+    assert len(linked) >= 39
+
+
 def test_nothing(spark):
     assert J.joined_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -310,10 +310,10 @@ def chosen_paths(sketches: DataFrame, threshold: float, recall: float, bucket: i
     for level in range(1, levels + 1):
         nodes = stored(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark")).where("n > 1")
-        sizes = sizes.groupBy("n", "mark").agg(F.min("node").alias("node"))  # nodes with the same classes give the same
         sizes = stored(sizes, "sizes")
         last = level == levels
         brute = sizes if last else sizes.where(F.col("n") <= bucket)
+        brute = brute.groupBy("n", "mark").agg(F.min("node").alias("node"))  # brute force gives the same for the same classes; splits don't, each node draws its own
         ready = in_blocks(nodes.join(brute.select("node", F.ceil(F.col("n") / bucket).cast("int").alias("k")), "node"), ["node"], ["id"])
         ready = dealt(joined(ready, sketches), keys)
         links = stored(ready.mapInArrow(lambda b: runs(b, keys, lambda t: searched(t, threshold - MARGIN), 5000), "id long, least long"), "candidates")
