@@ -85,5 +85,19 @@ def test_large_nodes_with_the_same_classes_split_each_by_its_own_draws(spark):
     assert len(linked) >= 39
 
 
+def test_default_plan_reaches_the_recall_at_the_threshold(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(4000):
+        a, b = rng.integers(0, 2**32, (2, J.COORDINATES))
+        pairs.append([a, np.where(rng.random(J.COORDINATES) < 0.8, a, b)])
+    near = [(a == b).sum() >= 0.66 * J.COORDINATES for a, b in pairs]
+    linked = {r.id // 2 for r in J.chosen_paths(sketches_of(spark, pairs), 0.8, J.RECALL, 1, J.LEVELS).collect()}  # nodes of two are large: split at both levels
+    assert sum(k not in linked for k in range(len(pairs)) if near[k]) <= (1 - J.RECALL) * len(pairs)
+    assert J.missed(J.planned(0.8, J.RECALL, J.LEVELS), 0.8, J.LEVELS) <= 1 - J.RECALL
+
+
 def test_nothing(spark):
     assert J.joined_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

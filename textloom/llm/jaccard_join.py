@@ -7,8 +7,8 @@ similarity. A node of the search holds some classes; it samples coordinates, eac
 children hold the classes with the same token there. So two classes at the threshold share a child once on average, as long as they
 shared the node. Nodes of at most ``BUCKET`` classes are searched by brute force on the tokens, larger ones split again; at the last
 level large ones are searched in pairs of chunks. ``runs_needed`` independent runs reach the target recall for pairs at the threshold itself,
-from the survival probability of the branching process at the depth in use; closer pairs are found more surely, and a pair also
-counts as found if links found for others connect it.
+from the survival probability of the branching process at the depth in use. The first coordinates are drawn once for all pairs, so ``planned`` draws
+on until those drawn reach it too; closer pairs are found more surely, and a pair also counts as found if links found for others connect it.
 
 Verification. Classes that candidates connect form groups; within a group all pairs are compared on their whole sets, exactly, block by block. A
 block holds a bounded number of shingles, and its task emits a row for each class (number of linked documents, least linked id), not pairs.
@@ -60,6 +60,23 @@ def runs_needed(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
+def missed(plan: list[tuple[int, list[int]]], threshold: float, levels: int) -> float:
+    """Probability that a pair at the threshold shares no node at the last level, for the first coordinates in the plan. Runs that begin with the same one
+    begin with the same token, so they fail together where it differs."""
+    drawn = [c for _, chosen in plan for c in chosen]
+    below = 1 - survival(levels - 1)
+    return math.prod(1 - threshold * (1 - below ** drawn.count(c)) for c in set(drawn))
+
+
+def planned(threshold: float, recall: float, levels: int) -> list[tuple[int, list[int]]]:
+    """The runs, each with the coordinates it begins with: ``runs_needed`` at least, and as many as these coordinates need."""
+    rng = np.random.default_rng(SEED)
+    n_runs, plan = runs_needed(recall, levels), []
+    while len(plan) < n_runs or missed(plan, threshold, levels) > 1 - recall:
+        plan.append((len(plan), np.flatnonzero(rng.random(COORDINATES) < 1 / (threshold * COORDINATES)).tolist()))
+    return plan
+
+
 def shingle_sets(w: Words, size: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     h, _, first = windows(w, size)
@@ -301,9 +318,7 @@ def in_blocks(df: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
 
 def chosen_paths(sketches: DataFrame, threshold: float, recall: float, bucket: int, levels: int) -> DataFrame:
     """Links of candidates (id, least)."""
-    n_runs = runs_needed(recall, levels)
-    rng = np.random.default_rng(SEED)
-    plan = [(r, np.flatnonzero(rng.random(COORDINATES) < 1 / (threshold * COORDINATES)).tolist()) for r in range(n_runs)]
+    plan = planned(threshold, recall, levels)
     nodes = sketches.select("id", "tokens").mapInArrow(lambda b: roots(b, plan), "node long, id long")
     found = None
     keys = ["node", "i", "j"]
