@@ -46,5 +46,30 @@ def test_against_brute_force(spark, monkeypatch, chunk):
     assert all(r.n_repeated == sum(s.end - s.start for s in r.spans) for r in got)
 
 
+def least_hashed(text):
+    """16 words that hold the least hash wherever they stand, so that no other suffix near them is kept."""
+    import pyarrow as pa
+
+    some = [text(S.GRAM) for _ in range(5000)]
+    h, _, _ = S.windows(S.words(pa.array([" ".join(x) for x in some], pa.large_string())), S.GRAM)
+    return some[int(h.argmin())]
+
+
+def test_rare_contexts_of_a_frequent_passage(spark, monkeypatch):
+    """31 words that only two documents share, then 19 of a passage that all have, then words of their own: far apart in the order of the words to the right."""
+    monkeypatch.setattr(S, "CHUNK", 64)
+    monkeypatch.setattr(S, "EDGE", 4, raising=False)
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    frequent, rows = least_hashed(text) + text(3), []
+    for k in range(300):
+        before = text(31)
+        rows += [(2 * k + i, " ".join(before + frequent + text(60))) for i in range(2)]
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    have = sorted((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in got)
+    assert sum(r.n_repeated > 0 for r in got) == len(rows)
+    assert have == sorted(brute(rows, 50))
+
+
 def test_nothing(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

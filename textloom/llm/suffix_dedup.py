@@ -7,8 +7,9 @@ only are dropped by their hashes, before any context is made. The others get the
 right that it shares, with those that share most words to the left. A match counts if it has ``min_words`` words. The matches of a document are merged, so longer passages
 come from the overlapping matches of their suffixes.
 
-The sort is dealt by range on hash, context and document, so a passage that many documents share is spread over tasks; each suffix has a
-bounded number of comparisons, however many share it. The ends of the ranges, some rows for each, are compared once more with those of the next range.
+Suffixes with the same first words are one group. Groups under ``CHUNK`` rows are dealt by those words' hash and compared whole. Larger ones are decided without
+bringing them together: each of their suffixes gives a hash for every stretch of ``min_words`` words around it, and a stretch counts if another document
+gives the same one. Hashes of over a thousandth of these rows are decided where they lie, so a passage that many documents share is spread over tasks.
 
 Edge cases: null texts and those under ``min_words`` words have no spans; repeats within one document don't count; rows that repeat a doc_id
 are the same document, and each has spans of its own; rows without a doc_id have no spans; an empty table gives an empty result.
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, dealt, parts, stored
+from textloom.llm.common import bounded_batches, parts, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import windows, words
 
@@ -100,37 +101,31 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = np.concatenate((right, left), 1).astype(">u2").tobytes()
                 wide = 2 * (RIGHT + LEFT)
                 context = pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary())
-                hashes = b["h"].slice(at, to - at).flatten().slice(lo, CHUNK)
+                hashes, large = (b[c].slice(at, to - at).flatten().slice(lo, CHUNK) for c in ("h", "large"))
                 yield pa.RecordBatch.from_arrays(
-                    [hashes, context, b["id"].slice(at, to - at).take(pa.array(own)), b["mark"].slice(at, to - at).take(pa.array(own)), pa.array(pos[lo : lo + CHUNK]), pa.array(size[:, 0].astype(np.int32)), pa.array(size[:, 1].astype(np.int32))],
-                    ["h", "context", "id", "mark", "pos", "n_right", "n_left"],
+                    [hashes, large, context, b["id"].slice(at, to - at).take(pa.array(own)), b["mark"].slice(at, to - at).take(pa.array(own)), pa.array(pos[lo : lo + CHUNK]), pa.array(size[:, 0].astype(np.int32)), pa.array(size[:, 1].astype(np.int32))],
+                    ["h", "large", "context", "id", "mark", "pos", "n_right", "n_left"],
                 )
 
 
-SUFFIX = "h long, context binary, id long, mark long, pos int, n_right int, n_left int"
-MATCH = SUFFIX + ", edge int, start int, end int, other long"
+SUFFIX = "h long, large boolean, context binary, id long, mark long, pos int, n_right int, n_left int"
+MATCH = "id long, mark long, start int, end int, other long"
 
 
-def matches(batches: Iterator[pa.RecordBatch], min_words: int, edges: bool) -> Iterator[pa.RecordBatch]:
+def matches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Matches of a sorted stream, in chunks of whole groups (equal first words). A group above the chunk size goes on with its last
     rows as neighbours of the next ones."""
     waiting: list[pa.RecordBatch] = []
     n = skip = 0
-    begun = False
 
     def chunk(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal n, skip, begun
+        nonlocal n, skip
         table = pa.Table.from_batches(waiting).combine_chunks()
         waiting.clear()
         h = table["h"].to_numpy()
         new = np.flatnonzero(h[1:] != h[:-1]) + 1
         cut = len(h) if last or not len(new) or new[-1] <= skip else int(new[-1])
         yield from compared(table.slice(0, cut).combine_chunks(), skip, min_words)
-        if edges and not begun:  # the range before this one may end with the same words
-            yield whole(table.slice(0, min(EDGE, int(new[0]) if len(new) else len(h))), part() - 1)
-        if edges and last:
-            yield whole(table.slice(max(int(new[-1]) if len(new) else 0, len(h) - EDGE)), part())
-        begun = True
         keep = cut if cut < len(h) else max(0, len(h) - EDGE)
         skip = cut - keep
         if not last:
@@ -210,28 +205,35 @@ def compared(table: pa.Table, skip: int, min_words: int) -> Iterator[pa.RecordBa
         yield found(table, i[at], start[at], stop[lo : lo + CHUNK], other[at])
 
 
-def part() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId()
-
-
 MATCH_NAMES = [c.split()[0] for c in MATCH.split(", ")]
 
 
 def found(table: pa.Table, i: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     """Matches of the rows i."""
-    own = [table[c].combine_chunks().take(pa.array(i)) if c in ("id", "mark") else pa.nulls(len(i), table[c].type) for c in MATCH_NAMES[:7]]
-    more = [pa.nulls(len(i), pa.int32()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other.astype(np.int64))]
+    own = [table[c].combine_chunks().take(pa.array(i)) for c in MATCH_NAMES[:2]]
+    more = [pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(other.astype(np.int64))]
     return pa.RecordBatch.from_arrays([*own, *more], MATCH_NAMES)
 
 
-def whole(table: pa.Table, edge: int) -> pa.RecordBatch:
-    """Rows at an end of a range, to be compared with those beyond it."""
-    table, n = table.combine_chunks(), table.num_rows
-    more = [pa.array([edge] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-    own = [x if isinstance(x := table[c].combine_chunks(), pa.Array) else pa.concat_arrays(x.chunks) for c in MATCH_NAMES[:7]]
-    return pa.RecordBatch.from_arrays([*own, *more], MATCH_NAMES)
+def stretches(suffixes: DataFrame, min_words: int) -> DataFrame:
+    """Spans (id, mark, start, end, other) of the suffixes in large groups: every stretch of ``min_words`` words around a suffix, that another document has."""
+    sides = [(r, min_words - r) for r in range(GRAM, min(RIGHT, min_words) + 1) if min_words - r <= LEFT]
+    own = [
+        F.when(
+            (F.col("n_right") >= r) & (F.col("n_left") >= l),
+            F.struct(F.xxhash64("h", F.lit(r), F.substring("context", 1, 2 * r), F.substring("context", 2 * RIGHT + 1, 2 * l)).alias("key"), (F.col("pos") - l).alias("start"), (F.col("pos") + r).alias("end")),
+        )
+        for r, l in sides
+    ]
+    each = suffixes.select("id", "mark", "pos", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("s")).select("id", "mark", "pos", "s.*")
+    keys = stored(each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b"), "stretches")
+    most = max(CHUNK, each.count() // 1000)
+    common = F.broadcast(keys.where(F.col("n") > most).select("key", "a", "b"))  # fewer than 1000
+    rare = keys.where(F.col("n") <= most).select("key", "a", "b")
+    hits = each.join(common, "key").unionByName(each.join(common, "key", "left_anti").join(rare, "key"))
+    other = F.when(F.col("a") == F.col("id"), F.col("b")).otherwise(F.col("a"))
+    near = F.floor(F.col("pos") / GRAM)  # stretches around suffixes this near overlap: each holds the GRAM words from its suffix on
+    return hits.groupBy("id", "mark", near).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(other).alias("other")).select("id", "mark", "start", "end", "other")
 
 
 def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -243,19 +245,18 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("id", "text"))
     kept = stored(own.mapInArrow(lambda b: chosen(b, min_words), "id long, mark long, n_words long, pos array<array<int>>, h array<long>"), "suffixes")
     each = kept.where("id is not null").select("id", "mark", F.inline(F.arrays_zip("pos", "h")))
-    shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h")
-    places = each.join(shared, "h").groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
-    every = F.flatten(F.transform("at", lambda x: F.transform(x.pos, lambda p: F.struct(p.alias("pos"), x.h.alias("h")))))
-    placed = places.select("id", "mark", every.alias("at")).select("id", "mark", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"))
-    suffixes = stored(own.join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "pos", "h").mapInArrow(contexts, SUFFIX), "contexts")
-    order = ["h", "context", "id"]
+    shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum(F.size("pos")).alias("n")).where("a < b").select("h", (F.col("n") >= CHUNK).alias("large"))
+    places = each.join(shared, "h").groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "h", "large")).alias("at"))
+    every = F.flatten(F.transform("at", lambda x: F.transform(x.pos, lambda p: F.struct(p.alias("pos"), x.h.alias("h"), x.large.alias("large")))))
+    placed = places.select("id", "mark", every.alias("at")).select("id", "mark", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"), F.col("at.large").alias("large"))
+    suffixes = stored(own.join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "pos", "h", "large").mapInArrow(contexts, SUFFIX), "contexts")
     n = parts(suffixes.count(), ROWS_EACH, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    after = F.substring("context", 2 * GRAM + 1, 2 * GRAM)  # the words after those that equal h already tells; short, as ranges come from a sample
-    sorted_ = suffixes.repartitionByRange(n, "h", after, "id").sortWithinPartitions(*order, "pos")
-    all_ = stored(sorted_.mapInArrow(lambda b: matches(b, min_words, True), MATCH), "matches")
-    columns = [c.split()[0] for c in SUFFIX.split(", ")]
-    edges = dealt(all_.where("edge is not null"), ["edge"], *order, "pos").select(columns)  # 2 * EDGE rows for each pair of ranges at most
-    spans = all_.where("edge is null").unionByName(edges.mapInArrow(lambda b: matches(b, min_words, False), MATCH)).select("id", "mark", "start", "end", "other")
+    sorted_ = suffixes.where("not large").repartition(n, "h").sortWithinPartitions("h", "context", "id", "pos")
+    spans = sorted_.mapInArrow(lambda b: matches(b, min_words), MATCH).select("id", "mark", "start", "end", "other")
+    large = suffixes.where("large")
+    if not large.isEmpty():
+        spans = spans.unionByName(stretches(large, min_words))
+    spans = stored(spans, "matches")
     before = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, 0)
     merged = (
