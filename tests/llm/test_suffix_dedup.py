@@ -71,5 +71,26 @@ def test_rare_contexts_of_a_frequent_passage(spark, monkeypatch):
     assert have == sorted(brute(rows, 50))
 
 
+def test_neighbours_across_chunks_of_a_large_group(spark, monkeypatch):
+    """Pairs that lie side by side in the order, in a group read in many batches: both documents have the span, wherever a chunk ends."""
+    monkeypatch.setattr(S, "CHUNK", 32)
+    monkeypatch.setattr(S, "EDGE", 8, raising=False)
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    frequent, rows = least_hashed(text), []
+    for k in range(300):
+        before, after = text(31), text(3)
+        rows += [(2 * k + i, " ".join(before + frequent + after + text(30))) for i in range(2)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "33")
+    try:
+        got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    finally:
+        spark.conf.unset(key)
+    have = sorted((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in got)
+    assert sum(r.n_repeated > 0 for r in got) == len(rows)
+    assert have == sorted(brute(rows, 50))
+
+
 def test_nothing(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -35,7 +35,6 @@ WINDOW = 32
 RIGHT, LEFT = 56, 40
 SLICE_BYTES = 1 << 20
 CHUNK = 20_000
-EDGE = 200
 ROWS_EACH = 500_000
 
 
@@ -113,30 +112,26 @@ MATCH = "id long, mark long, start int, end int, other long"
 
 
 def matches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches of a sorted stream, in chunks of whole groups (equal first words). A group above the chunk size goes on with its last
-    rows as neighbours of the next ones."""
+    """Matches of a sorted stream, in chunks of whole groups (equal first words)."""
     waiting: list[pa.RecordBatch] = []
-    n = skip = 0
+    n = 0
 
     def chunk(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal n, skip
+        nonlocal n
         table = pa.Table.from_batches(waiting).combine_chunks()
         waiting.clear()
         h = table["h"].to_numpy()
         new = np.flatnonzero(h[1:] != h[:-1]) + 1
-        cut = len(h) if last or not len(new) or new[-1] <= skip else int(new[-1])
-        yield from compared(table.slice(0, cut).combine_chunks(), skip, min_words)
-        keep = cut if cut < len(h) else max(0, len(h) - EDGE)
-        skip = cut - keep
-        if not last:
-            waiting.extend(table.slice(keep).combine_chunks().to_batches())
-        n = len(h) - keep
+        cut = len(h) if last else int(new[-1]) if len(new) else 0
+        yield from compared(table.slice(0, cut).combine_chunks(), min_words)
+        waiting.extend(table.slice(cut).combine_chunks().to_batches())
+        n = len(h) - cut
 
     for b in batches:
         if b.num_rows:
             waiting.append(b)
             n += b.num_rows
-            if n >= CHUNK + skip:
+            if n >= CHUNK:
                 yield from chunk(False)
     if waiting:
         yield from chunk(True)
@@ -147,8 +142,8 @@ def lengths(equal: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(equal.all(1), equal.shape[1], (~equal).argmax(1)), most)
 
 
-def compared(table: pa.Table, skip: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches of the rows from ``skip`` on.
+def compared(table: pa.Table, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Matches of the rows of whole groups.
 
     For each number r of words to the right, rows with the same r words are neighbours in the order of their words to the left, so the
     nearest ones from other documents match farthest to the left. r grows as the sorted array's common prefixes tell."""
@@ -185,7 +180,6 @@ def compared(table: pa.Table, skip: int, min_words: int) -> Iterator[pa.RecordBa
             partner[r - GRAM, a[better]] = ids[b[better]]
     r = np.arange(GRAM, RIGHT + 1)[:, None]
     corner = (reach[:-1] >= 0) & (reach[:-1] + r >= min_words) & (reach[1:] < reach[:-1])
-    corner[:, :skip] = False
     k, i = np.nonzero(corner)
     if not len(i):
         return
