@@ -34,6 +34,18 @@ def test_round_trip(spark, monkeypatch):
     assert warc.fetch(directory, spark.createDataFrame([(bytearray(b"none"),)], "key binary")).count() == 0
 
 
+def test_keys_over_several_blocks(spark):
+    rows = [(i // 3, f"http://a.org/{i // 3:05d}", f"page {i}") for i in range(3000)]
+    rows += [(5000, "http://b.org/", f"again {i}") for i in range(1000)] + [(None, "http://c.org/", f"none {i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    directory = warc.write(df)
+    key = warc.capture_key(F.col("url"), F.col("page_id")).alias("key")
+    got = warc.fetch(directory, df.select(key)).collect()
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(h for _, _, h in rows)
+    one = warc.fetch(directory, df.where("page_id = 5000").select(key)).collect()
+    assert len(one) == 1000
+
+
 def test_files_are_gzip_members_of_whole_records(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h{i}.org/", "p" * 150) for i in range(5)], "page_id long, url string, html string")
     file = warc.write(df).first().index_file.removeprefix("file://")

@@ -3,7 +3,7 @@
 ``write`` sorts the captures by reversed-host URL key, and each task writes its range: gzip members into archive files and, in the
 same order, index lines into compressed blocks of ``BLOCK_LINES`` captures. It returns the sparse directory, one row for each
 block with its first key and place. ``fetch`` answers a table of keys: a binary search in the first keys of the ranges
-says to which task a key goes, there a search in the directory finds the block and one inside the block the captures, and only
+says to which task a key goes, there the directory gives the blocks that may hold it (several, where its captures cross their borders), a search inside each the captures, and only
 then their bytes are read, as ranges of the archive files.
 
 Equal payloads of at least ``least`` bytes are stored once, with the smallest page_id; other captures become revisit records,
@@ -194,8 +194,8 @@ def fetch(directory: DataFrame, keys: DataFrame, with_payload: bool = True) -> D
             found = [ranges[max(0, bisect_right(first_keys, k) - 1)] for k in b["key"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), b["key"]], ["range", "key"])
 
-    wanted = keys.select("key").distinct().mapInArrow(routed, "range int, key binary").withColumns({c: F.lit(None).cast(t) for c, t in (("index_file", "string"), ("offset", "long"), ("length", "long"))})
-    known = directory.select("range", F.col("first_key").alias("key"), "index_file", "offset", "length")
+    wanted = keys.select("key").distinct().mapInArrow(routed, "range int, key binary").withColumns({c: F.lit(None).cast(t) for c, t in (("last_key", "binary"), ("index_file", "string"), ("offset", "long"), ("length", "long"))})
+    known = directory.select("range", F.col("first_key").alias("key"), "last_key", "index_file", "offset", "length")
     both = known.unionByName(wanted).repartition(len(tops), "range").sortWithinPartitions("range", "key", F.col("index_file").isNull())
     return both.mapInArrow(lambda batches: fetched(batches, with_payload), RECORD)
 
@@ -204,18 +204,21 @@ def fetched(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[p
     """Goes through blocks and keys in order."""
     from pyarrow.fs import FileSystem
 
-    place: tuple | None = None
+    places: list[tuple] = []  # blocks that may hold the next keys, in order
     wanted: list[bytes] = []
 
     def answers() -> Iterator[tuple]:
-        if place is None or not wanted:
-            return
-        file, offset, length = place
+        for first, last, *place in places:
+            own = wanted[bisect_left(wanted, first) : bisect_right(wanted, last)]
+            if own:
+                yield from found(own, *place)
+
+    def found(keys: list[bytes], file: str, offset: int, length: int) -> Iterator[tuple]:
         fs, path = FileSystem.from_uri(file)
         lines = [x.rpartition(b"\t") for x in zlib.decompress(ranged(fs, path, offset, length)).split(b"\n")]
         own = [k for k, _, _ in lines]
         spans = []
-        for k in wanted:
+        for k in keys:
             for i in range(bisect_left(own, k), bisect_right(own, k)):
                 name, at, n = lines[i][2].decode().rsplit(" ", 2)
                 spans.append((name, int(at), int(n)))
@@ -226,13 +229,16 @@ def fetched(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[p
                 yield parsed(zlib.decompress(data[at - start : at - start + n], 31), with_payload)
 
     def rows() -> Iterator[tuple]:
-        nonlocal place
+        nonlocal places
         for b in batches:
-            for key, file, offset, length in zip(*(b[c].to_pylist() for c in ("key", "index_file", "offset", "length")), strict=True):
+            for key, last, file, offset, length in zip(*(b[c].to_pylist() for c in ("key", "last_key", "index_file", "offset", "length")), strict=True):
                 if file is not None:
-                    yield from answers()
-                    place = (file, offset, length)
-                    wanted.clear()
+                    if wanted:
+                        yield from answers()
+                        wanted.clear()
+                    if places and places[0][1] < key:
+                        places = [p for p in places if p[1] >= key]
+                    places.append((key, last, file, offset, length))
                 else:
                     wanted.append(key)
                     if len(wanted) >= 4 * BLOCK_LINES:
