@@ -38,6 +38,21 @@ def test_links_levels_and_bodies(spark):
     assert len(got) == len(ROWS)
 
 
+def test_trimmed_quotations(spark):
+    rows = [
+        (1, 0, "a", "One is here.\n\nTwo is here.\n\nThree is here.", ""),
+        (1, 1, "b", "A line to begin with\nand one to go on\nand a last one", ""),
+        (1, 2, "c", "First sentence. Second, a longer one! And a third?", ""),
+        (1, 3, "d", "Between.", ""),
+        (1, 4, "e", "> Two is here.\n>\n> Three is here.\nyes", ""),
+        (1, 5, "f", "> A line to begin with\n> and one to go on\nso", ""),
+        (1, 6, "g", "> Second, a\n> longer one!\nno", ""),
+        (1, 7, "h", "> never said\nwhat", ""),
+    ]
+    got = {k[1]: (r.parent_turn, r.n_quotes, r.n_linked) for k, r in run(spark, rows).items()}
+    assert [got[t] for t in (4, 5, 6, 7)] == [(0, 1, 1), (1, 1, 1), (2, 1, 1), (6, 1, 0)]
+
+
 def test_parents_stand_before_replies(spark, monkeypatch):
     monkeypatch.setattr(Q, "SPAN", 16)
     monkeypatch.setattr(Q, "PARENTS", 4)

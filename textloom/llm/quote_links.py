@@ -4,7 +4,8 @@ A line that begins with ``>`` marks (blanks between them allowed) is quoted at t
 level are a passage. The rest of a message is its body; a line like "On ... wrote:" right before a quotation goes with it. Passages, and of each
 body the whole, its paragraphs and its lines, are normalised (marks and white space to single blanks, lower case) and
 hashed to 128 bits. A passage links to the last earlier message of its conversation with an equal part, found in one ordered pass along
-each hash, without pairs. A message replies to the message that its outermost linked passage comes from (the later of several), else to the
+each hash, without pairs. Where the whole passage has no match, its paragraphs, lines and sentences are looked up so, among those of the bodies, and it links
+to the message that most of them come from (the later of several). A message replies to the message that its outermost linked passage comes from (the later of several), else to the
 one before it.
 
 The result has the messages in reply order: a message stands after the one it replies to, since that has an earlier turn. Order and grouping
@@ -40,8 +41,17 @@ def body(text: str) -> Column:
     return F.expr(f"trim(BOTH '\\n' FROM array_join(filter({lines}, (x, i) -> not (x rlike '{QUOTED}') and not (x rlike '{WROTE}' and coalesce(get({lines}, i + 1) rlike '{QUOTED}', false))), '\\n'))")
 
 
+def split_parts(text: Column | str) -> Column:
+    """The whole text, its paragraphs and its lines, normalised."""
+    return F.array_distinct(F.transform(F.flatten(F.array(F.array(text), F.split(text, r"\n\s*\n", -1), F.split(text, "\n", -1))), normal))
+
+
+def sentences(parts: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(parts, lambda x: F.split(x, r"(?<=[.!?]) ", -1))))
+
+
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, passage (normalised) of each quoted passage."""
+    """conv_id, turn, own and run (which passage of the message), level, passage (normalised) and raw (its lines without marks) of each quoted passage."""
     quoted = messages.where(F.expr(f"text rlike '(?m){QUOTED}'")).select("conv_id", "turn", F.xxhash64("text").alias("own"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     marks = F.regexp_extract("line", r"^[ \t]*(>[> \t]*)", 1)
     lined = quoted.select("conv_id", "turn", "own", "pos", "line", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"))
@@ -49,7 +59,7 @@ def passages(messages: DataFrame) -> DataFrame:
     begins = F.when(F.lag("level").over(message) == F.col("level"), 0).otherwise(1)
     runs = lined.withColumn("begins", begins).withColumn("run", F.sum("begins").over(message)).where("level > 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
-    return runs.groupBy("conv_id", "turn", "own", "run", "level").agg(normal(joined).alias("passage")).where("passage != ''").select("conv_id", "turn", "level", "passage")
+    return runs.groupBy("conv_id", "turn", "own", "run", "level").agg(normal(joined).alias("passage"), F.regexp_replace(joined, r"(?m)^[ \t]*>[> \t]*", "").alias("raw")).where("passage != ''")
 
 
 def links(messages: DataFrame) -> DataFrame:
@@ -57,12 +67,19 @@ def links(messages: DataFrame) -> DataFrame:
     found = passages(messages)
     threads = found.select("conv_id").distinct()
     bodies = messages.join(threads, "conv_id", "left_semi").select("conv_id", "turn", body("text").alias("body"))
-    own = F.array_distinct(F.transform(F.flatten(F.array(F.array("body"), F.split("body", r"\n\s*\n", -1), F.split("body", "\n", -1))), normal))
-    parts = bodies.select("conv_id", "turn", F.explode(own).alias("part")).where("part != ''")
-    both = parts.select("conv_id", "turn", F.lit(None).cast("int").alias("level"), *hashed(F.col("part"))).unionAll(found.select("conv_id", "turn", "level", *hashed(F.col("passage"))))
+    key = ["conv_id", "turn", "own", "run", "level"]
+    bare = [F.lit(None).cast(t).alias(c) for c, t in (("own", "long"), ("run", "long"), ("level", "int"))]
+    marked = lambda parts, whole: F.transform(parts, lambda x: F.struct(x.alias("part"), F.lit(whole).alias("whole")))
+    of_body = F.concat(marked(split_parts("body"), True), marked(sentences(split_parts("body")), False))
+    of_passage = F.concat(marked(F.array("passage"), True), marked(F.array_distinct(F.concat(split_parts("raw"), sentences(split_parts("raw")))), False))
+    parts = bodies.select("conv_id", "turn", *bare, F.inline(of_body)).unionByName(found.select(*key, F.inline(of_passage))).where("part != ''")
+    both = parts.select(*key, "whole", *hashed(F.col("part")))
     along = Window.partitionBy("conv_id", "h1", "h2").orderBy("turn", F.col("level").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    source = F.last(F.when(F.col("level").isNull(), F.col("turn")), ignorenulls=True).over(along)
-    linked = both.withColumn("source", source).where("level is not null")
+    before = lambda which: F.last(F.when(F.col("level").isNull() & which, F.col("turn")), ignorenulls=True).over(along)
+    looked = both.select(*key, "whole", before(F.col("whole")).alias("equal"), before(F.lit(True)).alias("near")).where("level is not null")
+    votes = looked.groupBy(*key, "near").agg(F.max(F.when(F.col("whole"), F.col("equal"))).alias("equal"), F.sum(F.when(F.col("whole"), 0).otherwise(1)).alias("votes"))
+    most = F.max(F.when(F.col("near").isNotNull(), F.struct("votes", "near"))).getField("near")
+    linked = votes.groupBy(*key).agg(F.coalesce(F.max("equal"), most).alias("source"))
     nearest = F.max(F.when(F.col("source").isNotNull(), F.struct((-F.col("level")).alias("l"), "source")))
     return linked.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("source").alias("n_linked"), nearest.getField("source").alias("quoted_turn"))
 
