@@ -38,9 +38,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least id."""
+    """One document of each group stays, the one with the least id. Rows that repeat a doc_id stay or go together, by the set that the join compares (the least
+    digest); of those that stay, only rows with the same text become one (with the least of the other columns), so the texts left don't change between runs."""
     found = jaccard_join.joined_documents(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
+    rest = F.min(F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")])).alias("rest")
+    return kept.groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

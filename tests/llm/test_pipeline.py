@@ -47,3 +47,12 @@ def test_nothing(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_stay(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    rows = [(1, "one text of its own here", "en", "a", 24), (1, "another text that differs much", "en", "b", 30), (1, "one text of its own here", "en", "a", 24), (2, "a third text for the second id", "en", "a", 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted({r[:2] for r in rows})
