@@ -83,6 +83,7 @@ FROM lines LEFT JOIN often ON lines.key = often.key GROUP BY doc_id
 
 
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations in parts, in reply order. Messages without a conv_id belong to none and are left out; ``reply_ordered`` returns them."""
     parts = conversations(reply_ordered(table(spark, sf_dir, "conversations")))
     turns = F.array_join(F.transform("messages", lambda m: m.turn.cast("string")), ",")
     return parts.select("conv_id", "part", "subpart", "n_messages", "n_quotes", "n_linked", turns.alias("turns"), chat_text().alias("chat"))

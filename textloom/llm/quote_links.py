@@ -109,7 +109,7 @@ def reply_ordered(messages: DataFrame, *, conv_id: str = "conv_id", turn: str =
 
 def conversations(ordered: DataFrame) -> DataFrame:
     """A row for each group of at most ``SPAN`` turns: conv_id, part, subpart (their order), n_messages, n_quotes, n_linked and messages,
-    an array of role, content, turn and parent_turn in reply order."""
+    an array of role, content, turn and parent_turn in reply order. Messages without a conv_id are left out."""
     own = F.struct("parent_turn", "turn", "role", "content")
     return (
         ordered.where("conv_id is not null").groupBy("conv_id", "part", "subpart")
