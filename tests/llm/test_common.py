@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from textloom.llm import common
 
 
@@ -30,4 +32,7 @@ def test_folder_of_the_session_or_one_of_our_own():
             self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
 
     assert common.shared_dir(Session(spark_checkpoint_dir="hdfs://n/x/")) == "hdfs://n/x"
-    assert common.shared_dir(Session()).startswith("file:///")
+    assert common.shared_dir(Session(spark_master="local[2]")).startswith("file:///")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):  # their machines don't share a local folder
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(spark_master=master))

@@ -27,8 +27,7 @@ def brute(rows, threshold):
     return out
 
 
-def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+def test_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
     for c in range(30):
@@ -38,11 +37,23 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [None] * 16), (5004, [float("nan")] * 16), (5005, [float("inf")] + [1.0] * 15), (5006, [1.0, 2.0]), (5007, [2.0, 4.0])]
     rows += [(rows[3][0], None), (rows[4][0], rows[4][1])]
     df = spark.createDataFrame([(*r, "x") for r in [*rows, (None, rows[0][1])]], "vec_id long, embedding array<double>, n_links string").repartition(5)
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.linked(df, recall=0.999999).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.linked(df, recall=0.999999, block=20).collect()}
     assert got.pop(None) == (0, None, True)
     assert got == brute(rows, 0.9)
 
 
+def test_exact_copies_meet_once(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((6, 8))
+    rows = [(k, base[k % 6].tolist()) for k in range(3000)] + [(3000 + k, (base[0] + 0.01 * rng.standard_normal(8)).tolist()) for k in range(40)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.linked(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=16).collect()}
+    x = np.array([np.array(v, np.float32) for _, v in rows], float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    near = x @ x.T >= 0.9
+    assert {k: n for k, (n, _, _) in got.items()} == {k: int(near[k].sum()) - 1 for k in range(len(rows))}
+    assert all(got[k][1] == int(np.flatnonzero(near[k])[0]) for k in range(len(rows)))
+
+
 def test_layout():
     assert embedding_dedup.layout(0, 0.9, 0.99)[0] == 4
     for rows in (100, 50_000, 10**9):

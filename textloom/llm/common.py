@@ -9,12 +9,16 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local one if the session is local (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (the master is {master!r})")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{os.getuid()}-{os.getpid()}")
     return found.rstrip("/")
 
@@ -53,6 +57,7 @@ def discard(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
         if path.getName().startswith("textloom-"):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _written[:] = [x for x in _written if not x.endswith("/" + path.getName())]
 
 
 BATCH_BYTES = 8 << 20
@@ -71,37 +76,37 @@ def parts(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
-def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Dealt by the keys and sorted by them (and ``order``) within partitions, for a function whose work isn't told by the bytes it reads: the number of
-    partitions is the session's, and stays so."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def dealt(df: DataFrame, keys: list[str], *order: str, rows: int = 0, each: int = 200_000) -> DataFrame:
+    """Dealt by the keys and sorted by them (and ``order``) within partitions, for a function whose work isn't told by the bytes it reads: there are
+    as many partitions as the session has, more where ``rows`` are more than ``each`` in one."""
+    n = parts(rows, each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def runs(
-    batches: Iterator[pa.RecordBatch], keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 20_000
+    batches: Iterator[pa.RecordBatch], keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 20_000, most_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Feeds ``fn`` with tables of whole groups, for a stream that is sorted by ``keys`` within its partition.
 
-    A table holds several whole groups, of at least ``most`` rows together where there are that many; what one call
+    A table holds several whole groups, of about ``most`` rows or ``most_bytes`` together where there are that many; what one call
     holds is bounded by that and by the largest group, so callers split groups before they grow large.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < most:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        cut = last_group(table, keys)
-        if cut:
-            yield from fn(table.slice(0, cut))
-            held, n = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
-        else:
-            held = table.to_batches()
+    n = size = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, most):
+            batch = whole.slice(at, most)
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n < most and size < most_bytes:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = last_group(table, keys)
+            if cut:
+                yield from fn(table.slice(0, cut))
+                held, n, size = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut, 0
+            else:
+                held, n, size = table.to_batches(), 0, 0  # one group still: look again after as much more
     if held:
         yield from fn(pa.Table.from_batches(held).combine_chunks())
 
@@ -120,6 +125,12 @@ def last_group(table: pa.Table, keys: list[str]) -> int:
     return lo
 
 
+def among(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose column is in ``ids`` (a stored table without repeats), or with ``left_anti`` the others. Up to ``most`` ids are broadcast, so
+    that ``df`` stays where it is; more are joined."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, how)
+
+
 def bounds(*columns) -> list[int]:
     """Starts of the groups of equal neighbours in numpy arrays, and the number of rows at the end."""
     import numpy as np
