@@ -2,16 +2,19 @@
 
 A document is its set of runs of five words (of fewer, if it has fewer). Documents with the same set are one class, which takes part once.
 
-Candidates. The set of a class is embedded as ``COORDINATES`` min-hash tokens, of which similar sets share about the fraction of their
+Paths. The set of a class is embedded as ``COORDINATES`` min-hash tokens, of which similar sets share about the fraction of their
 similarity. A node of the search holds some classes; it samples coordinates, each with probability 1 / (threshold * COORDINATES), and its
 children hold the classes with the same token there. So two classes at the threshold share a child once on average, as long as they
-shared the node. Nodes of at most ``BUCKET`` classes are searched by brute force on the tokens, larger ones split again; at the last
-level large ones are searched in pairs of chunks. ``runs_needed`` independent runs reach the target recall for pairs at the threshold itself,
+shared the node. Nodes of at most ``BUCKET`` classes are leaves, larger ones split again; at the last level all are leaves, large ones in pairs of
+chunks. ``runs_needed`` independent runs reach the target recall for pairs at the threshold itself,
 from the survival probability of the branching process at the depth in use. The first coordinates are drawn once for all pairs, so ``planned`` draws
-on until those drawn reach it too; closer pairs are found more surely, and a pair also counts as found if links found for others connect it.
+on until those drawn reach it too; closer pairs are found more surely.
 
-Verification. Classes that candidates connect form groups; within a group all pairs are compared on their whole sets, exactly, block by block. A
-block holds a bounded number of shingles, and its task emits a row for each class (number of linked documents, least linked id), not pairs.
+Leaves are searched by brute force, twice. First only a byte of each token and the list of a class's leaves meet: a pair is a candidate if it shares as many tokens
+as a pair at the threshold does (but four standard deviations, which are wide for small sets), and only in the least leaf that holds both, so no pair comes up
+twice. Then only the classes with a candidate in a leaf go there again, with their texts, and those pairs are compared on their whole sets, exactly. A
+block holds a bounded number of shingles, and its task emits a row for each class (number of linked documents, least linked id), not pairs. So the work
+is that of the leaves, however far chains of links reach.
 
 Edge cases: documents without a word link with nothing, nor do rows without an id, which come back one by one; rows that repeat an id are one document
 (with the least digest of their sets); an empty table gives an empty result.
@@ -28,8 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, bounds, dealt, runs, stored
+from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, runs, stored
 from textloom.llm.components import components
+from textloom.llm.embedding_dedup import lowest
 from textloom.llm.token_counts import slices
 from textloom.llm.words import Words, mix, windows, words
 
@@ -37,9 +41,8 @@ WORDS = 5
 COORDINATES = 128
 BUCKET = 256
 LEVELS = 3
-RECALL = 0.99
-MARGIN = 0.14
-BLOCK = 128
+RECALL = 0.999
+SIGMAS = 4
 BLOCK_SHINGLES = 200_000
 SLICE_BYTES = 1 << 20
 SEED = 77
@@ -120,19 +123,21 @@ def sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
     for b in batches:
         texts = pc.fill_null(b["text"].cast(pa.large_string()), "")
         for at, to in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
-            n, d1, d2, out = [], [], [], []
+            n, d1, d2, out, marks = [], [], [], [], []
             for s in shingle_sets(words(texts.slice(at, to - at)), size):
                 one, two = digest(s)
                 n.append(len(s))
                 d1.append(one)
                 d2.append(two)
                 out.append(tokens(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b["id"].slice(at, to - at), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(out, pa.binary())], ["id", "n", "d1", "d2", "tokens"])
+                marks.append(out[-1][::4] if len(s) else None)
+            numbers = [pa.array(c, pa.int64()) for c in (n, d1, d2)]
+            yield pa.RecordBatch.from_arrays([b["id"].slice(at, to - at), *numbers, pa.array(out, pa.binary()), pa.array(marks, pa.binary())], ["id", "n", "d1", "d2", "tokens", "marks"])
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind: str = "<u4") -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, COORDINATES)
 
 
 def child(node: np.ndarray | int, coordinate: int, value: np.ndarray) -> np.ndarray:
@@ -144,10 +149,10 @@ def roots(batches: Iterator[pa.RecordBatch], plan: list[tuple[int, list[int]]])
     """The first nodes of each class in all runs."""
     for b in batches:
         if b.num_rows:
-            m, ids = matrix(b["tokens"]), b["id"]
+            m = matrix(b["tokens"])
             for run, chosen in plan:
                 for c in chosen:
-                    yield pa.RecordBatch.from_arrays([pa.array(child(run, c, m[:, c])), ids], ["node", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child(run, c, m[:, c])), b["id"], b["n"]], ["node", "id", "n"])
 
 
 def sampled(node: int, threshold: float) -> list[int]:
@@ -157,69 +162,89 @@ def sampled(node: int, threshold: float) -> list[int]:
 
 
 def split(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The children of the nodes that the rows are in."""
     known: dict[int, list[int]] = {}
     for b in batches:
         if not b.num_rows:
             continue
-        m, ids, nodes = matrix(b["tokens"]), b["id"].to_numpy(), b["node"].to_numpy()
-        for node in np.unique(nodes):
-            at = np.flatnonzero(nodes == node)
+        m, nodes = matrix(b["tokens"]), b["node"].to_numpy()
+        which, inverse = np.unique(nodes, return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        ends = np.cumsum(np.bincount(inverse))
+        at, value = [], []
+        for k, node in enumerate(which.tolist()):
             if node not in known:
                 if len(known) > 100_000:
                     known.clear()
-                known[node] = sampled(int(node), threshold)
+                known[node] = sampled(node, threshold)
+            own = order[ends[k - 1] if k else 0 : ends[k]]
             for c in known[node]:
-                yield pa.RecordBatch.from_arrays([pa.array(child(node, c, m[at, c])), pa.array(ids[at])], ["node", "id"])
+                at.append(own)
+                value.append(child(node, c, m[own, c]))
+        if at:
+            rows, value = np.concatenate(at), np.concatenate(value)
+            for lo in range(0, len(rows), 4096):
+                own = b.select(["id", "n", "tokens"]).take(pa.array(rows[lo : lo + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(value[lo : lo + 4096]), *own.columns], ["node", "id", "n", "tokens"])
 
 
-def joined(groups: DataFrame, sketches: DataFrame) -> DataFrame:
-    return groups.join(sketches.select("id", "tokens"), "id")
+def least_tokens(n: np.ndarray, threshold: float) -> np.ndarray:
+    """How many tokens a set of n shingles shares at least with one at the threshold: fewer distinct shingles spread more."""
+    spread = np.sqrt(threshold * (1 - threshold) / np.clip(n, 1, COORDINATES))
+    return np.maximum(1, np.ceil(COORDINATES * (threshold - SIGMAS * spread))).astype(np.int64)
 
 
-def searched(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
-    """Brute force on the tokens within nodes: each class with the least one it connects with, where that is another."""
+class Leaves:
+    """The leaves of the rows of a table, as lists of numbers."""
+
+    def __init__(self, column: pa.ChunkedArray) -> None:
+        lists = column.combine_chunks()
+        self.first = lists.offsets.to_numpy()
+        self.node = lists.values.to_numpy()
+
+    def met(self, rows: np.ndarray, node: int) -> np.ndarray:
+        """Which two of the rows share a leaf below this one."""
+        size = self.first[rows + 1] - self.first[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        own = self.node[np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        row, own = row[own < node], own[own < node]
+        _, column, n = np.unique(own, return_inverse=True, return_counts=True)
+        row, column = row[n[column] > 1], column[n[column] > 1]
+        _, column = np.unique(column, return_inverse=True)
+        m = np.zeros((len(rows), int(column.max()) + 1 if len(column) else 1), np.float32)
+        m[row, column] = 1
+        return (m @ m.T) > 0
+
+
+MET = ["node", "i", "j", "c", "id"]
+
+
+def searched(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows with a candidate, from whole leaves or two chunks of one."""
     keys = [table[k].to_numpy() for k in ("node", "i", "j")]
-    ids, chunk, m = table["id"].to_numpy(), table["c"].to_numpy(), matrix(table["tokens"])
-    out: list[list[np.ndarray]] = [[], []]
+    chunk, need, m, leaves = table["c"].to_numpy(), least_tokens(table["n"].to_numpy(), threshold), matrix(table["marks"], "u1"), Leaves(table["nodes"])
+    keep = np.zeros(len(chunk), bool)
     cuts = bounds(*keys)
-    need = math.ceil(least * COORDINATES)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         if hi - lo < 2:
             continue
-        x, own = m[lo:hi], ids[lo:hi]
-        if hi - lo == 2:
-            same = int((x[0] == x[1]).sum()) >= need
-            a, b = (np.array([0]), np.array([1])) if same else (np.zeros(0, int),) * 2
-        else:
-            near = np.stack([(x == r).sum(1) >= need for r in x])
-            if keys[1][lo] != keys[2][lo]:
-                near &= chunk[lo:hi, None] != chunk[None, lo:hi]
-            a, b = np.nonzero(np.triu(near, 1))
-        if len(a):
-            low = lowest(own, a, b)
-            some = low < own
-            out[0].append(own[some])
-            out[1].append(low[some])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*o, np.zeros(0, np.int64)]).astype(np.int64)) for o in out], ["id", "least"])
-
-
-def lowest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least id that links reach from each."""
-    low = ids.copy()
-    while True:
-        after = low.copy()
-        np.minimum.at(after, a, low[b])
-        np.minimum.at(after, b, low[a])
-        if (after == low).all():
-            return low
-        low = after
+        x, least = m[lo:hi], need[lo:hi]
+        near = np.stack([(x == r).sum(1, dtype=np.uint8) >= np.minimum(least, k) for r, k in zip(x, least, strict=True)])
+        near = np.triu(near, 1)
+        if keys[1][lo] != keys[2][lo]:
+            near &= chunk[lo:hi, None] != chunk[None, lo:hi]
+        some = np.flatnonzero(near.any(0) | near.any(1))
+        if len(some):
+            near = near[np.ix_(some, some)] & ~leaves.met(lo + some, keys[0][lo])
+            keep[lo + some] = near.any(0) | near.any(1)
+    yield from table.select(MET).filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def compared(table: pa.Table, threshold: float, size: int) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of whole sets within a block or between two of them."""
-    keys = [table[k].to_numpy() for k in ("group", "i", "j")]
+    """Exact comparison of whole sets within a leaf or between two chunks of one, of the pairs that have no leaf below it."""
+    keys = [table[k].to_numpy() for k in ("node", "i", "j")]
     ids, chunk, weight, d1 = (table[k].to_numpy() for k in ("id", "c", "size", "d1"))
-    texts = table["text"].combine_chunks().cast(pa.large_string())
+    texts, leaves = table["text"].combine_chunks().cast(pa.large_string()), Leaves(table["nodes"])
     out: list[list[np.ndarray]] = [[], [], []]
     cuts = bounds(*keys)
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -232,14 +257,15 @@ def compared(table: pa.Table, threshold: float, size: int) -> Iterator[pa.Record
                     at.append(k)
         if len(at) < 2:
             continue
+        at = np.array(at)
         n = np.array([len(s) for s in sets])
         common = overlaps(sets)
         near = np.triu(common >= threshold * (n[:, None] + n[None, :] - common) - 1e-6, 1)
         if keys[1][lo] != keys[2][lo]:
             near &= chunk[at][:, None] != chunk[at][None, :]
-        a, b = np.nonzero(near)
-        if not len(a):
+        if not near.any():
             continue
+        a, b = np.nonzero(near & ~leaves.met(at, keys[0][lo]))
         own, w = ids[at], weight[at]
         links = np.bincount(a, w[b], len(at)) + np.bincount(b, w[a], len(at))
         some = links > 0
@@ -277,21 +303,22 @@ def joined_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     bucket, levels = bucket or BUCKET, levels or LEVELS
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     named = own.where("id is not null")
-    rows = stored(named.mapInArrow(lambda b: sketched(b, size), "id long, n long, d1 long, d2 long, tokens binary"), "sketches")
+    rows = stored(named.mapInArrow(lambda b: sketched(b, size), "id long, n long, d1 long, d2 long, tokens binary, marks binary"), "sketches")
     ids = rows.groupBy("id").agg(F.min(F.struct("d1", "d2", "n")).alias("d")).select("id", "d.*")
     classes = stored(ids.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("size")), "classes")
-    first = classes.select(F.col("class_id").alias("id"), F.col("d1").alias("own"), "size", F.col("n").alias("own_n"))
-    sketches = stored(rows.join(first, "id").where("d1 = own").dropDuplicates(["id"]).select("id", "d1", "size", "n", "tokens"), "classes")
-
-    candidates = chosen_paths(sketches, threshold, recall, bucket, levels)
-    hung = components(candidates, "id", "least")
-    groups = stored(hung.select(F.col("node").alias("id"), F.col("component").alias("group")).unionByName(hung.select(F.col("component").alias("id"), F.col("component").alias("group")).distinct()), "groups")
-    facts = groups.join(sketches.select("id", "d1", "size", "n"), "id")
-    sums = facts.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    blocks = in_blocks(facts.join(sums, "group"), ["group"], ["id", "d1", "size"])
-    whole = stored(named.join(groups.select("id"), "id", "left_semi"), "texts")
-    keys = ["group", "i", "j"]
-    ready = dealt(blocks.join(whole, "id"), keys)
+    first = classes.select(F.col("class_id").alias("id"), F.col("d1").alias("own"), "size")
+    sketches = stored(rows.join(first, "id").where("d1 = own").dropDuplicates(["id"]).select("id", "d1", "size", "n", "tokens", "marks"), "classes")
+
+    leaves = chosen_paths(sketches.select("id", "n", "tokens"), threshold, recall, bucket, levels)
+    held = leaves.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("node", "k"))).alias("at"))
+    held = stored(held.select("id", "at", F.transform("at", lambda x: x.node).alias("nodes")), "held")
+    keys = ["node", "i", "j"]
+    met = held.join(sketches.select("id", "n", "marks"), "id").select("id", "n", "marks", "nodes", F.inline("at"))
+    met = dealt(in_blocks(met, ["node"], ["id", "n", "marks", "nodes"]), keys, rows=leaves.count(), each=100_000)
+    near = stored(met.mapInArrow(lambda b: runs(b, keys, lambda t: searched(t, threshold), 5000), "node long, i int, j int, c int, id long"), "candidates")
+    whole = stored(among(named, stored(near.select("id").distinct(), "ids"), "id"), "texts")
+    facts = held.select("id", "nodes").join(sketches.select("id", "d1", "size"), "id")
+    ready = dealt(near.join(facts, "id").join(whole, "id"), keys, rows=near.count(), each=20_000)
     found = stored(ready.mapInArrow(lambda b: runs(b, keys, lambda t: compared(t, threshold, size), 500), "id long, n long, least long"), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("links"))
     parts = components(found, "id", "least").withColumnRenamed("node", "id")
@@ -317,24 +344,25 @@ def in_blocks(df: DataFrame, keys: list[str], others: list[str]) -> DataFrame:
 
 
 def chosen_paths(sketches: DataFrame, threshold: float, recall: float, bucket: int, levels: int) -> DataFrame:
-    """Links of candidates (id, least)."""
+    """The leaves of the search: node, id of a class in it, k (number of chunks). Each class stands in a bounded number of them. ``sketches`` has id, n, tokens."""
     plan = planned(threshold, recall, levels)
-    nodes = sketches.select("id", "tokens").mapInArrow(lambda b: roots(b, plan), "node long, id long")
-    found = None
-    keys = ["node", "i", "j"]
+    nodes = sketches.mapInArrow(lambda b: roots(b, plan), "node long, id long, n long")
+    leaves: DataFrame | None = None
     for level in range(1, levels + 1):
         nodes = stored(nodes, "nodes")
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark")).where("n > 1")
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("mark")).where("classes > 1")
         sizes = stored(sizes, "sizes")
         last = level == levels
-        brute = sizes if last else sizes.where(F.col("n") <= bucket)
-        brute = brute.groupBy("n", "mark").agg(F.min("node").alias("node"))  # brute force gives the same for the same classes; splits don't, each node draws its own
-        ready = in_blocks(nodes.join(brute.select("node", F.ceil(F.col("n") / bucket).cast("int").alias("k")), "node"), ["node"], ["id"])
-        ready = dealt(joined(ready, sketches), keys)
-        links = stored(ready.mapInArrow(lambda b: runs(b, keys, lambda t: searched(t, threshold - MARGIN), 5000), "id long, least long"), "candidates")
-        found = links if found is None else found.unionByName(links)
-        large = sizes.where(F.col("n") > bucket)
+        k = F.greatest(F.ceil(F.col("classes") / bucket), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("k")
+        ends = sizes if last else sizes.where(F.col("classes") <= bucket)
+        ends = ends.groupBy("classes", "mark", k).agg(F.min("node").alias("node"))  # a leaf says the same as another with the same classes; nodes that split draw each on their own
+        own = stored(nodes.join(ends.select("node", "k"), "node").select("node", "id", "k"), "leaves")
+        leaves = own if leaves is None else leaves.unionByName(own)
+        large = sizes.where(F.col("classes") > bucket).select("node")
         if last or large.isEmpty():
-            return found
-        nodes = joined(nodes.join(large.select("node"), "node"), sketches).select("id", "tokens", "node").mapInArrow(lambda b: split(b, threshold), "node long, id long")
-    return found
+            return leaves
+        inside = stored(nodes.join(large, "node"), "inside")
+        if "tokens" not in nodes.columns:
+            inside = inside.join(among(sketches.select("id", "tokens"), stored(inside.select("id").distinct(), "ids"), "id"), "id")
+        nodes = inside.select("id", "n", "tokens", "node").mapInArrow(lambda b: split(b, threshold), "node long, id long, n long, tokens binary")
+    return leaves
