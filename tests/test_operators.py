@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import formats, messages, text
+from textloom.sources.schemas import CALCULATOR_ITEM
 from textloom.operators import evals, mixing, ordering, packing, preference, rewards, splits, synth, tokens
 from textloom.sources import readers, writers
 
@@ -228,7 +229,13 @@ def test_calculator_problems(spark):
         assert abs(float(out.getvalue()) - float(r.expected_output)) <= 1e-3 * (abs(float(r.expected_output)) + 1e-8) + 1e-9
     assert 0.15 < sum(r.has_error for r in rows) / 600 < 0.25
     assert {r.problem_type for r in rows} == {"arithmetic", "statistics", "conversion"}
-    assert rows == synth.calculator_problems(spark, 600).repartition(3).orderBy("question").collect() or len(rows) == 600
+    for r in rows:
+        told = r.response.split("By hand: ")[1].split("\n")[0]
+        assert r.response.rstrip().endswith(f"Result: {r.expected_output}") and (told != r.expected_output) == r.has_error
+    assert [f.name for f in CALCULATOR_ITEM] == synth.calculator_problems(spark, 1).columns
+    assert len({r.question for r in rows}) > 500 and len({r.problem_type for r in rows if r.has_error}) == 3
+    assert rows[:10] == synth.calculator_problems(spark, 10).collect() != synth.calculator_problems(spark, 10, rank=1).collect()
+    assert all(r.perfect == r.n for r in synth.quality_counters(synth.calculator_problems(spark, 300)).collect())
 
 
 def test_topic_switches(spark):
@@ -240,4 +247,6 @@ def test_topic_switches(spark):
         body = [m for m in r.messages if m.role != "system"]
         assert r.n <= 400 and [m.role for m in body] == ["user", "assistant"] * r.n_pairs
     assert 0.3 < sum(r.messages[0].role == "system" for r in rows) / 100 < 0.7
+    small = synth.topic_switches(pool.select("source", "i", F.array(*[F.struct(F.lit(r).alias("role"), F.lit("x").alias("content")) for r in ("user", "assistant")]).alias("messages")), "i", 5, {"a": 1.0}, budget=1200, p_system=0.0)
+    assert {r.n_pairs for r in small.collect()} == {(1200 - 2) // 4}  # the budget alone ends a conversation
     assert any(len({m.content.split(".")[0][1:] for m in r.messages if m.role == "user"}) > 1 for r in rows)

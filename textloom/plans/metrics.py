@@ -244,14 +244,3 @@ def core_metric(spark, sf_dir):
 )
 def lr_schedule(spark, sf_dir):
     return synth.lr_schedule(spark, 1000, 0.001).select("step", F.round("lr", 9).alias("lr"))
-
-
-@query()
-def gen_calculator(spark, sf_dir):
-    return synth.calculator_problems(spark, 2000)
-
-
-@query()
-def gen_topic_switch(spark, sf_dir):
-    own = synth.topic_switches(chats(spark, sf_dir), "conv_id", 500, {"smoltalk": 0.5, "lima": 0.2, "ultrachat_gen": 0.3})
-    return own.select("conv", "source", "n_pairs", F.size("messages").cast("long").alias("n_messages"))
