@@ -12,7 +12,7 @@ from textloom.llm.embedding_dedup import linked
 from textloom.llm.jaccard_join import joined_documents
 from textloom.llm.line_dedup import apply_bitmaps, drop_bitmaps
 from textloom.llm.packing import pack
-from textloom.llm.quote_links import chat_text, conversations, reply_ordered
+from textloom.llm.quote_links import chat_text, conversations
 from textloom.llm.suffix_dedup import repeated_spans
 from textloom.llm.token_counts import token_counts
 
@@ -83,14 +83,16 @@ FROM lines LEFT JOIN often ON lines.key = often.key GROUP BY doc_id
 
 
 def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations in parts, in reply order. Messages without a conv_id belong to none and are left out; ``reply_ordered`` returns them."""
-    parts = conversations(reply_ordered(table(spark, sf_dir, "conversations")))
+    """The conversations in reply order, without quotations. Messages without a conv_id belong to none and are left out; ``reply_ordered`` returns them."""
     turns = F.array_join(F.transform("messages", lambda m: m.turn.cast("string")), ",")
-    return parts.select("conv_id", "part", "subpart", "n_messages", "n_quotes", "n_linked", turns.alias("turns"), chat_text().alias("chat"))
+    parents = F.array_join(F.transform("messages", lambda m: F.coalesce(m.parent_turn.cast("string"), F.lit("-"))), ",")
+    out = conversations(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "part", "n_messages", "n_quotes", "n_linked", turns.alias("turns"), parents.alias("parents"), chat_text().alias("chat"))
 
 
+#: For tables in which no turn comes twice and conversations are no longer than ``MOST_MESSAGES``; the recursion walks the replies.
 OP4_SQL = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations
 ), lines AS (
   SELECT conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^[ \t]*(>[> \t]*)', 1) AS marks,
@@ -104,26 +106,43 @@ WITH m AS (
 ), runs AS (
   SELECT conv_id, turn, level, line, i, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM lev
 ), pas AS (
-  SELECT conv_id, turn, level, lower(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '[\s>]+', ' ', 'g'))) AS p
+  SELECT conv_id, turn, level, run, lower(trim(regexp_replace(string_agg(line, chr(10) ORDER BY i), '[\s>]+', ' ', 'g'))) AS p,
+    string_agg(regexp_replace(line, '^[ \t]*>[> \t]*', ''), chr(10) ORDER BY i) AS raw
   FROM runs WHERE level > 0 GROUP BY conv_id, turn, level, run
+), cut AS (
+  SELECT conv_id, turn, CAST(NULL AS BIGINT) AS level, CAST(NULL AS BIGINT) AS run, body AS x FROM bodies UNION ALL SELECT conv_id, turn, level, run, raw FROM pas WHERE p <> ''
+), whole AS (
+  SELECT DISTINCT conv_id, turn, level, run, lower(trim(regexp_replace(y, '[\s>]+', ' ', 'g'))) AS p
+  FROM (SELECT *, unnest(list_concat([x], regexp_split_to_array(x, '\n\s*\n'), string_split(x, chr(10)))) AS y FROM cut)
 ), parts AS (
-  SELECT DISTINCT conv_id, turn, lower(trim(regexp_replace(x, '[\s>]+', ' ', 'g'))) AS p
-  FROM (SELECT conv_id, turn, unnest(list_concat([body], regexp_split_to_array(body, '\n\s*\n'), string_split(body, chr(10)))) AS x FROM bodies)
+  SELECT conv_id, turn, level, run, p FROM whole UNION
+  SELECT conv_id, turn, level, run, unnest(string_split(regexp_replace(p, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) FROM whole
+), votes AS (
+  SELECT conv_id, turn, level, run, near, count(*) AS votes FROM (
+    SELECT a.conv_id AS conv_id, a.turn AS turn, a.level AS level, a.run AS run, a.p AS p, max(b.turn) AS near FROM parts a JOIN parts b ON a.conv_id = b.conv_id AND a.p = b.p AND b.turn < a.turn
+    WHERE a.level IS NOT NULL AND b.level IS NULL AND a.p <> '' GROUP BY ALL) GROUP BY ALL
+), most AS (
+  SELECT conv_id, turn, level, run, arg_max(near, (votes, near)) AS near FROM votes GROUP BY ALL
+), equal AS (
+  SELECT a.conv_id AS conv_id, a.turn AS turn, a.level AS level, a.run AS run, max(b.turn) AS equal FROM pas a JOIN whole b ON a.conv_id = b.conv_id AND a.p = b.p AND b.turn < a.turn WHERE b.level IS NULL GROUP BY ALL
 ), hits AS (
-  SELECT pas.conv_id AS conv_id, pas.turn AS turn, level, pas.p AS p, (SELECT max(q.turn) FROM parts q WHERE q.conv_id = pas.conv_id AND q.p = pas.p AND q.turn < pas.turn) AS source
-  FROM pas WHERE p <> ''
+  SELECT pas.conv_id AS conv_id, pas.turn AS turn, pas.level AS level, coalesce(equal, near) AS source FROM pas
+  LEFT JOIN equal e ON pas.conv_id = e.conv_id AND pas.turn = e.turn AND pas.level = e.level AND pas.run = e.run LEFT JOIN most v ON pas.conv_id = v.conv_id AND pas.turn = v.turn AND pas.level = v.level AND pas.run = v.run
+  WHERE p <> ''
 ), links AS (
-  SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (1000000 - level) * 1000000000 + source) AS quoted FROM hits GROUP BY conv_id, turn
+  SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, arg_max(source, (-level, source)) FILTER (WHERE source IS NOT NULL) AS quoted FROM hits GROUP BY conv_id, turn
 ), o AS (
   SELECT m.conv_id AS conv_id, m.turn AS turn, coalesce(m.role, 'user') AS role, body, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
     coalesce(quoted, lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn)) AS parent
   FROM m JOIN bodies ON m.conv_id = bodies.conv_id AND m.turn = bodies.turn LEFT JOIN links ON m.conv_id = links.conv_id AND m.turn = links.turn
+), tree AS (
+  SELECT conv_id, turn, [turn] AS path FROM o WHERE parent IS NULL
+  UNION ALL SELECT o.conv_id, o.turn, list_append(path, o.turn) FROM o JOIN tree ON o.conv_id = tree.conv_id AND o.parent = tree.turn
 )
-SELECT conv_id, CAST(floor(coalesce(parent, -1) / 256) AS BIGINT) AS part, CAST(floor(turn / 4096) AS BIGINT) AS subpart, count(*) AS n_messages,
-  CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked,
-  string_agg(CAST(turn AS VARCHAR), ',' ORDER BY parent NULLS FIRST, turn) AS turns,
-  string_agg('<|' || role || '|>' || chr(10) || body, chr(10) ORDER BY parent NULLS FIRST, turn) AS chat
-FROM o GROUP BY 1, 2, 3
+SELECT o.conv_id AS conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n_messages, CAST(sum(n_quotes) AS BIGINT) AS n_quotes, CAST(sum(n_linked) AS BIGINT) AS n_linked,
+  string_agg(CAST(o.turn AS VARCHAR), ',' ORDER BY path) AS turns, string_agg(coalesce(CAST(parent AS VARCHAR), '-'), ',' ORDER BY path) AS parents,
+  string_agg('<|' || role || '|>' || chr(10) || body, chr(10) ORDER BY path) AS chat
+FROM o JOIN tree ON o.conv_id = tree.conv_id AND o.turn = tree.turn GROUP BY o.conv_id
 """
 
 
