@@ -24,8 +24,7 @@ def brute(rows, n):
 
 
 @pytest.mark.parametrize("chunk", [20_000, 7])
-def test_against_brute_force(spark, monkeypatch, chunk):
-    monkeypatch.setattr(S, "CHUNK", chunk)
+def test_against_brute_force(spark, chunk):
     rng = random.Random(11)
     word = lambda: f"w{rng.randrange(3000)}"
     text = lambda n: [word() for _ in range(n)]
@@ -40,7 +39,7 @@ def test_against_brute_force(spark, monkeypatch, chunk):
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, rows[3][1]), (3, rows[3][1]), (203, " ".join(["a"] * 200)), (None, rows[5][1]), (5, "changed " + rows[5][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark int").repartition(6)
-    got = S.repeated_spans(df).collect()
+    got = S.repeated_spans(df, chunk=chunk).collect()
     have = sorted(((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in got), key=str)
     assert have == sorted(brute(rows, 50), key=str)
     assert all(r.n_repeated == sum(s.end - s.start for s in r.spans) for r in got)
@@ -55,26 +54,23 @@ def least_hashed(text):
     return some[int(h.argmin())]
 
 
-def test_rare_contexts_of_a_frequent_passage(spark, monkeypatch):
+def test_rare_contexts_of_a_frequent_passage(spark):
     """31 words that only two documents share, then 19 of a passage that all have, then words of their own: far apart in the order of the words to the right."""
-    monkeypatch.setattr(S, "CHUNK", 64)
-    monkeypatch.setattr(S, "EDGE", 4, raising=False)
     rng = random.Random(5)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     frequent, rows = least_hashed(text) + text(3), []
     for k in range(300):
         before = text(31)
         rows += [(2 * k + i, " ".join(before + frequent + text(60))) for i in range(2)]
-    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), chunk=64).collect()
     have = sorted((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in got)
     assert sum(r.n_repeated > 0 for r in got) == len(rows)
     assert have == sorted(brute(rows, 50))
 
 
-def test_neighbours_across_chunks_of_a_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [32, 5000])
+def test_neighbours_across_chunks_of_a_large_group(spark, chunk):
     """Pairs that lie side by side in the order, in a group read in many batches: both documents have the span, wherever a chunk ends."""
-    monkeypatch.setattr(S, "CHUNK", 32)
-    monkeypatch.setattr(S, "EDGE", 8, raising=False)
     rng = random.Random(6)
     text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     frequent, rows = least_hashed(text), []
@@ -84,7 +80,7 @@ def test_neighbours_across_chunks_of_a_large_group(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, "33")
     try:
-        got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+        got = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), chunk=chunk).collect()
     finally:
         spark.conf.unset(key)
     have = sorted((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in got)
@@ -92,5 +88,28 @@ def test_neighbours_across_chunks_of_a_large_group(spark, monkeypatch):
     assert have == sorted(brute(rows, 50))
 
 
+@pytest.mark.parametrize("holders", [0, 5000, 50_000])
+def test_passages_differ_to_the_left_of_a_common_one(spark, holders):
+    """20 words that two documents share, then 30 that many hold: all found, with any number of partitions."""
+    rng = random.Random(15)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    common, rows = text(30), []
+    for k in range(20):
+        before = text(20)
+        rows += [(2 * k + i, " ".join(text(15) + before + common + text(25))) for i in range(2)]
+    rows += [(100 + k, " ".join(text(15) + common + text(15))) for k in range(holders)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).cache()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    want = sorted(brute(rows, 50))
+    try:
+        for n in (1, 8, 64):
+            spark.conf.set(key, str(n))
+            got = sorted((r.doc_id, r.n_words, [k for s in r.spans for k in range(s.start, s.end)]) for r in S.repeated_spans(df).collect())
+            assert sum(bool(x[2]) for x in got) == 40 and got == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_nothing(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -2,14 +2,15 @@
 
 A suffix is kept where a run of ``GRAM`` words has the least hash of ``WINDOW`` neighbouring runs. That choice depends on the words alone, so
 a passage of GRAM + WINDOW - 1 words keeps the same suffixes wherever it stands. Suffixes whose first run occurs in one document
-only are dropped by their hashes, before any context is made. The others get the ``RIGHT`` words from there and the ``LEFT`` words before, as
-16-bit hashes, and are sorted by the words to the right. Each is compared with its neighbours from other documents: for each number of words to the
+only are dropped by their hashes, before any context is made. The others get the ``min_words`` words from there and as many before as a passage can have there, as
+24-bit hashes, and are sorted by the words to the right. Each is compared with its neighbours from other documents: for each number of words to the
 right that it shares, with those that share most words to the left. A match counts if it has ``min_words`` words. The matches of a document are merged, so longer passages
 come from the overlapping matches of their suffixes.
 
-Suffixes with the same first words are one group. Groups under ``CHUNK`` rows are dealt by those words' hash and compared whole. Larger ones are decided without
-bringing them together: each of their suffixes gives a hash for every stretch of ``min_words`` words around it, and a stretch counts if another document
+Suffixes with the same first words are one group. Groups under ``chunk`` rows are dealt by those words' hash and compared whole. Larger ones are decided without
+bringing them together: each of their suffixes gives a 64-bit hash for every stretch of ``min_words`` words around it, and a stretch counts if another document
 gives the same one. Hashes of over a thousandth of these rows are decided where they lie, so a passage that many documents share is spread over tasks.
+Both ways find every stretch of ``min_words`` words that two documents share, so the result doesn't depend on ``chunk`` or on partitions.
 
 Edge cases: null texts and those under ``min_words`` words have no spans; repeats within one document don't count; rows that repeat a doc_id
 are the same document, and each has spans of its own; rows without a doc_id have no spans; an empty table gives an empty result.
@@ -32,7 +33,7 @@ from textloom.llm.words import windows, words
 MIN_WORDS = 50
 GRAM = 16
 WINDOW = 32
-RIGHT, LEFT = 56, 40
+BITS = 24
 SLICE_BYTES = 1 << 20
 CHUNK = 20_000
 ROWS_EACH = 500_000
@@ -78,27 +79,34 @@ def chosen(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([b["id"].slice(at, to - at), b["mark"].slice(at, to - at), pa.array(count), *lists], ["id", "mark", "n_words", "pos", "h"])
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words to the right of each position, then those to the left, nearest first, and how many of each there are."""
+def reach(min_words: int) -> tuple[int, int]:
+    """Words to the right and to the left of a suffix that a stretch of ``min_words`` words around it can have."""
+    return min_words, min_words - GRAM
+
+
+def contexts(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The words to the right of each position, then those to the left, nearest first, and how many of each there are. A word is three bytes."""
+    most_right, most_left = reach(min_words)
     for b in batches:
         texts = b["text"].cast(pa.large_string())
         for at, to in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
             w = words(texts.slice(at, to - at))
-            short = (w.hash >> np.uint64(48)).astype(np.uint16)
+            short = (w.hash >> np.uint64(64 - BITS)).astype(np.uint32)
             lists = b["pos"].slice(at, to - at)
             n = lists.value_lengths().to_numpy()
             row = np.repeat(np.arange(to - at), n)
             pos = lists.flatten().to_numpy()
             middle = w.first[row] + pos
-            ends = np.stack((np.minimum(w.first[row + 1] - middle, RIGHT), np.minimum(pos, LEFT)), 1).astype(np.uint8)
+            ends = np.stack((np.minimum(w.first[row + 1] - middle, most_right), np.minimum(pos, most_left)), 1)
             for lo in range(0, len(pos), CHUNK):
                 mid, own, size = middle[lo : lo + CHUNK], row[lo : lo + CHUNK], ends[lo : lo + CHUNK]
-                k = np.arange(RIGHT)
+                k = np.arange(most_right)
                 right = np.where(k < size[:, :1], short[np.minimum(mid[:, None] + k, len(short) - 1)], 0)
-                k = np.arange(LEFT)
+                k = np.arange(most_left)
                 left = np.where(k < size[:, 1:], short[np.maximum(mid[:, None] - 1 - k, 0)], 0)
-                raw = np.concatenate((right, left), 1).astype(">u2").tobytes()
-                wide = 2 * (RIGHT + LEFT)
+                whole = np.concatenate((right, left), 1).astype(">u4")
+                raw = whole.view(np.uint8).reshape(*whole.shape, 4)[:, :, 1:].tobytes()
+                wide = 3 * whole.shape[1]
                 context = pa.array([raw[i : i + wide] for i in range(0, len(raw), wide)], pa.binary())
                 hashes, large = (b[c].slice(at, to - at).flatten().slice(lo, CHUNK) for c in ("h", "large"))
                 yield pa.RecordBatch.from_arrays(
@@ -111,8 +119,8 @@ SUFFIX = "h long, large boolean, context binary, id long, mark long, pos int, n_
 MATCH = "id long, mark long, start int, end int, other long"
 
 
-def matches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Matches of a sorted stream, in chunks of whole groups (equal first words)."""
+def matches(batches: Iterator[pa.RecordBatch], min_words: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Matches of a sorted stream, in chunks of whole groups (equal first words), of about ``size`` rows."""
     waiting: list[pa.RecordBatch] = []
     n = 0
 
@@ -131,7 +139,7 @@ def matches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         if b.num_rows:
             waiting.append(b)
             n += b.num_rows
-            if n >= CHUNK:
+            if n >= size:
                 yield from chunk(False)
     if waiting:
         yield from chunk(True)
@@ -151,16 +159,18 @@ def compared(table: pa.Table, min_words: int) -> Iterator[pa.RecordBatch]:
     if n < 2:
         return
     h, ids, pos = (table[c].to_numpy() for c in ("h", "id", "pos"))
-    own = np.frombuffer(b"".join(table["context"].to_pylist()), ">u2").reshape(n, -1).astype(np.uint16)
-    right, left = own[:, :RIGHT], np.ascontiguousarray(own[:, RIGHT:])
+    most_right, most_left = reach(min_words)
+    raw = np.frombuffer(b"".join(table["context"].to_pylist()), np.uint8).reshape(n, -1, 3)
+    own = (raw[:, :, 0].astype(np.uint32) << 16) | (raw[:, :, 1].astype(np.uint32) << 8) | raw[:, :, 2]
+    right, left = own[:, :most_right], own[:, most_right:]
     n_right, n_left = table["n_right"].to_numpy(), table["n_left"].to_numpy()
     common = np.zeros(n, np.int64)
     common[1:] = np.where(h[1:] == h[:-1], lengths(right[1:] == right[:-1], np.minimum(n_right[1:], n_right[:-1])), 0)
     rank = np.empty(n, np.int64)
-    rank[np.argsort(left.byteswap().view(f"S{2 * LEFT}")[:, 0], kind="stable")] = np.arange(n)
-    reach = np.full((RIGHT + 2 - GRAM, n), -1, np.int16)
-    partner = np.zeros((RIGHT + 2 - GRAM, n), np.int64)
-    for r in range(GRAM, RIGHT + 1):
+    rank[np.argsort(np.ascontiguousarray(raw[:, most_right:]).reshape(n, -1).view(f"S{3 * most_left}")[:, 0], kind="stable")] = np.arange(n)
+    best = np.full((most_right + 2 - GRAM, n), -1, np.int16)
+    partner = np.zeros((most_right + 2 - GRAM, n), np.int64)
+    for r in range(GRAM, most_right + 1):
         group = np.cumsum(common < r)
         rows = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(rows):
@@ -175,15 +185,15 @@ def compared(table: pa.Table, min_words: int) -> Iterator[pa.RecordBatch]:
             i = i[g[i] == g[other[i]]]
             a, b = rows[i], rows[other[i]]
             far = lengths(left[a] == left[b], np.minimum(n_left[a], n_left[b]))
-            better = far > reach[r - GRAM, a]
-            reach[r - GRAM, a[better]] = far[better]
+            better = far > best[r - GRAM, a]
+            best[r - GRAM, a[better]] = far[better]
             partner[r - GRAM, a[better]] = ids[b[better]]
-    r = np.arange(GRAM, RIGHT + 1)[:, None]
-    corner = (reach[:-1] >= 0) & (reach[:-1] + r >= min_words) & (reach[1:] < reach[:-1])
+    r = np.arange(GRAM, most_right + 1)[:, None]
+    corner = (best[:-1] >= 0) & (best[:-1] + r >= min_words) & (best[1:] < best[:-1])
     k, i = np.nonzero(corner)
     if not len(i):
         return
-    start, end, other = pos[i] - reach[k, i], pos[i] + k + GRAM, partner[k, i]
+    start, end, other = pos[i] - best[k, i], pos[i] + k + GRAM, partner[k, i]
     # spans of one document that touch become one, so a document repeated throughout sends a few rows
     _, doc = np.unique(table["mark"].to_numpy()[i], return_inverse=True)
     order = np.lexsort((end, start, doc))
@@ -209,19 +219,19 @@ def found(table: pa.Table, i: np.ndarray, start: np.ndarray, end: np.ndarray, ot
     return pa.RecordBatch.from_arrays([*own, *more], MATCH_NAMES)
 
 
-def stretches(suffixes: DataFrame, min_words: int) -> DataFrame:
+def stretches(suffixes: DataFrame, min_words: int, chunk: int) -> DataFrame:
     """Spans (id, mark, start, end, other) of the suffixes in large groups: every stretch of ``min_words`` words around a suffix, that another document has."""
-    sides = [(r, min_words - r) for r in range(GRAM, min(RIGHT, min_words) + 1) if min_words - r <= LEFT]
+    sides = [(r, min_words - r) for r in range(GRAM, min_words + 1)]
     own = [
         F.when(
             (F.col("n_right") >= r) & (F.col("n_left") >= l),
-            F.struct(F.xxhash64("h", F.lit(r), F.substring("context", 1, 2 * r), F.substring("context", 2 * RIGHT + 1, 2 * l)).alias("key"), (F.col("pos") - l).alias("start"), (F.col("pos") + r).alias("end")),
+            F.struct(F.xxhash64("h", F.lit(r), F.substring("context", 1, 3 * r), F.substring("context", 3 * reach(min_words)[0] + 1, 3 * l)).alias("key"), (F.col("pos") - l).alias("start"), (F.col("pos") + r).alias("end")),
         )
         for r, l in sides
     ]
     each = suffixes.select("id", "mark", "pos", F.explode(F.filter(F.array(*own), lambda x: x.isNotNull())).alias("s")).select("id", "mark", "pos", "s.*")
     keys = stored(each.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b"), "stretches")
-    most = max(CHUNK, each.count() // 1000)
+    most = max(chunk, each.count() // 1000)
     common = F.broadcast(keys.where(F.col("n") > most).select("key", "a", "b"))  # fewer than 1000
     rare = keys.where(F.col("n") <= most).select("key", "a", "b")
     hits = each.join(common, "key").unionByName(each.join(common, "key", "left_anti").join(rare, "key"))
@@ -230,7 +240,7 @@ def stretches(suffixes: DataFrame, min_words: int) -> DataFrame:
     return hits.groupBy("id", "mark", near).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(other).alias("other")).select("id", "mark", "start", "end", "other")
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_words, n_repeated (words in passages of at least ``min_words`` words that other documents hold) and spans, an array of
     start, end (word positions, the end outside) and other (a document with a part of it)."""
     if min_words < GRAM + WINDOW - 1:
@@ -239,17 +249,17 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("id", "text"))
     kept = stored(own.mapInArrow(lambda b: chosen(b, min_words), "id long, mark long, n_words long, pos array<array<int>>, h array<long>"), "suffixes")
     each = kept.where("id is not null").select("id", "mark", F.inline(F.arrays_zip("pos", "h")))
-    shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum(F.size("pos")).alias("n")).where("a < b").select("h", (F.col("n") >= CHUNK).alias("large"))
+    shared = each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum(F.size("pos")).alias("n")).where("a < b").select("h", (F.col("n") >= chunk).alias("large"))
     places = each.join(shared, "h").groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "h", "large")).alias("at"))
     every = F.flatten(F.transform("at", lambda x: F.transform(x.pos, lambda p: F.struct(p.alias("pos"), x.h.alias("h"), x.large.alias("large")))))
     placed = places.select("id", "mark", every.alias("at")).select("id", "mark", F.col("at.pos").alias("pos"), F.col("at.h").alias("h"), F.col("at.large").alias("large"))
-    suffixes = stored(own.join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "pos", "h", "large").mapInArrow(contexts, SUFFIX), "contexts")
+    suffixes = stored(own.join(placed, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "pos", "h", "large").mapInArrow(lambda b: contexts(b, min_words), SUFFIX), "contexts")
     n = parts(suffixes.count(), ROWS_EACH, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = suffixes.where("not large").repartition(n, "h").sortWithinPartitions("h", "context", "id", "pos")
-    spans = sorted_.mapInArrow(lambda b: matches(b, min_words), MATCH).select("id", "mark", "start", "end", "other")
+    spans = sorted_.mapInArrow(lambda b: matches(b, min_words, chunk), MATCH).select("id", "mark", "start", "end", "other")
     large = suffixes.where("large")
     if not large.isEmpty():
-        spans = spans.unionByName(stretches(large, min_words))
+        spans = spans.unionByName(stretches(large, min_words, chunk))
     spans = stored(spans, "matches")
     before = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("id", "mark").orderBy("start", "end", "other").rowsBetween(Window.unboundedPreceding, 0)
