@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -7,8 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm import warc
 
 
-def test_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+def test_round_trip(spark):
     rng = random.Random(2)
     bodies = [None, "", "short", "ñ" * 60, "x" * 200, "WARC/1.1\r\n\r\n" * 20, "unique {}" * 20]
     urls = ["http://a.example.org/x?y=1", "https://B.example.org:80/", None, "weird url\n with lines", "http://u@c.d/e#f"]
@@ -16,7 +16,9 @@ def test_round_trip(spark, monkeypatch):
     rows += [(1, "http://z.z/", "x" * 200), (None, "http://n.n/", "x" * 200), (-5, "http://m.m/", "y" * 300), (9, rows[9][1], rows[9][2])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload_digest int").repartition(5)
     keys = df.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key"))
-    directory = warc.write(df)
+    directory = warc.write(df, file_bytes=3000, block_lines=16)
+    assert directory.where("captures > 16").count() == 0 and directory.count() > 1000 / 16
+    assert len([f for f in os.listdir(os.path.dirname(directory.first().index_file.removeprefix("file://"))) if f.endswith(".warc.gz")]) > 30
     got = warc.fetch(directory, keys).collect()
     firsts = {}
     for i, _, h in rows:
@@ -46,6 +48,22 @@ def test_keys_over_several_blocks(spark):
     assert len(one) == 1000
 
 
+def test_a_hot_key_over_blocks_and_ranges(spark):
+    """A third of all rows has one key; others come two or three times; each is read back."""
+    rng = random.Random(3)
+    rows = [(7, "http://hot.org/", f"hot {i}") for i in range(2000)] + [(i // 2, f"http://h{i // 2 % 50}.org/{i // 2}", f"page {i}") for i in range(3000)] + [(None, "http://hot.org/", f"none {i}") for i in range(700)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    key = warc.capture_key(F.col("url"), F.col("page_id")).alias("key")
+    for lines, each in ((8, 200), (256, 1000)):
+        directory = warc.write(df, block_lines=lines, rows_each=each, file_bytes=20_000)
+        assert directory.select("range").distinct().count() > 1
+        got = [bytes(r.payload).decode() for r in warc.fetch(directory, df.select(key)).collect()]
+        assert sorted(got) == sorted(h for _, _, h in rows)
+        some = df.where("page_id % 11 = 7")
+        assert sorted(bytes(r.payload).decode() for r in warc.fetch(directory, some.select(key)).collect()) == sorted(r.html for r in some.collect())
+
+
 def test_files_are_gzip_members_of_whole_records(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://h{i}.org/", "p" * 150) for i in range(5)], "page_id long, url string, html string")
     file = warc.write(df).first().index_file.removeprefix("file://")

@@ -27,10 +27,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import bounded_batches, parts, shared_path, stored
+from textloom.llm.token_counts import slices
 
 BLOCK_LINES = 256
 LEAST_BYTES = 100
@@ -39,6 +41,8 @@ MOST_RANGES = 20_000
 FILE_BYTES = 256 << 20
 LEVEL = 4
 GAP = 1 << 16
+SLICE_BYTES = 1 << 20
+MOST_READ = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -71,28 +75,35 @@ def payload() -> Column:
     return F.coalesce(F.col("html").cast("string"), F.lit(""))
 
 
-def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """Writes the archives and their index to the shared folder; returns the directory."""
+def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, block_lines: int = BLOCK_LINES, rows_each: int = ROWS_EACH) -> DataFrame:
+    """Writes the archives and their index to the shared folder; returns the directory. A range has about ``rows_each`` captures, an archive file ``file_bytes``
+    (and its last record), an index block ``block_lines`` captures."""
     spark = pages.sparkSession
     bounded_batches(spark)
     own = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
     again = stored(revisits(own, least), "revisits")
     rows = own.withColumn("payload_digest", F.sha2(payload(), 256)).join(again, ["page_id", "payload_digest"], "left")
-    ranges = min(MOST_RANGES, parts(pages.count(), ROWS_EACH, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = min(MOST_RANGES, parts(pages.count(), rows_each, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = (
         rows.select(capture_key(F.col("url"), F.col("page_id")).alias("key"), "page_id", "url", "payload_digest", "refers_to", payload().cast("binary").alias("payload"))
         .repartitionByRange(ranges, "key").sortWithinPartitions("key")
     )
     folder = shared_path(spark, "warc")
-    return stored(rows.mapInArrow(lambda batches: written(batches, folder), DIRECTORY), "directory")
+    return stored(rows.mapInArrow(lambda batches: written(batches, folder, file_bytes, block_lines), DIRECTORY), "directory")
 
 
-def written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes one range."""
+def opened(uri: str):
+    """The file system of a folder or file, and its path there. What Hadoop names s3a or s3n is s3 here."""
     from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def written(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, block_lines: int) -> Iterator[pa.RecordBatch]:
+    """Writes one range."""
     from pyspark import TaskContext
 
-    fs, path = FileSystem.from_uri(folder)
+    fs, path = opened(folder)
     own, name, files = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
     archive = index = None
     at = index_at = 0
@@ -106,10 +117,10 @@ def written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
         out.append((own, len(out), block[0][0], block[-1][0], len(block), f"{folder}/{name}.cdx", index_at, len(data)))
         index_at, block = index_at + len(data), []
 
-    for b in batches:
+    for b in (b.slice(at, to - at) for b in batches for at, to in slices(pc.binary_length(b["payload"]).to_numpy(zero_copy_only=False), SLICE_BYTES)):
         columns = [b[c].to_pylist() for c in ("key", "page_id", "url", "payload_digest", "refers_to", "payload")]
         for key, page, url, digest, first, body in zip(*columns, strict=True):
-            if archive is None or at > FILE_BYTES:
+            if archive is None or at > file_bytes:
                 if archive is None:
                     fs.create_dir(path, recursive=True)
                     index = fs.open_output_stream(f"{path}/{name}.cdx", compression=None)
@@ -121,7 +132,7 @@ def written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Recor
             archive.write(data)
             block.append((key, f"{file} {at} {len(data)}".encode()))
             at += len(data)
-            if len(block) == BLOCK_LINES:
+            if len(block) == block_lines:
                 flush()
     if block:
         flush()
@@ -196,14 +207,12 @@ def fetch(directory: DataFrame, keys: DataFrame, with_payload: bool = True) -> D
 
     wanted = keys.select("key").distinct().mapInArrow(routed, "range int, key binary").withColumns({c: F.lit(None).cast(t) for c, t in (("last_key", "binary"), ("index_file", "string"), ("offset", "long"), ("length", "long"))})
     known = directory.select("range", F.col("first_key").alias("key"), "last_key", "index_file", "offset", "length")
-    both = known.unionByName(wanted).repartition(len(tops), "range").sortWithinPartitions("range", "key", F.col("index_file").isNull())
+    both = known.unionByName(wanted).repartitionById(max(ranges) + 1, F.col("range")).sortWithinPartitions("range", "key", F.col("index_file").isNull())
     return both.mapInArrow(lambda batches: fetched(batches, with_payload), RECORD)
 
 
 def fetched(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     """Goes through blocks and keys in order."""
-    from pyarrow.fs import FileSystem
-
     places: list[tuple] = []  # blocks that may hold the next keys, in order
     wanted: list[bytes] = []
 
@@ -214,7 +223,7 @@ def fetched(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[p
                 yield from found(own, *place)
 
     def found(keys: list[bytes], file: str, offset: int, length: int) -> Iterator[tuple]:
-        fs, path = FileSystem.from_uri(file)
+        fs, path = opened(file)
         lines = [x.rpartition(b"\t") for x in zlib.decompress(ranged(fs, path, offset, length)).split(b"\n")]
         own = [k for k, _, _ in lines]
         spans = []
@@ -270,7 +279,7 @@ def joined(spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[
     held: list[tuple[int, int]] = []
     name = None
     for file, at, n in spans:
-        if held and (file != name or not 0 <= at - (held[-1][0] + held[-1][1]) <= GAP or at - held[0][0] > 16 << 20):
+        if held and (file != name or not 0 <= at - (held[-1][0] + held[-1][1]) <= GAP or at - held[0][0] > MOST_READ):
             yield name, held
             held = []
         name = file
