@@ -41,3 +41,11 @@ def test_against_brute_force(spark):
             assert sorted(got, key=str) == want
     assert contamination(d, b.limit(0)).select("n_words", "hits").where("size(hits) > 0").count() == 0
     assert contamination(d.limit(0), b).count() == 0
+
+
+def test_columns_of_any_name_and_many_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three four", "x"), (2, "five six", "y")], "doc_id long, text string, __text string")
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(["two three", "six", "never said", "four", "seven", "one two", "nine", "ten"])], "item_id string, text string")
+    for size in (1, 10, 1 << 20):
+        got = {r.doc_id: (r["__text"], r.hits, r.item_ids) for r in contamination(docs, bench, block_bytes=size).collect()}
+        assert got == {1: ("x", [0, 1, 2, 3], ["i0", "i3", "i5"]), 2: ("y", [1], ["i1"])}

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from textloom.llm import language_id as L
 
@@ -51,3 +52,18 @@ def test_em_reaches_the_best_shares():
     own, value = L.shares(p, n, 200)
     best = max(n @ np.log(a * p[0] + (1 - a) * p[1]) for a in np.linspace(0.01, 0.99, 99))
     assert value >= best - 0.5 and abs(own[0] - 0.3) < 0.05
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "good morning to all of you", "en", "x", "y")], "doc_id long, text string, lang string, __text string, Text_ string")
+    row = L.predict(df, L.learn(df)).first()
+    assert (row["__text"], row["Text_"], row.lang_pred) == ("x", "y", "en")
+
+
+def test_many_labels(spark):
+    rows = [(k, f"{chr(97 + k // 26)}{chr(97 + k % 26)}q " * 9, f"l{k}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, p = L.learn(df)
+    assert len(labels) == 300 and p.dtype == np.float32 and np.allclose(p.sum(1), 1, atol=1e-4)
+    with pytest.raises(ValueError):
+        L.learn(df, most_labels=299)

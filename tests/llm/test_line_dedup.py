@@ -55,3 +55,13 @@ def test_hashes_are_dealt_by_range_once(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = line_dedup.drop_bitmaps(df)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning(h1" in plan and "hashpartitioning(h1" not in plan and "Python" not in plan
+
+
+def test_columns_with_inner_names(spark):
+    line = "a line that is long enough to be looked at by all"
+    rows = [(k, line + "\nown", k, "m", "d") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, mark string, drops string")
+    for names in (["id", "mark", "drops"], ["__id", "__mark", "__drops"], ["ID", "row_mark", "Drops"]):
+        own = df.toDF("doc_id", "text", *names)
+        got = line_dedup.apply_bitmaps(own, line_dedup.drop_bitmaps(own)).collect()
+        assert sorted((r.doc_id, r[names[0]], r[names[1]], r[names[2]], r.text) for r in got) == [(k, k, "m", "d", (line + "\nown") if k == 5 else "own") for k in range(6)]

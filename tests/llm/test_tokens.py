@@ -67,3 +67,26 @@ def test_ids_of_slices():
     own = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert own.by_word
     assert [len(x) for x in own.ids(pa.array(["a b", "", "c"], pa.large_string()))] == [8, 0, 4]
+
+
+def test_tokenizers_of_other_kinds_keep_their_ids(tmp_path):
+    """One that keeps case, one that doesn't take marks from letters, one that doesn't work by words: ids are the library's."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    cased = {**spec, "normalizer": {"type": "NFC"}}
+    joined = json.loads(json.dumps(spec))
+    joined["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[^\s]+"}
+    files = [public_tokenizers.path("byte_bpe_50k.json")]
+    for name, own in (("cased", cased), ("joined", joined)):
+        files.append(f"{tmp_path}/{name}.json")
+        with open(files[-1], "w") as f:
+            json.dump(own, f)
+    texts = ["Hello, World. Again; HELLO world!", "", "a  b\tc", "Wörld? ñé, x<|endoftext|>y"]
+    for file in files:
+        whole = Tokenizer.from_file(file)
+        got = [np.frombuffer(x, "<u4").tolist() for x in packing.WordEncoder(file).ids(pa.array(texts, pa.large_string()))]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts], file

@@ -71,6 +71,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """Partitions for so many rows with ``each`` in one."""
     return max(least, -(-rows // each))

@@ -8,7 +8,7 @@ through many segments of texts at once, each step one array operation.
 
 Documents are only scanned, not shuffled. The benchmark is a query set: it goes to the executors in blocks of at most
 ``block_bytes`` of item text, one pass for each block; the usual benchmark is one block. Between passes a row carries the hits
-so far. After ``PASSES`` passes the rows are written, so a task holds the tables of so many blocks at most.
+so far. After ``PASSES`` passes the rows are written and their blocks go, so a task and the driver hold so many blocks at most.
 
 Edge cases: null and empty texts have no words and no hits; repeated documents are rows of their own; the items of
 repeated item ids count once; an item without an id marks words but is not counted or named; with an empty benchmark nothing is
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches, stored
+from textloom.llm.common import bounded_batches, fresh, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import Words, mix, words
 
@@ -173,23 +173,27 @@ def contamination(
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())), T.StructField("item_ids", T.ArrayType(T.StringType()))]
     all_blocks = blocks(bench, item_id, item_text, block_bytes)
     block = next(all_blocks, [])
-    df, done = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias("__text")), 0
+    hidden = fresh("text", [*columns, *new])
+    df, done, held = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").cast("string").alias(hidden)), 0, []
     while block is not None:
         after = next(all_blocks, None)
-        fields = [*kept, *([T.StructField("__text", T.StringType())] if after is not None else []), *added]
-        run = one_pass(uuid.uuid4().hex, spark.sparkContext.broadcast(block), [f.name for f in fields], done > 0, width, slice_bytes)
+        fields = [*kept, *([T.StructField(hidden, T.StringType())] if after is not None else []), *added]
+        held.append(spark.sparkContext.broadcast(block))
+        run = one_pass(uuid.uuid4().hex, held[-1], hidden, [f.name for f in fields], done > 0, width, slice_bytes)
         df = df.mapInArrow(run, T.StructType(fields))
         done, block = done + 1, after
         if after is not None and done % PASSES == 0:
             df = stored(df, "hits")
+            while held:
+                held.pop().destroy()
     return df
 
 
-def one_pass(key: str, broadcast, names: list[str], more: bool, width: int, slice_bytes: int):
+def one_pass(key: str, broadcast, hidden: str, names: list[str], more: bool, width: int, slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = compiled(key, broadcast, width)
         for b in batches:
-            texts = b["__text"].cast(pa.large_string())
+            texts = b[hidden].cast(pa.large_string())
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             n, hits, items = [], [], []
             for at, to in slices(sizes, slice_bytes):

@@ -6,7 +6,8 @@ likelihood less half the logarithm of the number of trigrams for each language b
 shares. The prediction is the language with the largest share, the score that share.
 
 Every document's whole text is used. The languages are learned from about ``train_docs`` labelled documents of each label (fewer where there
-are fewer), taken by a hash; that bounds what the driver gathers and broadcasts: one vector of ``FEATURES`` counts for each label.
+are fewer), taken by a hash; that bounds what the driver gathers and broadcasts: one vector of ``FEATURES`` single-precision numbers for each label, of which
+there may be ``most_labels`` (more are an error: a table with so many labels has something else in that column).
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0; so are all documents if there is no labelled text. Ties go to the
 label that sorts first. Repeated rows are rows of their own. An empty table gives an empty result.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, fresh
 from textloom.llm.token_counts import slices
 
 BITS = 14
@@ -33,7 +34,7 @@ SMOOTHING = 0.1
 ROUNDS = 12
 SLICE_BYTES = 1 << 20
 LEAST_SHARE = 0.02
-MOST_LABELS = 1000
+MOST_LABELS = 4000
 
 LETTER = np.full(256, 32, np.uint8)  # anything that is no letter counts as a blank
 LETTER[97:123] = np.arange(97, 123)
@@ -61,23 +62,27 @@ def held_out(doc_id: Column, remainder: int = 1, of: int = 3) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", train_docs: int = TRAIN_DOCS, most_labels: int = MOST_LABELS) -> tuple[list[str], np.ndarray]:
     """The labels, in order, and the distributions of their features."""
     bounded_batches(labelled.sparkSession)
     own = labelled.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
     own = own.where("text is not null and label is not null and id is not null")
-    found = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()}
-    if len(found) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
+    found = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).limit(most_labels + 1).collect()}
+    if len(found) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     if not found:
-        return [], np.zeros((0, FEATURES))
+        return [], np.zeros((0, FEATURES), np.float32)
     share = F.create_map(*[F.lit(x) for k, n in found.items() for x in (k, min(1.0, train_docs / n))])
     sample = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("label")] * (1 << 30))
-    rows = sample.select("label", "text").mapInArrow(counted, "label string, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.select("label", "text").mapInArrow(counted, "label string, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    vectors = rows.groupBy("label").agg(F.collect_list("feature").alias("features"), F.collect_list("n").alias("counts"))  # one row a label, of FEATURES numbers at most
     labels = sorted(found)
-    counts = np.zeros((len(labels), FEATURES))
-    np.add.at(counts, (np.searchsorted(labels, rows["label"].to_numpy(str)) if len(rows) else [], rows["feature"].to_numpy(int)), rows["n"].to_numpy(float))
-    return labels, (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
+    p = np.full((len(labels), FEATURES), SMOOTHING, np.float32)
+    for r in vectors.toLocalIterator():
+        p[labels.index(r.label), r.features] += np.array(r.counts, np.float32)
+    for own in p:
+        own /= own.sum(dtype=np.float64)
+    return labels, p
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +118,7 @@ def infer(p: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Shares of the languages; the last row of ``p`` is the uniform rest."""
     n = np.bincount(codes, minlength=FEATURES)
     some = np.flatnonzero(n)
-    n, p = n[some].astype(float), p[:, some]
+    n, p = n[some].astype(float), p[:, some].astype(float)
     own, _ = shares(p, n)
     languages = len(p) - 1
     order = np.argsort(-own[:languages], kind="stable")
@@ -141,14 +146,14 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))]
     names = [f.name for f in new]
     columns = [c for c in (df.columns if columns is None else columns) if c not in names]
-    own = df.select(*[F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string")).alias("__text"))
+    hidden = fresh("text", columns)
+    own = df.select(*[F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string")).alias(hidden))
     shared = df.sparkSession.sparkContext.broadcast((labels, np.vstack([p, np.full((1, FEATURES), 1 / FEATURES)]).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, p = shared.value
-        p = p.astype(np.float64)
         for b in batches:
-            texts = b["__text"]
+            texts = b[hidden]
             known = texts.is_valid().to_numpy(zero_copy_only=False)
             texts = pc.fill_null(texts.cast(pa.large_string()), "")
             pred: list = ["und"] * len(texts)

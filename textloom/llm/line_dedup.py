@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import parts, stored
+from textloom.llm.common import fresh, parts, stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -88,13 +88,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     """The documents with the lines cut from their text, plus n_lines (before) and n_dropped."""
     made = ["n_lines", "n_dropped"]
     own = [c for c in docs.columns if c not in made]
-    b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row_mark").alias("__mark"), F.col("drops").alias("__drops"))
+    id_, mark, drops = (fresh(c, docs.columns) for c in ("id", "mark", "drops"))
+    b = bitmaps.select(F.col("doc_id").alias(id_), F.col("row_mark").alias(mark), F.col("drops").alias(drops))
     t = F.col(f"`{text}`").cast("string")
-    joined = docs.join(b, (F.col(f"`{doc_id}`") == F.col("__id")) & (row_mark(F.col(f"`{doc_id}`"), t) == F.col("__mark")), "left")
-    cut = F.expr(f"array_join(filter(split(coalesce(cast(`{text}` as string), ''), '\\n', -1), (x, i) -> (coalesce(shiftright(try_element_at(__drops, cast(i div 64 as int)), cast(i % 64 as int)), 0L) & 1L) = 0L), '\\n')")
-    n_dropped = F.when(F.col("__drops").isNull(), F.lit(0).cast("long")).otherwise(F.expr("aggregate(map_values(__drops), 0L, (a, x) -> a + bit_count(x))"))
+    joined = docs.join(b, (F.col(f"`{doc_id}`") == F.col(id_)) & (row_mark(F.col(f"`{doc_id}`"), t) == F.col(mark)), "left")
+    cut = F.expr(f"array_join(filter(split(coalesce(cast(`{text}` as string), ''), '\\n', -1), (x, i) -> (coalesce(shiftright(try_element_at({drops}, cast(i div 64 as int)), cast(i % 64 as int)), 0L) & 1L) = 0L), '\\n')")
+    n_dropped = F.when(F.col(drops).isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"aggregate(map_values({drops}), 0L, (a, x) -> a + bit_count(x))"))
     return joined.select(
-        *[(F.when(F.col("__drops").isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`")) for c in own],
+        *[(F.when(F.col(drops).isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`")) for c in own],
         (F.octet_length(F.coalesce(t, F.lit(""))) - F.octet_length(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         n_dropped.alias("n_dropped"),
     )

@@ -68,6 +68,9 @@ class WordEncoder:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = steps[0].get("type") == "Split" and steps[0].get("invert") and "\\s" in str(steps[0].get("pattern"))
+        pattern, normalizer = str(steps[0].get("pattern")), spec.get("normalizer") or {}
+        lowers = any(n.get("type") == "Lowercase" for n in [normalizer, *normalizer.get("normalizers", [])])
+        self.plain_words = lowers and repr(r"[\p{L}]+")[1:-1] in pattern and repr(r"[^\s\p{L}\p{N}]+")[1:-1] in pattern
         self.by_word &= not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
         self.ends = np.zeros(0, bool)
         suffix = spec["model"].get("end_of_word_suffix")
@@ -96,18 +99,20 @@ class WordEncoder:
         return out
 
     def words(self, words: pa.Array) -> list[bytes]:
-        """Ids of each word. ASCII words are looked up in lower case, and without a mark after a letter, which is a word of its own to
-        the tokenizer; words with a part of a special token stay as they are."""
+        """Ids of each word. Where the tokenizer lower-cases and takes letters apart from marks, ASCII words are looked up in lower case, and without a mark
+        after a letter, which is a word of its own; words with a part of a special token stay as they are, and so do all words of other tokenizers."""
         plain = pc.and_(pc.equal(pc.binary_length(words), pc.utf8_length(words).cast(pa.int64())), pc.invert(pc.match_substring(words, "<|")))
-        words = pc.if_else(plain, pc.ascii_lower(words), words)
-        marked = pc.match_substring_regex(words, f"[{LETTERS}][{MARKS}]$")
+        marked = pa.array([False]).take(pa.array([0] * len(words), pa.int32()))
+        if self.plain_words:
+            words = pc.if_else(plain, pc.ascii_lower(words), words)
+            marked = pc.match_substring_regex(words, f"[{LETTERS}][{MARKS}]$")
         bare = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
         tails = pc.if_else(marked, pc.utf8_slice_codeunits(words, -1, None), "").dictionary_encode()
         seen = self.seen
         keys = bare.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = [seen.get(w) for w in keys]
         late = [i for i, x in enumerate(found) if x is None]
-        letters = [i for i in late if keys[i].isalpha()]
+        letters = [i for i in late if self.plain_words and keys[i].isalpha()]
         for i, x in zip(letters, self.plain([keys[i] for i in letters]), strict=True):
             found[i] = x
         others = [i for i in late if found[i] is None]
