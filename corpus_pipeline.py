@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import jaccard_join, language_id, line_dedup
-from textloom.llm.common import discard, stored
+from textloom.llm.common import among, discard, stored
 from textloom.llm.decontaminate import contamination
 from textloom.llm.packing import pack
 
@@ -39,11 +39,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least id. Rows that repeat a doc_id stay or go together, by the set that the join compares (the least
-    digest); of those that stay, only rows with the same text become one (with the least of the other columns), so the texts left don't change between runs."""
-    found = jaccard_join.joined_documents(docs).where("kept and doc_id is not null").select("doc_id")
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
+    digest); of those that stay, only rows with the same text become one (with the least of the other columns), so the texts left don't change between runs.
+    Texts move only for ids that repeat, unless the ids that go are too many to broadcast."""
+    docs = docs.select(COLUMNS)
+    losers = stored(jaccard_join.joined_documents(docs).where("not kept").select("doc_id"), "losers")
+    again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = among(docs, losers, "doc_id", "left_anti")
+    if again.isEmpty():
+        return kept
     rest = F.min(F.struct(*[c for c in COLUMNS if c not in ("doc_id", "text")])).alias("rest")
-    return kept.groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    merged = among(kept, again, "doc_id").groupBy("doc_id", "text").agg(rest).select("doc_id", "text", "rest.*").select(COLUMNS)
+    return among(kept, again, "doc_id", "left_anti").unionByName(merged)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
