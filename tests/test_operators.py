@@ -96,6 +96,11 @@ def test_conversation_tokens(spark):
             assert ([x.t for x in got], [x.m for x in got]) == loss_mask(c, policy)
 
 
+def test_bytes(spark):
+    for t in ("", "a", "é\u0000ß", "漢字 🙂", "x" * 300):
+        assert one(spark, tokens.bytes_ids(F.lit(t))) == list(t.encode())
+
+
 def test_arrays(spark):
     a = F.array(*[F.lit(x) for x in (1, 2, 9, 3)])
     assert one(spark, tokens.truncate_at(a, 9)) == [1, 2] and one(spark, tokens.truncate_at(a, 9, True)) == [1, 2, 9] and one(spark, tokens.truncate_at(a, 7)) == [1, 2, 9, 3]
@@ -118,6 +123,18 @@ def test_running_sums_and_numbers(spark):
     assert numbers == list(range(3000))
 
 
+def test_order_of_any_type(spark):
+    """Texts, times and decimals, one value that holds most rows, and nulls: places as a sort gives them, and many buckets."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", f"é{rng.randrange(500)}", None]), k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "s string, k long").withColumns({"d": F.col("k").cast("decimal(20,2)") / 7, "t": F.timestamp_seconds(F.col("k") * 3600), "h": F.when(F.col("k") % 4 == 0, F.col("k")).otherwise(5), "z": F.when(F.col("k") % 9 > 0, F.col("k"))}).repartition(6)
+    for order in (["s", "k"], ["d"], ["t"], ["h", "k"], ["z", "k"], ["h", "s", "k"]):
+        assert ordering.bucketed(df, order, []).select("__part").distinct().count() > 8, order
+        got = [r.k for r in ordering.row_numbers(df, order, "n").orderBy("n").collect()]
+        assert got == [r.k for r in df.orderBy(*order).collect()], order
+    assert ordering.row_numbers(df.limit(0), ["s"], "n").count() == 0
+
+
 def next_fit(lengths, size, flush):
     out, used = [], []
     for n in lengths:
@@ -135,14 +152,19 @@ def next_fit(lengths, size, flush):
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_against_loops(spark, seed):
     rng = random.Random(seed)
-    rows = [(i % 2, i, [rng.randrange(99) for _ in range(rng.choice([1, 3, 8, 16, 17, 40]))]) for i in range(rng.choice([1, 50, 121]))]
-    df = spark.createDataFrame(rows, "s long, i long, t array<int>").withColumn("p", F.transform("t", lambda t: F.struct(t.alias("t"), F.lit(1).alias("m")))).repartition(5)
+    rows = [(i % 2, i, [rng.randrange(99) for _ in range(rng.choice([1, 3, 8, 16, 17, 40, 0][: 6 + seed % 2]))]) for i in range(rng.choice([1, 50, 121]))]
+    df = spark.createDataFrame(rows, "s long, i long, t array<int>").withColumn("m", F.transform("t", lambda t: t % 2)).repartition(5)
     for flush in (False, True):
-        got = packing.aligned_chunks(df, "p", "s", ["i"], 16, flush).collect()
+        got = packing.aligned_chunks(df, "t", "m", "s", ["i"], 16, flush).collect()
         for s in (0, 1):
             own = sorted((r.chunk, r.n_seqs, r.n_pad, len(r.tokens)) for r in got if r.s == s)
             want = next_fit([len(t) for k, _, t in rows if k == s], 16, flush)
             assert own == [(k, len(c), 16 - sum(c), 16) for k, c in enumerate(want)]
+            at, sequences = 0, [t[:16] for k, _, t in rows if k == s]
+            for r in sorted((r for r in got if r.s == s), key=lambda r: r.chunk):
+                ids = [x for t in sequences[at : at + r.n_seqs] for x in t]
+                at += r.n_seqs
+                assert r.tokens == ids + [tokens.PAD] * r.n_pad and r.mask == [x % 2 for x in ids] + [0] * r.n_pad
     flat = [x for _, _, t in rows for x in t]
     got = [list(r.tokens) for r in packing.linear_chunks(df, "t", ["i"], 16).orderBy("chunk").collect()]
     assert got == [flat[k : k + 16] for k in range(0, len(flat) - 15, 16)]

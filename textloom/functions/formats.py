@@ -43,3 +43,9 @@ def problem_prompt(text: Column, tests: Column) -> Column:
     """struct<question, test_prefix, test_suffix> for a problem with tests."""
     question = F.concat(text, F.lit("\n\nAnswer with a Python code block. It has to pass:\n"), F.array_join(tests, "\n"))
     return F.struct(question.alias("question"), F.lit(None).cast("string").alias("test_prefix"), F.array_join(tests, "\n").alias("test_suffix"))
+
+
+def solved_prompt(prompt: Column, solution: Column, entry_point: Column, test: Column) -> Column:
+    """struct<question, test_code>: a function to complete, and a program that tests the given solution."""
+    question = F.concat(F.lit("Write the rest of this Python function.\n\n"), prompt)
+    return F.struct(question.alias("question"), F.concat(prompt, solution, F.lit("\n\n"), test, F.lit("\ncheck("), entry_point, F.lit(")")).alias("test_code"))

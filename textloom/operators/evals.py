@@ -4,7 +4,7 @@ A model's forward pass is outside; its results come as a table (example_id, opti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.messages import common_length
@@ -90,3 +90,16 @@ def perplexity(losses: DataFrame, loss: str = "loss") -> DataFrame:
 
 def masked_loss(tokens: DataFrame) -> DataFrame:
     return tokens.agg((F.sum(F.col("ce") * F.col("mask")) / F.greatest(F.lit(1), F.sum("mask"))).alias("loss"))
+
+
+def top_k(logits: DataFrame, example: str, logit: str, k: int) -> DataFrame:
+    """Logits below the k-th largest of their example become minus infinity; those equal to it stay."""
+    own = Window.partitionBy(example)  # an example has as many rows as the vocabulary has tokens
+    least = F.min(F.when(F.col("__r") <= k, F.col(logit))).over(own)
+    ranked = logits.withColumn("__r", F.row_number().over(own.orderBy(F.desc(logit))))
+    return ranked.withColumn(logit, F.when(F.col(logit) >= least, F.col(logit)).otherwise(F.lit(float("-inf")))).drop("__r")
+
+
+def rank_mean(df: DataFrame, value: str, world: int) -> DataFrame:
+    """One row: the sum over ranks of ``value`` over their number."""
+    return df.agg((F.sum(value) / world).alias(value))

@@ -62,3 +62,10 @@ def round_robin(items: DataFrame, kind: str, label: str, order: str, total: int)
     own = items.withColumn("__cursor", F.row_number().over(Window.partitionBy(kind, label).orderBy(order))).where(F.col("__cursor") <= total)
     own = own.withColumn("place", (F.row_number().over(Window.partitionBy(kind).orderBy("__cursor", label)) - 1).cast("long"))
     return own.join(F.broadcast(ranked.withColumn("__quota", quota)), kind).where("place < __quota").drop("__cursor", "__k", "__n", "__quota")
+
+
+def batch_draws(spark: SparkSession, batches: int, size: int, weights: dict[str, float], seed: int) -> DataFrame:
+    """draw, batch, source, k: each batch draws one source and takes its next ``size`` rows."""
+    own = draws(spark, batches, weights, seed).withColumnRenamed("draw", "batch")
+    each = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
+    return each.select((F.col("batch") * size + F.col("i")).alias("draw"), "batch", "source", (F.col("k") * size + F.col("i")).alias("k"))

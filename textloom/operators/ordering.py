@@ -1,7 +1,8 @@
 """Global order without a one-task window.
 
-Rows go to buckets by ranges of the first order column, from a quantile sketch. Sums for each bucket, at most ``BUCKETS`` rows (for each
-group), give the bucket's offset, and a window within the bucket does the rest, so no task holds more than a bucket.
+Rows go to buckets by ranges of the first order column, from a quantile sketch, or of all order columns, from a sample of bounded size, where the first is no number or a few of its
+values hold many rows. Sums for each bucket, at most ``BUCKETS`` rows (for each group), give the bucket's offset, and a window within the bucket does the rest,
+so no task holds more than a bucket. Where the borders lie has no bearing on the result.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 
 BUCKETS = 1024
+SAMPLE = 32
 
 
 def running_sum(df: DataFrame, order: list[str], value: Column, name: str, by: list[str] | None = None) -> DataFrame:
@@ -25,26 +27,28 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str, by: l
 
 
 def bucketed(df: DataFrame, order: list[str], by: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """Adds __part, which rises with the first order column: quantile ranges from a sketch (one small pass), or one
-    bucket where that column isn't numeric and whole ranges can't be told."""
-    kind = dict(df.dtypes)[order[0]]
-    if kind not in ("bigint", "int", "smallint", "tinyint", "double", "float"):
-        return df.withColumn("__part", F.lit(0))
+    """Adds __part, which rises with the order columns (nulls first, as windows have them)."""
     n = min(buckets, max(2, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = [c for c in dict.fromkeys(df.approxQuantile(order[0], [i / n for i in range(1, n)], 0.25 / n))]
-    if not cuts:
-        return df.withColumn("__part", F.lit(0))
-    return df.withColumn("__part", part_of(order[0], cuts))
+    if dict(df.dtypes)[order[0]] in ("bigint", "int", "smallint", "tinyint", "double", "float"):
+        cuts = list(dict.fromkeys(df.approxQuantile(order[0], [i / n for i in range(1, n)], 0.25 / n)))
+        if len(cuts) > n // 2 or len(order) == 1:
+            return df.withColumn("__part", F.when(F.col(order[0]).isNull(), -1).otherwise(part_of(F.col(order[0]), [F.lit(c) for c in cuts])))
+    keys = df.select(*order)
+    rows = keys.count()
+    some = keys.sample(min(1.0, SAMPLE * n / max(rows, 1)), 1).orderBy(*order).limit(4 * SAMPLE * n).collect()
+    picked = list(dict.fromkeys(tuple(some[i * len(some) // n]) for i in range(1, n))) if some else []
+    cuts = [F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, own, strict=True)]) for own in picked]
+    return df.withColumn("__part", part_of(F.struct(*order), cuts))
 
 
-def part_of(column: str, cuts: list[float]) -> Column:
-    """Number of cuts at or below the column, by a tree of comparisons."""
+def part_of(key: Column, cuts: list[Column]) -> Column:
+    """Number of cuts at or below the key, by a tree of comparisons."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(column) < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(key < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(cuts))
 

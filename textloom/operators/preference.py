@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions.messages import parse_dialogue
 from textloom.functions.numbers import log_sigmoid
-from textloom.operators.tokens import PAD, pad_to, tokenize_conversation
+from textloom.operators.ordering import row_numbers
+from textloom.operators.tokens import PAD, pad_to, conversation_tokens
 
 BETA = 0.1
 
@@ -32,9 +33,9 @@ def prepared(df: DataFrame, size: int) -> DataFrame:
     """Ids and masks of both sides cut or padded to ``size``; a pair whose mask is empty on a side goes."""
     out = df
     for side in ("chosen", "rejected"):
-        out = out.withColumn("__p", tokenize_conversation(F.col(side)))
-        out = out.withColumn(f"{side}_ids", pad_to(F.transform("__p", lambda p: p.t), size, PAD)).withColumn(f"{side}_mask", pad_to(F.transform("__p", lambda p: p.m), size, 0))
-    trained = lambda c: F.exists(c, lambda x: x == 1)
+        out = out.withColumn("__p", conversation_tokens(F.col(side)))
+        out = out.withColumn(f"{side}_ids", pad_to(F.col("__p.t"), size, PAD)).withColumn(f"{side}_mask", pad_to(F.col("__p.m"), size, 0))
+    trained = lambda c: F.array_contains(c, 1)
     return out.where(trained("chosen_mask") & trained("rejected_mask")).drop("__p")
 
 
@@ -48,3 +49,15 @@ def dpo_loss(df: DataFrame, beta: float = BETA) -> DataFrame:
     c = beta * (F.col("policy_chosen") - F.col("ref_chosen"))
     r = beta * (F.col("policy_rejected") - F.col("ref_rejected"))
     return df.agg(F.avg(-log_sigmoid(c - r)).alias("loss"), F.avg((c > r).cast("double")).alias("accuracy"), F.avg(c - r).alias("margin"))
+
+
+def quota_split(df: DataFrame, order: str, total: int, source: str = "source") -> DataFrame:
+    """Adds split: of each source the first total // sources rows are val, so each has the same share of the validation rows."""
+    sources = df.select(source).distinct().agg(F.count("*").alias("__sources"))  # one row
+    own = row_numbers(df, [order], "__k", [source]).crossJoin(F.broadcast(sources))
+    return own.withColumn("split", F.when(F.col("__k") < F.floor(F.lit(total) / F.col("__sources")), F.lit("val")).otherwise(F.lit("train"))).drop("__k", "__sources")
+
+
+def tagged_pairs(df: DataFrame, source: str, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """Both sides of each pair, with the name of the source; a pair that lacks a side goes."""
+    return df.where(F.col(chosen).isNotNull() & F.col(rejected).isNotNull()).withColumn("source", F.lit(source))

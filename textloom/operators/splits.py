@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.numbers import hash32
 from textloom.operators.ordering import row_numbers
 
 
@@ -61,3 +62,18 @@ def cycled(df: DataFrame, order: str, quota: int) -> DataFrame:
 def hash_order(seed: int, *keys: str) -> Column:
     """A reproducible shuffle: sort by this."""
     return F.xxhash64(F.lit(seed), *keys)
+
+
+def by_file(df: DataFrame, file: str, splits: dict[str, list[str]]) -> DataFrame:
+    """Adds split: the one whose files the row's file is among, for tables that come with splits of their own; rows of other files go."""
+    name = F.lit(None).cast("string")
+    for split, files in splits.items():
+        name = F.when(F.col(file).isin(files), F.lit(split)).otherwise(name)
+    return df.where(F.col(file).isin([f for files in splits.values() for f in files])).withColumn("split", name)
+
+
+def shuffled(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """Adds ``name``: the row's place (from 0) in an order drawn from the seed and the whole number ``key``."""
+    hidden = f"__{name}"
+    own = df.withColumn(hidden, hash32((F.col(key).cast("long") + F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF))))
+    return row_numbers(own, [hidden, key], name).drop(hidden)

@@ -9,21 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.numbers import let
+
 # Ids of the end token and of the five tokens added after it.
 EOS, BOS, PAD, USER, ASSISTANT, SYSTEM = 50256, 50257, 50258, 50259, 50260, 50261
 ROLES = {"user": USER, "assistant": ASSISTANT, "system": SYSTEM}
 INTS = "array<int>"
-PAIRS = "array<struct<t:int,m:int>>"
 
 
 def bytes_ids(text: Column) -> Column:
-    """Ids of the bytes of a text."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), F.lit(".."), F.lit(0))
-    digit = lambda h, i: F.instr(F.lit("0123456789ABCDEF"), F.substring(h, i, 1)) - 1
-    return F.transform(pairs, lambda h: digit(h, 1) * 16 + digit(h, 2))
+    """Ids of the bytes of a text: each byte is read as a character, whose number is the byte."""
+    own = F.coalesce(text, F.lit(""))
+    letters = F.split(F.decode(F.encode(own, "UTF-8"), "ISO-8859-1"), "")
+    return F.when(own == "", F.array().cast(INTS)).otherwise(F.transform(letters, F.ascii))
 
 
 def bpe_ids(tokenizer_file: str) -> Callable[[Column], Column]:
@@ -52,26 +53,34 @@ def role_id(role: Column) -> Column:
     return out
 
 
-def tokenize_conversation(messages: Column, policy: str = "assistant_only", ids: Callable[[Column], Column] = bytes_ids) -> Column:
-    """Array of struct<t, m>, token and loss mask: BOS, then for each message its role token (if it has one) and content, then EOS.
+def conversation_tokens(messages: Column, policy: str = "assistant_only", ids: Callable[[Column], Column] = bytes_ids) -> Column:
+    """struct<t, m>, arrays of tokens and loss masks: BOS, then for each message its role token (if it has one) and content, then EOS.
 
     ``assistant_only`` trains the content of assistants, their role tokens, the user token that follows an assistant, and an EOS
     after one; ``all`` trains everything but BOS. A missing role is user, missing content empty.
     """
     role = lambda m: F.coalesce(m.role, F.lit("user"))
-    pair = lambda t, m: F.struct(t.cast("int").alias("t"), m.cast("int").alias("m"))
     every = policy == "all"
+    none = F.array().cast(INTS)
 
     def part(m: Column, i: Column) -> Column:
         before = F.when(i > 0, role(F.get(messages, i - 1)))
         own = F.lit(1) if every else F.when((role(m) == "assistant") | ((role(m) == "user") & F.coalesce(before == "assistant", F.lit(False))), 1).otherwise(0)
         trained = F.lit(1) if every else F.when(role(m) == "assistant", 1).otherwise(0)
-        mark = F.when(role_id(role(m)).isNull(), F.array().cast(PAIRS)).otherwise(F.array(pair(role_id(role(m)), own)))
-        return F.concat(mark, F.transform(ids(m.content), lambda t: pair(t, trained)))
+        known = role_id(role(m)).isNotNull()
+        mark, marked = (F.when(known, F.array(x)).otherwise(none) for x in (role_id(role(m)), own))
+        return let(ids(m.content), lambda x: F.struct(F.concat(mark, x).alias("t"), F.concat(marked, F.array_repeat(trained, F.size(x))).alias("m")))
 
     last = role(F.get(messages, F.size(messages) - 1))
     end = F.lit(1) if every else F.when(last == "assistant", 1).otherwise(0)
-    return F.concat(F.array(pair(F.lit(BOS), F.lit(0))), F.flatten(F.transform(messages, part)), F.array(pair(F.lit(EOS), end)))
+    all_ = lambda parts, c: F.flatten(F.transform(parts, lambda p: p[c]))
+    whole = lambda parts: F.struct(F.concat(F.array(F.lit(BOS)), all_(parts, "t"), F.array(F.lit(EOS))).alias("t"), F.concat(F.array(F.lit(0)), all_(parts, "m"), F.array(end)).alias("m"))
+    return let(F.transform(messages, part), whole)
+
+
+def tokenize_conversation(messages: Column, policy: str = "assistant_only", ids: Callable[[Column], Column] = bytes_ids) -> Column:
+    """``conversation_tokens`` as an array of struct<t, m>."""
+    return let(conversation_tokens(messages, policy, ids), lambda s: F.zip_with(s.t, s.m, lambda t, m: F.struct(t.alias("t"), m.alias("m"))))
 
 
 def prompt_ids(question: Column, ids: Callable[[Column], Column] = bytes_ids) -> Column:
@@ -80,8 +89,7 @@ def prompt_ids(question: Column, ids: Callable[[Column], Column] = bytes_ids) ->
 
 def encode_chat(messages: Column, ids: Callable[[Column], Column] = bytes_ids) -> Column:
     """A conversation without its end, ready for the assistant's turn."""
-    own = F.filter(F.transform(tokenize_conversation(messages, ids=ids), lambda p: p.t), lambda t: t.isNotNull())
-    return F.concat(F.slice(own, F.lit(1), F.size(own) - 1), F.array(F.lit(ASSISTANT)))
+    return let(conversation_tokens(messages, ids=ids).t, lambda t: F.concat(F.slice(t, F.lit(1), F.size(t) - 1), F.array(F.lit(ASSISTANT))))
 
 
 def pad_to(a: Column, size: int, fill: int) -> Column:
@@ -99,3 +107,15 @@ def crop_left(a: Column, size: int, start: Column, end: Column) -> Column:
     """struct<tokens, start, end>: the last ``size`` tokens, with the span moved along (start may fall below 0)."""
     over = F.greatest(F.size(a) - size, F.lit(0))
     return F.struct(F.slice(a, over + 1, F.lit(size)).alias("tokens"), (start - over).cast("long").alias("start"), (end - over).cast("long").alias("end"))
+
+
+def truncated(a: Column, size: int = 2048) -> Column:
+    """The first ``size`` ids of a document."""
+    return F.slice(a, 1, size)
+
+
+def pad_to_longest(df: DataFrame, batch: str, ids: str, fill: int = PAD) -> DataFrame:
+    """Adds width, the longest of the batch, and fills ``ids`` on the right to it."""
+    width = df.groupBy(batch).agg(F.max(F.size(ids)).alias("width"))
+    gap = F.array_repeat(F.lit(fill), F.col("width") - F.size(ids))
+    return df.join(width, batch).withColumn(ids, F.concat(ids, gap))

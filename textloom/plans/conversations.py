@@ -318,9 +318,9 @@ def tokenize_text(spark, sf_dir):
       + CASE WHEN arg_max(role, turn) = 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS n_trained, CAST(sum(n + 1) + 1 AS BIGINT) AS n_trained_all FROM t GROUP BY conv_id"""
 )
 def conv_mask_counts(spark, sf_dir):
-    own = chats(spark, sf_dir).select("conv_id", tokens.tokenize_conversation(F.col("messages")).alias("p"), tokens.tokenize_conversation(F.col("messages"), "all").alias("q"))
-    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.m)
-    return own.select("conv_id", F.size("p").cast("long").alias("n_tokens"), count("p").alias("n_trained"), count("q").alias("n_trained_all"))
+    own = chats(spark, sf_dir).select("conv_id", tokens.conversation_tokens(F.col("messages")).alias("p"), tokens.conversation_tokens(F.col("messages"), "all").alias("q"))
+    count = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return own.select("conv_id", F.size("p.t").cast("long").alias("n_tokens"), count("p.m").alias("n_trained"), count("q.m").alias("n_trained_all"))
 
 
 @query(f"SELECT doc_id, 64 - least(64, len(t)) AS n_pad, CAST(list_sum(t[1:64]) AS BIGINT) AS total FROM (SELECT doc_id, {LENGTHS} AS t FROM documents)")
@@ -337,15 +337,15 @@ def pref_pad(spark, sf_dir):
     FROM s GROUP BY conv_id HAVING bool_or(role = 'assistant')"""
 )
 def chunk_context_check(spark, sf_dir):
-    own = chats(spark, sf_dir).select("conv_id", tokens.tokenize_conversation(F.col("messages")).alias("p"))
-    own = own.select("conv_id", F.transform("p", lambda x: x.t).alias("t"), F.array_position(F.transform("p", lambda x: x.m), F.lit(1)).alias("first_trained"))
+    own = chats(spark, sf_dir).select("conv_id", tokens.conversation_tokens(F.col("messages")).alias("p"))
+    own = own.select("conv_id", F.col("p.t").alias("t"), F.array_position("p.m", F.lit(1)).alias("first_trained"))
     return own.where("first_trained > 0").select("conv_id", "first_trained", F.size(F.filter("t", lambda x: x == tokens.BOS)).cast("long").alias("n_bos"), F.array_contains("t", tokens.USER).alias("has_user"))
 
 
 def word_rows(spark, sf_dir):
     """Word lengths as tokens; one in five is trained."""
     t = lengths()
-    return table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("t"), F.transform(t, lambda x, i: F.struct(x.alias("t"), F.when(i % 5 == 0, 1).otherwise(0).alias("m"))).alias("p"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("t"), F.transform(t, lambda x, i: F.when(i % 5 == 0, 1).otherwise(0)).alias("m"))
 
 
 STREAM = f"""WITH d AS (SELECT doc_id, {LENGTHS} AS t FROM documents), f AS (SELECT doc_id, i, t[i + 1] AS t, CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END AS m FROM (SELECT doc_id, t, unnest(range(0, len(t))) AS i FROM d)),
@@ -358,8 +358,8 @@ STREAM = f"""WITH d AS (SELECT doc_id, {LENGTHS} AS t FROM documents), f AS (SEL
     SELECT chunk, count(*) - 1 AS n, CAST(sum(t) FILTER (o < {SIZE - 1}) AS BIGINT) AS inputs, CAST(sum(t) FILTER (o > 0) AS BIGINT) AS labels, CAST(sum(m) FILTER (o > 0) AS BIGINT) AS trained FROM g GROUP BY chunk HAVING count(*) = {SIZE}"""
 )
 def pack_linear(spark, sf_dir):
-    c = packing.linear_chunks(word_rows(spark, sf_dir), "p", ["doc_id"], SIZE)
-    ids, labels, mask = packing.shifted(F.transform("tokens", lambda x: x.t), F.transform("tokens", lambda x: x.m))
+    c = packing.linear_chunks(word_rows(spark, sf_dir), ["t", "m"], ["doc_id"], SIZE)
+    ids, labels, mask = packing.shifted(F.col("t"), F.col("m"))
     own = c.select("chunk", ids, labels, mask)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
     return own.select("chunk", F.size("labels").cast("long").alias("n"), total("input_ids").alias("inputs"), total("labels").alias("labels"), total("loss_mask").alias("trained"))
@@ -381,7 +381,7 @@ def pack_batch(spark, sf_dir):
     return rows.select("chunk", F.col("row").cast("long").alias("row"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x).alias("inputs"))
 
 
-ALIGNED = """WITH RECURSIVE d AS (SELECT doc_id % 4 AS stream, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS k, least({size}, {length}) AS n FROM documents),
+ALIGNED = """WITH RECURSIVE d AS (SELECT doc_id // 500 AS stream, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS k, least({size}, {length}) AS n FROM documents),
   f AS (SELECT stream, k, n, CASE WHEN n = {size} THEN 0 ELSE n END AS used, CAST(0 AS BIGINT) AS chunk, CAST(CASE WHEN n = {size} THEN 1 ELSE 0 END AS BIGINT) AS next FROM d WHERE k = 1
     UNION ALL SELECT d.stream, d.k, d.n,
       CASE WHEN CASE WHEN f.used > 0 AND f.used + d.n > {size} THEN d.n ELSE f.used + d.n END = {size} THEN 0 WHEN f.used > 0 AND f.used + d.n > {size} THEN d.n ELSE f.used + d.n END,
@@ -397,8 +397,8 @@ WORD_COUNT = "len(string_split(text, ' '))"
     + ", g AS (SELECT stream, chunk, count(*) AS n_seqs, 2048 - CAST(sum(n) AS BIGINT) AS n_pad FROM f GROUP BY 1, 2) SELECT stream, chunk, n_seqs, n_pad FROM g WHERE (stream, chunk) NOT IN (SELECT stream, max(chunk) FROM g GROUP BY stream) OR n_pad = 0"
 )
 def pack_aligned(spark, sf_dir):
-    own = word_rows(spark, sf_dir).withColumn("stream", F.pmod("doc_id", F.lit(4)))
-    return packing.aligned_chunks(own, "p", "stream", ["doc_id"], 2048).select("stream", "chunk", "n_seqs", "n_pad")
+    own = word_rows(spark, sf_dir).withColumn("stream", F.floor(F.col("doc_id") / 500))
+    return packing.aligned_chunks(own, "t", "m", "stream", ["doc_id"], 2048).select("stream", "chunk", "n_seqs", "n_pad")
 
 
 @query(
@@ -406,11 +406,11 @@ def pack_aligned(spark, sf_dir):
     + ", g AS (SELECT stream, chunk, count(*) AS c, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2) SELECT stream, count(*) AS chunks, CAST(sum(2048 - n) AS BIGINT) AS pad, CAST(sum(c) AS BIGINT) AS sequences FROM g GROUP BY stream"
 )
 def sim_pack(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(4)).alias("stream"), F.size(F.split("text", " ")).alias("n"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 500).alias("stream"), F.size(F.split("text", " ")).alias("n"))
     return packing.sim_pack(own, "n", "stream", ["doc_id"], 2048)
 
 
-REPORT = ALIGNED.replace("doc_id % 4 AS stream", "conv_id % 4 AS stream").replace("PARTITION BY doc_id % 4 ORDER BY doc_id", "PARTITION BY conv_id % 4 ORDER BY conv_id").replace("FROM documents", "FROM e").replace("WITH RECURSIVE d", "WITH RECURSIVE e AS (SELECT conv_id, CAST(sum(greatest(1, length(text) // 4) + 1) + 2 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id), d")
+REPORT = ALIGNED.replace("doc_id // 500 AS stream", "conv_id // 200 AS stream").replace("PARTITION BY doc_id // 500 ORDER BY doc_id", "PARTITION BY conv_id // 200 ORDER BY conv_id").replace("FROM documents", "FROM e").replace("WITH RECURSIVE d", "WITH RECURSIVE e AS (SELECT conv_id, CAST(sum(greatest(1, length(text) // 4) + 1) + 2 AS BIGINT) AS tokens FROM conversations GROUP BY conv_id), d")
 
 
 @query(
@@ -418,15 +418,14 @@ REPORT = ALIGNED.replace("doc_id % 4 AS stream", "conv_id % 4 AS stream").replac
     + ", g AS (SELECT stream, chunk, count(*) AS c, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2) SELECT stream, count(*) AS chunks, round(sum(1024 - n) / (count(*) * 1024), 6) AS pad_share, round(sum(n) / sum(c), 6) AS mean_tokens FROM g GROUP BY stream"
 )
 def pack_report(spark, sf_dir):
-    own = chats(spark, sf_dir).select("conv_id", F.pmod("conv_id", F.lit(4)).alias("stream"), M.estimate_tokens(F.col("messages")).alias("n"))
+    own = chats(spark, sf_dir).select("conv_id", F.floor(F.col("conv_id") / 200).alias("stream"), M.estimate_tokens(F.col("messages")).alias("n"))
     r = packing.sim_pack(own, "n", "stream", ["conv_id"], 1024)
     return r.select("stream", "chunks", F.round(F.col("pad") / (F.col("chunks") * 1024), 6).alias("pad_share"), F.round((F.col("chunks") * 1024 - F.col("pad")) / F.col("sequences"), 6).alias("mean_tokens"))
 
 
 def marked_chunks(spark, sf_dir):
-    own = chats(spark, sf_dir).withColumn("p", tokens.tokenize_conversation(F.col("messages")))
-    c = packing.linear_chunks(own.select("conv_id", "p"), "p", ["conv_id"], SIZE)
-    return c.select("chunk", F.transform("tokens", lambda x: x.t).alias("tokens"), F.transform("tokens", lambda x: x.m).alias("mask"))
+    own = chats(spark, sf_dir).withColumn("p", tokens.conversation_tokens(F.col("messages")))
+    return packing.linear_chunks(own.select("conv_id", F.col("p.t").alias("tokens"), F.col("p.m").alias("mask")), ["tokens", "mask"], ["conv_id"], SIZE)
 
 
 MARKS = f"""WITH t AS (SELECT conv_id, turn, role, strlen(text) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
@@ -467,11 +466,12 @@ def pref_prepare(spark, sf_dir):
 
 
 @query(
-    REPORT.replace("conv_id % 4", "conv_id % 3").format(size=2048, length="tokens")
-    + ", g AS (SELECT stream, chunk, count(*) AS c, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY 1, 2), z AS (SELECT conv_id % 3 AS stream, avg(tokens) AS mean FROM e GROUP BY 1) SELECT ['smoltalk', 'lima', 'ultrachat_gen'][1 + g.stream] AS source, CAST(sum(c) AS BIGINT) AS n, round(any_value(mean), 6) AS mean_tokens, count(*) AS chunks, CAST(count(*) // 4 AS BIGINT) AS steps FROM g JOIN z ON g.stream = z.stream GROUP BY g.stream"
+    REPORT.replace("conv_id // 200", "conv_id % 3 + conv_id // 200 * 3").format(size=2048, length="tokens")
+    + ", g AS (SELECT stream % 3 AS source, stream, chunk, count(*) AS c FROM f GROUP BY 1, 2, 3), z AS (SELECT conv_id % 3 AS source, avg(tokens) AS mean FROM e GROUP BY 1) SELECT ['smoltalk', 'lima', 'ultrachat_gen'][1 + g.source] AS source, CAST(sum(c) AS BIGINT) AS n, round(any_value(mean), 6) AS mean_tokens, count(*) AS chunks, CAST(count(*) // 4 AS BIGINT) AS steps FROM g JOIN z ON g.source = z.source GROUP BY g.source"
 )
 def profile_sources(spark, sf_dir):
-    own = chats(spark, sf_dir).select("conv_id", "source", M.estimate_tokens(F.col("messages")).alias("n"))
+    """Each source is packed shard by shard."""
+    own = chats(spark, sf_dir).select("source", "conv_id", F.concat_ws(":", "source", F.floor(F.col("conv_id") / 200)).alias("stream"), M.estimate_tokens(F.col("messages")).alias("n"))
     mean = own.groupBy("source").agg(F.avg("n").alias("mean"))
-    packed = packing.sim_pack(own, "n", "source", ["conv_id"], 2048).join(F.broadcast(mean), "source")
-    return packed.select("source", F.col("sequences").alias("n"), F.round("mean", 6).alias("mean_tokens"), "chunks", profile.training_steps(F.col("chunks"), 2, 2).alias("steps"))
+    packed = packing.sim_pack(own, "n", "stream", ["conv_id"], 2048).groupBy(F.substring_index("stream", ":", 1).alias("source")).agg(F.sum("sequences").alias("n"), F.sum("chunks").alias("chunks"))
+    return packed.join(mean, "source").select("source", "n", F.round("mean", 6).alias("mean_tokens"), "chunks", profile.training_steps(F.col("chunks"), 2, 2).alias("steps"))

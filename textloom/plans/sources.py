@@ -14,9 +14,12 @@ def sharded(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.floor(F.col("doc_id") / 100).alias("shard"), F.floor(F.col("doc_id") % 100 / 10).alias("row_group"))
 
 
-@query()
+@query("SELECT true AS numbered, count(*) AS n_rows FROM documents")
 def src_list_shards(spark, sf_dir):
-    return readers.list_shards(spark, f"{sf_dir}/documents.parquet")
+    """Whether the files' numbers go from 0 without a gap in the order of their names, and the rows of all of them."""
+    path = f"{sf_dir}/documents.parquet"
+    files = readers.with_order(spark, path).groupBy("shard").agg(F.count("*").alias("n"), F.max("row").alias("last"), F.countDistinct("file_name").alias("names"))
+    return files.agg((F.bool_and((F.col("names") == 1) & (F.col("last") + 1 == F.col("n"))) & (F.max("shard") + 1 == F.count("*"))).alias("numbered"), F.sum("n").alias("n_rows"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id // 100 < (SELECT max(doc_id // 100) FROM documents) AND (doc_id % 100) // 10 % 3 = 1")

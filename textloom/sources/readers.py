@@ -101,3 +101,14 @@ def flattened(df: DataFrame) -> DataFrame:
     if len(df.columns) == 1 and isinstance(df.schema[0].dataType, T.StructType):
         return df.select(f"{df.columns[0]}.*")
     return df
+
+
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order."""
+    return df.orderBy(order).limit(n)
+
+
+def conversations_of(df: DataFrame, source: str | None = None) -> DataFrame:
+    """Conversations that hold a message, of one source if it is given."""
+    own = df.where(F.size("messages") > 0)
+    return own if source is None else of_source(own, source)

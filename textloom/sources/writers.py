@@ -32,3 +32,13 @@ def write_once(df: DataFrame, path: str) -> None:
 def append_metrics(df: DataFrame, path: str, step: int) -> None:
     """Rows of (metric, value) for one step, added to a table."""
     df.select(F.lit(step).cast("long").alias("step"), "metric", F.col("value").cast("double").alias("value")).write.mode("append").parquet(path)
+
+
+def report_lines(df: DataFrame, **formats: str) -> DataFrame:
+    """Rows as lines of text (line), each column by its printf format."""
+    return df.select(F.format_string(" | ".join(formats.values()), *formats).alias("line"))
+
+
+def write_single(df: DataFrame, path: str) -> None:
+    """One Parquet file, for tables of a size that one task can write."""
+    df.coalesce(1).write.parquet(path)
