@@ -30,7 +30,7 @@ def mixed(draw_table: DataFrame, rows: DataFrame, order: str, stride: int = 1, o
     modulo the source's rows, so a source begins again when it is used up. Sources without rows give none."""
     own = row_numbers(rows, [order], "__row", ["source"])
     sizes = own.groupBy("source").agg(F.count("*").alias("__n"))
-    at = draw_table.join(F.broadcast(sizes), "source").withColumn("__row", F.pmod(F.lit(offset) + F.col("k") * stride, F.col("__n"))).drop("__n")
+    at = draw_table.join(sizes, "source").withColumn("__row", F.pmod(F.lit(offset) + F.col("k") * stride, F.col("__n"))).drop("__n")
     return at.join(own, ["source", "__row"]).drop("__row")
 
 
@@ -44,8 +44,7 @@ def few_shot(items: DataFrame, idx: str, group: str, k: int, seed: int = 1234) -
 
     The candidates of an item are the rows after a hashed starting point in the group's hashed order, so a lookup by rank finds
     them and no pairs are made."""
-    order = Window.partitionBy(group).orderBy("__h", idx)
-    own = items.select(group, idx).withColumn("__h", lcg(F.col(idx), seed)).withColumn("__r", F.row_number().over(order) - 1)
+    own = row_numbers(items.select(group, idx).withColumn("__h", lcg(F.col(idx), seed)), ["__h", idx], "__r", [group])
     sizes = own.groupBy(group).agg(F.count("*").alias("__n"))
     asked = own.join(sizes, group).withColumn("shot", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where(F.col("shot") < F.col("__n") - 1)
     asked = asked.withColumn("__at", F.pmod(F.col("__r") + 1 + F.col("shot"), F.col("__n")))
@@ -59,9 +58,9 @@ def round_robin(items: DataFrame, kind: str, label: str, order: str, total: int)
     kinds = items.select(kind).distinct()
     ranked = kinds.withColumn("__k", F.row_number().over(Window.orderBy(kind)) - 1).crossJoin(F.broadcast(kinds.agg(F.count("*").alias("__n"))))
     quota = F.floor(F.lit(total) / F.col("__n")) + F.when(F.col("__k") < total % F.col("__n"), 1).otherwise(0)
-    own = items.withColumn("__cursor", F.row_number().over(Window.partitionBy(kind, label).orderBy(order))).where(F.col("__cursor") <= total)
+    own = row_numbers(items, [order], "__cursor", [kind, label]).where(F.col("__cursor") < total)
     own = own.withColumn("place", (F.row_number().over(Window.partitionBy(kind).orderBy("__cursor", label)) - 1).cast("long"))
-    return own.join(F.broadcast(ranked.withColumn("__quota", quota)), kind).where("place < __quota").drop("__cursor", "__k", "__n", "__quota")
+    return own.join(ranked.withColumn("__quota", quota), kind).where("place < __quota").drop("__cursor", "__k", "__n", "__quota")
 
 
 def batch_draws(spark: SparkSession, batches: int, size: int, weights: dict[str, float], seed: int) -> DataFrame:

@@ -23,10 +23,9 @@ def by_shard(df: DataFrame, shard: str, validation: str = "first", fallback: boo
 
 def by_fraction(df: DataFrame, shard: str, order: str, fraction: float) -> DataFrame:
     """Adds split: the first max(1, int(fraction * n)) rows of each shard are val."""
-    n = F.count("*").over(Window.partitionBy(shard))
-    k = F.greatest(F.lit(1), F.floor(F.lit(fraction) * n))
-    row = F.row_number().over(Window.partitionBy(shard).orderBy(order))
-    return df.withColumn("split", F.when(row <= k, F.lit("val")).otherwise(F.lit("train")))
+    sizes = df.groupBy(shard).agg(F.greatest(F.lit(1), F.floor(F.lit(fraction) * F.count("*"))).alias("__val"))
+    own = row_numbers(df, [order], "__k", [shard]).join(sizes, shard)
+    return own.withColumn("split", F.when(F.col("__k") < F.col("__val"), F.lit("val")).otherwise(F.lit("train"))).drop("__k", "__val")
 
 
 def shard_owners(shards: DataFrame, world: int, workers: int = 1, share: bool = True) -> DataFrame:
