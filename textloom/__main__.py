@@ -1,4 +1,4 @@
-"""Command line: python -m textloom list | run QUERY SF_DIR [OUT] | ingest JSON OUT | calculator N OUT."""
+"""Command line: python -m textloom list | run QUERY SF_DIR [OUT] | ingest JSON OUT | calculator N OUT | fetch LIST OUT."""
 
 from __future__ import annotations
 
@@ -23,10 +23,14 @@ def main(argv: list[str] | None = None) -> None:
     problems.add_argument("n", type=int)
     problems.add_argument("out")
     problems.add_argument("--seed", type=int, default=42)
+    fetched = commands.add_parser("fetch", help="fetch the files of a CSV list with the columns url and name")
+    fetched.add_argument("list")
+    fetched.add_argument("out")
     args = parser.parse_args(argv)
 
     from textloom import plans
     from textloom.operators.synth import calculator_problems
+    from textloom.sources.fetch import fetch
     from textloom.sources.readers import ingest_custom
     from textloom.sources.writers import write_once
 
@@ -44,6 +48,8 @@ def main(argv: list[str] | None = None) -> None:
         if valid.isEmpty():
             raise SystemExit("no valid conversation")
         write_once(valid, args.out)
+    elif args.command == "fetch":
+        fetch(spark.read.schema("url string, name string").csv(args.list, header=True), args.out).show(1000, truncate=False)
     else:
         write_once(calculator_problems(spark, args.n, args.seed), args.out)
 

@@ -1,9 +1,12 @@
 """Queries that write small tables in a reader's format and read them again."""
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from textloom.plans.registry import CHATS, chats, query, table
-from textloom.sources import readers, suites, writers
+from textloom.sources import fetch, readers, suites, writers
 from textloom.sources.scratch import put, scratch
 
 
@@ -110,3 +113,29 @@ def prompt_suites(spark, sf_dir):
     count = lambda df, name: df.agg(F.count("*").cast("int").alias(name))
     own = suites.conversations(spark).agg(F.count("*").cast("int").alias("conversations"), F.sum(F.size("messages")).cast("int").alias("messages"))
     return count(suites.completions(spark), "completions").crossJoin(count(suites.knowledge(spark), "knowledge")).crossJoin(own)
+
+
+@query("SELECT 'region' AS name, false AS skipped, count(*) AS n_rows FROM region UNION ALL SELECT 'region', true, count(*) FROM region UNION ALL SELECT 'nation', false, count(*) FROM nation UNION ALL SELECT 'nation', true, count(*) FROM nation")
+def src_fetch(spark, sf_dir):
+    """Two files, fetched twice: the second time they are there."""
+    folder = scratch(spark, "fetched")
+    where = sf_dir if "://" in sf_dir else f"file://{sf_dir}"
+    files = spark.createDataFrame([(f"{where}/{t}.parquet", f"{t}.parquet") for t in ("region", "nation")], "url string, name string")
+    rows = []
+    for _ in range(2):
+        found = fetch.fetch(files, folder).where("error is null").collect()
+        rows += [(r.name.removesuffix(".parquet"), r.skipped, spark.read.parquet(f"{folder}/{r.name}").count()) for r in found]
+    return spark.createDataFrame(rows, "name string, skipped boolean, n_rows long")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def src_bundle(spark, sf_dir):
+    """A zip archive with a table in a folder, unpacked and read."""
+    folder, raw = scratch(spark, "bundle"), io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("bundle/tables/region.csv", table(spark, sf_dir, "region").select("r_regionkey", "r_name").toPandas().to_csv(index=False))  # five rows
+        z.writestr("bundle/readme.txt", "a table")
+    put(spark, f"{folder}.zip", raw.getvalue())
+    fetch.unpack(spark, f"{folder}.zip", folder)
+    own = table(spark, sf_dir, "region").select("r_regionkey", "r_name").schema
+    return spark.read.schema(own).csv(f"{folder}/bundle/tables", header=True)

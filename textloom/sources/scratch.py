@@ -19,9 +19,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/scratch-{name}-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file of text."""
+def put(spark: SparkSession, path: str, data: str | bytes) -> None:
+    """Writes a small file."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data.encode() if isinstance(data, str) else data))
     out.close()
