@@ -111,5 +111,23 @@ def test_passages_differ_to_the_left_of_a_common_one(spark, holders):
         spark.conf.set(key, before)
 
 
+def test_keys_of_two_documents_in_a_stream():
+    """Runs of one key over batches of any size: rows come once the key has a second document, whatever came before."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(40) if k % 3 else 7, rng.randrange(9) if k % 5 else 1, k) for k in range(400)) + [(90, 5, 400 + k) for k in range(30)] + [(91, 1, 500), (91, 2, 501)]
+    of_key = defaultdict(set)
+    for key, i, _ in rows:
+        of_key[key].add(i)
+    want = sorted(k for key, _, k in rows if len(of_key[key]) > 1)
+    for size in (1, 2, 7, 50, 1000):
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in b], pa.int64()), "id": pa.array([r[1] for r in b], pa.int64()), "mark": pa.array([r[2] for r in b], pa.int64()), **{c: pa.array([0] * len(b), pa.int32()) for c in ("pos", "start", "end")}}) for at in range(0, len(rows), size) if (b := rows[at : at + size])]
+        got = [r for b in S.in_two(iter(batches)) for r in b.to_pylist()]
+        key_of = {k: key for key, _, k in rows}
+        assert sorted(r["mark"] for r in got) == want
+        assert all(r["other"] != r["id"] and r["other"] in of_key[key_of[r["mark"]]] for r in got)
+
+
 def test_nothing(spark):
     assert S.repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0

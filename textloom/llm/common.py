@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -79,6 +82,26 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def trim() -> None:
+    """Gives memory that this worker has freed back to the machine; the next stage's work may be another worker's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """A generator function that trims the worker's memory at its end."""
+
+    @functools.wraps(fn)
+    def own(*args, **named):
+        try:
+            yield from fn(*args, **named)
+        finally:
+            trim()
+
+    return own
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """Partitions for so many rows with ``each`` in one."""
     return max(least, -(-rows // each))
@@ -91,6 +114,7 @@ def dealt(df: DataFrame, keys: list[str], *order: str, rows: int = 0, each: int
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
+@lean
 def runs(
     batches: Iterator[pa.RecordBatch], keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], most: int = 20_000, most_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:
@@ -133,8 +157,8 @@ def last_group(table: pa.Table, keys: list[str]) -> int:
     return lo
 
 
-def among(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
-    """The rows of ``df`` whose column is in ``ids`` (a stored table without repeats), or with ``left_anti`` the others. Up to ``most`` ids are broadcast, so
+def among(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """The rows of ``df`` whose column (or columns) are in ``ids`` (a stored table without repeats), or with ``left_anti`` the others. Up to ``most`` ids are broadcast, so
     that ``df`` stays where it is; more are joined."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, how)
 
