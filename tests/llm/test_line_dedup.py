@@ -35,25 +35,25 @@ def test_against_brute_force(spark, monkeypatch):
     for min_chars, min_docs, heavy in ((5, 5, 1000), (5, 5, 4), (1, 2, 1000), (5, 1000, 1000)):
         monkeypatch.setattr(line_dedup, "HEAVY", heavy)
         monkeypatch.setattr(line_dedup, "LEAST_HEAVY", 1)
-        bitmaps = line_dedup.drop_bitmaps(df, min_chars=min_chars, min_docs=min_docs)
+        bitmaps = line_dedup.keep_bitmaps(df, min_chars=min_chars, min_docs=min_docs)
         got = line_dedup.apply_bitmaps(df, bitmaps)
         assert got.columns == ["doc_id", "text", "drops", "n_lines", "n_dropped"]
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute(rows, min_chars, min_docs)
     empty = df.limit(0)
-    assert line_dedup.apply_bitmaps(empty, line_dedup.drop_bitmaps(empty)).count() == 0
+    assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
 
 
 def test_common_line_is_decided_without_a_shuffle_of_its_rows(spark):
     line = "a line that is long enough to count as one here"
     df = spark.range(3000).selectExpr("id as doc_id", f"'{line}' as text")
-    cut = line_dedup.apply_bitmaps(df, line_dedup.drop_bitmaps(df))
+    cut = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
     assert [(r.doc_id, r.text) for r in cut.where("n_dropped = 0").collect()] == [(2999, line)]
     assert cut.where("text = ''").count() == 2999
 
 
 def test_hashes_are_dealt_by_range_once(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
-    plan = line_dedup.drop_bitmaps(df)._jdf.queryExecution().executedPlan().toString()
+    plan = line_dedup.keep_bitmaps(df)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning(h1" in plan and "hashpartitioning(h1" not in plan and "Python" not in plan
 
 
@@ -61,7 +61,7 @@ def test_columns_with_inner_names(spark):
     line = "a line that is long enough to be looked at by all"
     rows = [(k, line + "\nown", k, "m", "d") for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id long, mark string, drops string")
-    for names in (["id", "mark", "drops"], ["__id", "__mark", "__drops"], ["ID", "row_mark", "Drops"]):
+    for names in (["id", "mark", "keeps"], ["id", "mark", "drops"], ["__id", "__mark", "__drops"], ["ID", "row_mark", "Keeps"]):
         own = df.toDF("doc_id", "text", *names)
-        got = line_dedup.apply_bitmaps(own, line_dedup.drop_bitmaps(own)).collect()
+        got = line_dedup.apply_bitmaps(own, line_dedup.keep_bitmaps(own)).collect()
         assert sorted((r.doc_id, r[names[0]], r[names[1]], r[names[2]], r.text) for r in got) == [(k, k, "m", "d", (line + "\nown") if k == 5 else "own") for k in range(6)]

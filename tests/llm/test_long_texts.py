@@ -28,7 +28,7 @@ def test_hits_and_lines(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS[-12:])), (2, "not there at all")], "item_id long, text string")
     found = {r.doc_id: (r.n_words, len(r.hits), r.item_ids) for r in decontaminate.contamination(docs(spark), bench, columns=["doc_id"]).collect()}
     assert found[1] == (250_000, 12, ["1"]) and found[2] == (250_001, 12, ["1"]) and found[5] == (1, 0, []) and found[4] == (0, 0, [])
-    cut = line_dedup.apply_bitmaps(docs(spark), line_dedup.drop_bitmaps(docs(spark), min_docs=2))
+    cut = line_dedup.apply_bitmaps(docs(spark), line_dedup.keep_bitmaps(docs(spark), min_docs=2))
     assert {r.doc_id: r.n_lines for r in cut.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 50_001}
 
 

@@ -8,8 +8,8 @@ The few hashes that hold more than one in ``HEAVY`` of all rows (there can't be
 be one task's work; counts with partial sums find those, and their rows are decided where they lie, by a broadcast of their
 largest doc_id.
 
-The result is a bitmap for each document that loses lines: 64 positions to a number, numbers without a dropped line left out.
-``apply_bitmaps`` cuts the texts by it.
+The result is a keep bitmap for each document that loses lines: 64 positions to a number, compressed by leaving out the numbers that are all ones.
+``apply_bitmaps`` cuts the texts by it; texts of the documents without one stay where they are, unless the ids of the others are too many to broadcast.
 
 Edge cases: a null or empty text is one empty line and keeps it; rows that repeat a doc_id count as one document, and each
 of them is cut like it; rows without a doc_id are neither counted nor cut; an empty table gives an empty result.
@@ -27,6 +27,7 @@ MIN_DOCS = 5
 HEAVY = 1000
 LEAST_HEAVY = 1000
 ROWS_EACH = 2_000_000
+MOST_BROADCAST = 1_000_000
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,8 +47,8 @@ def row_mark(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def drop_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, row_mark, drops (map from position div 64 to the bits of dropped lines) for each row that loses lines."""
+def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, row_mark, keeps (map from position div 64 to the bits of kept lines, without the numbers that are all ones) for each row that loses lines."""
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("doc_id is not null")
     seen = (
         source.select("doc_id", row_mark(F.col("doc_id"), F.col("text")).alias("row_mark"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
@@ -78,9 +79,9 @@ def drop_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return (
         heavy_drops.unionByName(light)
         .groupBy("doc_id", "row_mark", F.expr("pos div 64").cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits"))
+        .agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))"))).alias("bits"))
         .groupBy("doc_id", "row_mark")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("keeps"))
     )
 
 
@@ -88,14 +89,18 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     """The documents with the lines cut from their text, plus n_lines (before) and n_dropped."""
     made = ["n_lines", "n_dropped"]
     own = [c for c in docs.columns if c not in made]
-    id_, mark, drops = (fresh(c, docs.columns) for c in ("id", "mark", "drops"))
-    b = bitmaps.select(F.col("doc_id").alias(id_), F.col("row_mark").alias(mark), F.col("drops").alias(drops))
+    id_, mark, keeps = (fresh(c, docs.columns) for c in ("id", "mark", "keeps"))
+    b = stored(bitmaps, "bitmaps").select(F.col("doc_id").alias(id_), F.col("row_mark").alias(mark), F.col("keeps").alias(keeps))
     t = F.col(f"`{text}`").cast("string")
-    joined = docs.join(b, (F.col(f"`{doc_id}`") == F.col(id_)) & (row_mark(F.col(f"`{doc_id}`"), t) == F.col(mark)), "left")
-    cut = F.expr(f"array_join(filter(split(coalesce(cast(`{text}` as string), ''), '\\n', -1), (x, i) -> (coalesce(shiftright(try_element_at({drops}, cast(i div 64 as int)), cast(i % 64 as int)), 0L) & 1L) = 0L), '\\n')")
-    n_dropped = F.when(F.col(drops).isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"aggregate(map_values({drops}), 0L, (a, x) -> a + bit_count(x))"))
-    return joined.select(
-        *[(F.when(F.col(drops).isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`")) for c in own],
-        (F.octet_length(F.coalesce(t, F.lit(""))) - F.octet_length(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-        n_dropped.alias("n_dropped"),
-    )
+    ids = stored(b.select(F.col(id_).alias(doc_id)).distinct(), "ids")
+    few = ids.count() <= MOST_BROADCAST
+    cut_docs = docs.join(F.broadcast(ids), doc_id, "left_semi").select(docs.columns) if few else docs
+    joined = cut_docs.join(b, (F.col(f"`{doc_id}`") == F.col(id_)) & (row_mark(F.col(f"`{doc_id}`"), t) == F.col(mark)), "left")
+    cut = F.expr(f"array_join(filter(split(coalesce(cast(`{text}` as string), ''), '\\n', -1), (x, i) -> (shiftright(coalesce(try_element_at({keeps}, cast(i div 64 as int)), -1L), cast(i % 64 as int)) & 1L) = 1L), '\\n')")
+    n_dropped = F.when(F.col(keeps).isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"aggregate(map_values({keeps}), 0L, (a, x) -> a + 64 - bit_count(x))"))
+    n_lines = (F.octet_length(F.coalesce(t, F.lit(""))) - F.octet_length(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
+    out = joined.select(*[(F.when(F.col(keeps).isNull(), F.col(f"`{c}`")).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`")) for c in own], n_lines, n_dropped.alias("n_dropped"))
+    if not few:
+        return out
+    rest = docs.join(F.broadcast(ids), doc_id, "left_anti")
+    return out.unionByName(rest.select(*[F.col(f"`{c}`") for c in own], n_lines, F.lit(0).cast("long").alias("n_dropped")))

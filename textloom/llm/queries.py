@@ -10,7 +10,7 @@ from textloom.llm import language_id, warc
 from textloom.llm.decontaminate import contamination
 from textloom.llm.embedding_dedup import linked
 from textloom.llm.jaccard_join import joined_documents
-from textloom.llm.line_dedup import apply_bitmaps, drop_bitmaps
+from textloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from textloom.llm.packing import pack
 from textloom.llm.quote_links import chat_text, conversations
 from textloom.llm.suffix_dedup import repeated_spans
@@ -64,7 +64,7 @@ FROM g LEFT JOIN k ON g.doc_id = k.a
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = apply_bitmaps(docs, drop_bitmaps(docs))
+    cut = apply_bitmaps(docs, keep_bitmaps(docs))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
