@@ -32,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that had only such lines goes too."""
     docs = docs.select(COLUMNS)
-    cut = line_dedup.apply_bitmaps(docs, line_dedup.drop_bitmaps(docs))
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     kept = cut.where((F.col("n_dropped") < F.col("n_lines")))
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
