@@ -157,7 +157,7 @@ def last_group(table: pa.Table, keys: list[str]) -> int:
     return lo
 
 
-def among(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+def among(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "left_semi", most: int = 500_000) -> DataFrame:
     """The rows of ``df`` whose column (or columns) are in ``ids`` (a stored table without repeats), or with ``left_anti`` the others. Up to ``most`` ids are broadcast, so
     that ``df`` stays where it is; more are joined."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, how)

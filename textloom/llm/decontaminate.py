@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches, fresh, stored
+from textloom.llm.common import bounded_batches, fresh, lean, stored
 from textloom.llm.token_counts import slices
 from textloom.llm.words import Words, mix, words
 
@@ -190,6 +190,7 @@ def contamination(
 
 
 def one_pass(key: str, broadcast, hidden: str, names: list[str], more: bool, width: int, slice_bytes: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = compiled(key, broadcast, width)
         for b in batches:

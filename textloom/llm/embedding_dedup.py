@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, runs, stored
+from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, lean, runs, stored
 from textloom.llm.components import components
 
 BUCKET = 1024
@@ -98,6 +98,7 @@ def linked(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
     return every.select(F.col("id").alias("vec_id"), F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
+@lean
 def signed(batches: Iterator[pa.RecordBatch], size: int, single: bool) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes, in their own precision, with the packed signs of their products with the hyperplanes; null for those that can't link."""
     planes: dict[int, np.ndarray] = {}
@@ -134,6 +135,7 @@ def table_codes(signs: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (own @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
 
 
+@lean
 def codes(batches: Iterator[pa.RecordBatch], bits: int, tables: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:

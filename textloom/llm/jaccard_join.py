@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, runs, stored
+from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, lean, runs, stored
 from textloom.llm.components import components
 from textloom.llm.embedding_dedup import lowest
 from textloom.llm.token_counts import slices
@@ -119,6 +119,7 @@ def tokens(s: np.ndarray) -> bytes:
     return (mix(value) >> np.uint64(32)).astype("<u4").tobytes()
 
 
+@lean
 def sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = pc.fill_null(b["text"].cast(pa.large_string()), "")
@@ -145,6 +146,7 @@ def child(node: np.ndarray | int, coordinate: int, value: np.ndarray) -> np.ndar
     return mix(base ^ (value.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
+@lean
 def roots(batches: Iterator[pa.RecordBatch], plan: list[tuple[int, list[int]]]) -> Iterator[pa.RecordBatch]:
     """The first nodes of each class in all runs."""
     for b in batches:
@@ -161,6 +163,7 @@ def sampled(node: int, threshold: float) -> list[int]:
     return np.flatnonzero(draw < 1 / (threshold * COORDINATES)).tolist()
 
 
+@lean
 def split(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """The children of the nodes that the rows are in."""
     known: dict[int, list[int]] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches, fresh
+from textloom.llm.common import bounded_batches, fresh, lean
 from textloom.llm.token_counts import slices
 
 BITS = 14
@@ -85,6 +85,7 @@ def learn(labelled: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
     return labels, p
 
 
+@lean
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
@@ -150,6 +151,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "
     own = df.select(*[F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.col(f"`{text}`").cast("string")).alias(hidden))
     shared = df.sparkSession.sparkContext.broadcast((labels, np.vstack([p, np.full((1, FEATURES), 1 / FEATURES)]).astype(np.float32)))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, p = shared.value
         for b in batches:

@@ -27,7 +27,7 @@ MIN_DOCS = 5
 HEAVY = 1000
 LEAST_HEAVY = 1000
 ROWS_EACH = 2_000_000
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 500_000
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, stored
+from textloom.llm.common import bounded_batches, lean, stored
 from textloom.llm.token_counts import slices
 
 SLICE_BYTES = 8 << 20
-SEEN_WORDS = 500_000
+SEEN_WORDS = 150_000
 TOGETHER = 200
 MARKS = ",.;:!?"
 LETTERS = r"a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}"
@@ -212,6 +212,7 @@ def pack(
     Other columns of ``df`` are not carried on.
     """
 
+    @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(tokenizer_file), Packer(size, windows, task_base(0))
         for b in batches:
@@ -278,6 +279,7 @@ def pieces_of(packer: Packer, doc: int | None, raw: bytes, size: int, end_id: in
 def merger(size: int, windows: int, stage: int, last: bool):
     """Places open windows, each as a whole, into windows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(size, windows * (MERGE if last else 1), task_base(stage))
         w, held, length = None, [], 0

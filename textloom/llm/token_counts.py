@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, lean
 
 SLICE_BYTES = 4 << 20
 SEEN_UNITS = 300_000
@@ -153,6 +153,7 @@ def token_counts(
     )
     names = [f.name for f in kept]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, tokens = count_texts(b[text], model_file, slice_bytes)

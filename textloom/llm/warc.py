@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, parts, shared_path, stored
+from textloom.llm.common import bounded_batches, lean, parts, shared_path, stored
 from textloom.llm.token_counts import slices
 
 BLOCK_LINES = 256
@@ -99,6 +99,7 @@ def opened(uri: str):
     return FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
+@lean
 def written(batches: Iterator[pa.RecordBatch], folder: str, file_bytes: int, block_lines: int) -> Iterator[pa.RecordBatch]:
     """Writes one range."""
     from pyspark import TaskContext
@@ -211,6 +212,7 @@ def fetch(directory: DataFrame, keys: DataFrame, with_payload: bool = True) -> D
     return both.mapInArrow(lambda batches: fetched(batches, with_payload), RECORD)
 
 
+@lean
 def fetched(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
     """Goes through blocks and keys in order."""
     places: list[tuple] = []  # blocks that may hold the next keys, in order
