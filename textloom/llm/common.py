@@ -63,7 +63,7 @@ def discard(df: DataFrame) -> None:
             _written[:] = [x for x in _written if not x.endswith("/" + path.getName())]
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

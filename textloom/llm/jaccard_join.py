@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import among, bounded_batches, bounds, dealt, discard, lean, runs, stored
+from textloom.llm.common import among, bounded_batches, bounds, dealt, lean, runs, stored
 from textloom.llm.components import components
 from textloom.llm.embedding_dedup import lowest
 from textloom.llm.token_counts import slices
