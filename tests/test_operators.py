@@ -101,6 +101,16 @@ def test_bytes(spark):
         assert one(spark, tokens.bytes_ids(F.lit(t))) == list(t.encode())
 
 
+def test_bpe(spark):
+    files = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    file = files.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([("Hello there, world",), ("",), (None,)], "t string")
+    got = [r.i for r in rows.select(tokens.tokenize_text(F.col("t"), tokens.bpe_ids(file)).alias("i")).collect()]
+    assert got == [[*Tokenizer.from_file(file).encode(t, add_special_tokens=False).ids, tokens.EOS] for t in ("Hello there, world", "", "")]
+
+
 def test_arrays(spark):
     a = F.array(*[F.lit(x) for x in (1, 2, 9, 3)])
     assert one(spark, tokens.truncate_at(a, 9)) == [1, 2] and one(spark, tokens.truncate_at(a, 9, True)) == [1, 2, 9] and one(spark, tokens.truncate_at(a, 7)) == [1, 2, 9, 3]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.messages import message
 
-# Fixed value: labels of choices.
+# Labels of choices, and what opens a question with choices.
 LETTERS = "ABCD"
+CHOICE_QUESTION = "Multiple Choice question: "
 
 
 def question_answer(question: Column, answer: Column) -> Column:
@@ -29,7 +30,7 @@ def answer_index(answer: Column) -> Column:
 
 def multiple_choice(question: Column, choices: Column, answer: Column) -> Column:
     lines = F.transform(choices, lambda c, i: F.concat(F.lit("- "), c, F.lit("="), F.substring(F.lit(LETTERS), i + 1, F.lit(1))))
-    text = F.concat(F.lit("Multiple Choice question: "), question, F.lit("\n"), F.array_join(lines, "\n"))
+    text = F.concat(F.lit(CHOICE_QUESTION), question, F.lit("\n"), F.array_join(lines, "\n"))
     return question_answer(text, F.substring(F.lit(LETTERS), answer_index(answer) + 1, F.lit(1)))
 
 

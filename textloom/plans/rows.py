@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from textloom.functions import formats, ngrams, text
+from textloom.functions import formats, ngrams, numbers, text
 from textloom.functions.numbers import LCG_M, MASK, hash32_sql, lcg_sql
-from textloom.operators import evals, mixing, packing, preference, splits, tokens
+from textloom.operators import evals, mixing, packing, preference, rewards, splits, tokens
 from textloom.plans.conversations import ALIGNED, LENGTHS, PAIRS, SHOWN, WORD_COUNT, lengths, pairs, shown, word_rows
 from textloom.plans.registry import CHATS, chats, query, table
 from textloom.plans.sources import WEIGHTS, sharded
@@ -175,3 +175,23 @@ def map_lookup(spark, sf_dir):
     """A lookup in a map with a default, where the map has a row for each region."""
     regions = table(spark, sf_dir, "region").where("r_regionkey < 3").agg(F.map_from_entries(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("m"))  # one row
     return table(spark, sf_dir, "nation").crossJoin(F.broadcast(regions)).select("n_nationkey", F.coalesce(F.try_element_at("m", F.col("n_regionkey")), F.lit("none")).alias("region"))
+
+
+@query("SELECT o_orderkey, round_even(o_orderkey / 4, 0) AS whole, round_even(o_orderkey / 8, 2) AS places FROM orders")
+def half_even(spark, sf_dir):
+    """Halves go to the even neighbour."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.half_even(F.col("o_orderkey") / 4).alias("whole"), numbers.half_even(F.col("o_orderkey") / 8, 2).alias("places"))
+
+
+@query("SELECT l_orderkey AS example_id, bool_and(l_suppkey % 3 = l_partkey % 3) AS correct FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY l_orderkey")
+def core_decide_completion(spark, sf_dir):
+    """All tokens predicted in the span from 2 to 4: the losses at positions 1 and 2."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_linenumber").alias("pos"), (F.col("l_suppkey") % 3).alias("pred"), (F.col("l_partkey") % 3).alias("actual"))
+    spans = own.select("example_id", F.lit(2).alias("start"), F.lit(4).alias("end")).distinct()
+    return evals.decide_completion(own, spans)
+
+
+@query("SELECT p_partkey, round(CASE WHEN p_partkey % 5 > 0 AND p_partkey % 7 > 0 THEN 0.3::DOUBLE + 0.7::DOUBLE * (p_size % 4) / 4 ELSE 0 END, 6) AS reward FROM part")
+def reward_tests(spark, sf_dir):
+    own = rewards.score_tests(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 7 > 0, F.col("p_size") % 4 / 4)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(own, 6).alias("reward"))
