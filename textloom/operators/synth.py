@@ -114,11 +114,10 @@ def topic_switches(pool: DataFrame, order: str, n: int, weights: dict[str, float
     conv = conv.select("conv", pick_source(F.get(first, 0) / 2**32, weights).alias("source"), (F.get(first, 1) / 2**32 < p_system).alias("has_system"))
     conv = conv.withColumn("head", F.when(F.col("has_system"), F.array(F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")))).otherwise(F.array().cast(MESSAGES)))
     each = conv.select("conv", "source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stretches - 1).cast("long"))).alias("stretch"))
-    own = draws(F.col("conv") * stretches + F.col("stretch"), seed + 1, 2)
-    length = F.lit(1)
-    for t in range(1, resumes + 1):
-        length = length + (F.get(own, 1) < F.lit(int(p_resume**t * 2**32))).cast("int")
-    each = each.join(sizes, "source").select("conv", "source", "stretch", drawn(F.get(own, 0), F.col("n")).alias("k"), length.alias("length"))
+    each = each.withColumn("r", draws(F.col("conv") * stretches + F.col("stretch"), seed + 1, 2))
+    steps = F.array(*[F.lit(int(p_resume**t * 2**32)) for t in range(1, resumes + 1)]).cast("array<bigint>")
+    length = 1 + F.size(F.filter(steps, lambda x: F.get("r", 1) < x))
+    each = each.join(sizes, "source").select("conv", "source", "stretch", drawn(F.get("r", 0), F.col("n")).alias("k"), length.alias("length"))
     costs = each.join(numbered.select("source", "k", "costs"), ["source", "k"]).select("conv", "source", "stretch", "k", F.posexplode(F.slice("costs", F.lit(1), F.col("length"))).alias("place", "cost"))
     used = F.sum("cost").over(Window.partitionBy("conv").orderBy("stretch", "place"))
     room = costs.withColumn("used", used).join(conv.select("conv", estimate_tokens(F.col("head")).alias("start")), "conv").where(F.col("start") + F.col("used") <= budget)
