@@ -76,6 +76,9 @@ def passages(messages: DataFrame) -> DataFrame:
 def links(messages: DataFrame) -> DataFrame:
     """conv_id, turn, n_quotes, n_linked, quoted_turn (null where nothing links) of messages with quotations. A stored table."""
     found = stored(passages(messages), "passages")
+    if found.isEmpty():
+        kinds = dict(found.dtypes)
+        return messages.sparkSession.createDataFrame([], f"conv_id {kinds['conv_id']}, turn long, n_quotes long, n_linked long, quoted_turn long")
     threads = stored(found.select("conv_id").distinct(), "threads")
     bodies = among(messages, threads, "conv_id").select("conv_id", "turn", body("text").alias("body"))
     key = ["conv_id", "turn", "own", "run", "level"]
@@ -184,12 +187,17 @@ def conversations(messages: DataFrame, *, conv_id: str = "conv_id", turn: str =
     sizes = own.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
     large = stored(sizes.where((F.col("n") > most_messages) | (F.col("bytes") > most_bytes)).select("conv_id", "n"), "large")
     quoting = links(own.where("turn is not null"))
-    known = stored(quoting.select("conv_id").distinct(), "threads")
-    order = threads(counted(among(own, known, "conv_id")), quoting).join(quoting.drop("quoted_turn"), ["conv_id", "turn"], "left")
-    facts = F.struct("turn", F.struct("place", "parent_turn", "n_quotes", "n_linked"))
-    of_small = among(order, large.select("conv_id"), "conv_id", "left_anti").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(facts)).alias("facts"))
+    none = quoting.isEmpty()
     rows = among(own, large.select("conv_id"), "conv_id", "left_anti").select("conv_id", F.struct("turn", "role", body("text").alias("content")).alias("m"))
-    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms")).join(of_small, "conv_id", "left")
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    if none:
+        grouped = grouped.withColumn("facts", F.lit(None).cast("map<bigint,struct<place:bigint,parent_turn:bigint,n_quotes:bigint,n_linked:bigint>>"))
+    else:
+        known = stored(quoting.select("conv_id").distinct(), "threads")
+        order = threads(counted(among(own, known, "conv_id")), quoting).join(quoting.drop("quoted_turn"), ["conv_id", "turn"], "left")
+        facts = F.struct("turn", F.struct("place", "parent_turn", "n_quotes", "n_linked"))
+        of_small = among(order, large.select("conv_id"), "conv_id", "left_anti").groupBy("conv_id").agg(F.map_from_entries(F.collect_list(facts)).alias("facts"))
+        grouped = grouped.join(of_small, "conv_id", "left")
     turns = F.array_sort(F.array_distinct(F.filter(F.transform("ms", lambda m: m.turn), lambda t: t.isNotNull())))
     grouped = grouped.withColumn("turns", turns)
     known_of = lambda t: F.when(F.col("facts").isNotNull() & t.isNotNull(), F.try_element_at("facts", t))
