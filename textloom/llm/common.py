@@ -143,6 +143,18 @@ def runs(
         yield from fn(pa.Table.from_batches(held).combine_chunks())
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have ``most_bytes``, for work that repeats itself in each; none without rows."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def last_group(table: pa.Table, keys: list[str]) -> int:
     """Row at which the last group begins."""
     last = table.num_rows - 1

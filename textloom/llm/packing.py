@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, lean, stored
+from textloom.llm.common import bounded_batches, gathered, lean, stored
 from textloom.llm.token_counts import slices
 
 SLICE_BYTES = 8 << 20
@@ -215,7 +215,7 @@ def pack(
     @lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer = encoder(tokenizer_file), Packer(size, windows, task_base(0))
-        for b in batches:
+        for b in gathered(batches, slice_bytes):
             texts = pc.fill_null(b[1].cast(pa.large_string()), "")
             sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             docs = b[0].to_pylist()
