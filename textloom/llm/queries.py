@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import language_id, warc
+from textloom.llm.best_fit import fill
 from textloom.llm.decontaminate import contamination
+from textloom.llm.divergence import divergence
 from textloom.llm.embedding_dedup import linked
 from textloom.llm.jaccard_join import joined_documents
 from textloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from textloom.llm.packing import pack
+from textloom.llm.phrases import collocations
 from textloom.llm.quote_links import chat_text, conversations
 from textloom.llm.suffix_dedup import repeated_spans
 from textloom.llm.token_counts import token_counts
@@ -238,5 +241,64 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_jaccard_join, op3_line_dedup, op4_quote_links, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing)}
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quote_links": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang AS lang, source, t.term AS term, count(*) AS n FROM t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+gn AS (SELECT g.lang AS lang, g.source AS source, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (
+  SELECT gn.lang AS lang, gn.source AS source, k.term AS term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (gn.n + v.v) AS BIGINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v) AS BIGINT) AS q
+  FROM gn JOIN v ON gn.lang = v.lang JOIN kept k ON gn.lang = k.lang LEFT JOIN c ON gn.lang = c.lang AND gn.source = c.source AND k.term = c.term
+), s AS (
+  SELECT a.lang AS lang, a.source AS source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), every AS (
+  SELECT x.lang AS lang, x.source AS source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN s ON x.lang = s.lang AND x.source = s.source AND y.source = s.item
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || '.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' ') AS text FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split(text, chr(10))) AS piece FROM d)
+), g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k))
+), f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 10),
+cuts AS (
+  SELECT c.lang AS lang, c.phrase AS phrase, a, cut, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM c JOIN (VALUES (1), (2)) t(cut) ON cut < c.k JOIN f l ON c.lang = l.lang AND array_to_string(w[1 : cut], ' ') = l.phrase JOIN f r ON c.lang = r.lang AND array_to_string(w[cut + 1 : c.k], ' ') = r.phrase
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL
+), kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.part WHERE held IS NULL OR 100 * held < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang AS lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_jaccard_join, op3_line_dedup, op4_quote_links, op5_language_id, op6_suffix_dedup, op7_token_counts, op8_decontamination, op9_warc, op10_packing, op11_source_divergence, op12_best_fit, op13_collocations)}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quote_links": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op9_warc": OP9_SQL, "op11_source_divergence": OP11_SQL, "op13_collocations": OP13_SQL}
