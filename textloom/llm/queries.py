@@ -288,9 +288,11 @@ WITH d AS (
 ), f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND n >= 10),
-cuts AS (
-  SELECT c.lang AS lang, c.phrase AS phrase, a, cut, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
-  FROM c JOIN (VALUES (1), (2)) t(cut) ON cut < c.k JOIN f l ON c.lang = l.lang AND array_to_string(w[1 : cut], ' ') = l.phrase JOIN f r ON c.lang = r.lang AND array_to_string(w[cut + 1 : c.k], ' ') = r.phrase
+parts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS first, array_to_string(w[cut + 1 : k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), cuts AS (
+  SELECT p.lang AS lang, p.phrase AS phrase, a, cut, l.n AS l, r.n AS r, CAST((1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM parts p JOIN f l ON p.lang = l.lang AND p.first = l.phrase JOIN f r ON p.lang = r.lang AND p.rest = r.phrase
 ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inside AS (
   SELECT lang, part, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS part FROM c WHERE k = 3) GROUP BY ALL
