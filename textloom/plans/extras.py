@@ -1,22 +1,10 @@
-"""Queries on overlap scores, numbered files and sorted output."""
+"""Queries on numbered files."""
 
 from pyspark.sql import functions as F
 
-from textloom.functions import ngrams
 from textloom.operators import checkpoints
 from textloom.plans.registry import query, table
 
-GRAMS = """WITH w AS (SELECT p_partkey, string_split(lower(p_name || ' ' || p_type), ' ') AS p, string_split(lower(p_type || ' ' || p_brand), ' ') AS r FROM part),
-  c AS (SELECT p_partkey, len(p) AS n_p, len(r) AS n_r, list_sum(list_transform(list_distinct(p), lambda x: least(len(list_filter(p, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) AS n FROM w)
-"""
-
-
-@query(GRAMS + "SELECT p_partkey, round(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * n / (n_p + n_r) END, 6) AS rouge_1 FROM c")
-def rouge_n(spark, sf_dir):
-    p, r = F.concat("p_name", F.lit(" "), "p_type"), F.concat("p_type", F.lit(" "), "p_brand")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(ngrams.rouge_n(p, r), 6).alias("rouge_1"))
-
-
 @query("SELECT o_orderpriority, 'model_' || max(o_orderkey) || '.pt' AS path, max(o_orderkey) AS step FROM orders GROUP BY o_orderpriority")
 def latest_numbered(spark, sf_dir):
     own = table(spark, sf_dir, "orders").select("o_orderpriority", F.concat(F.lit("model_"), "o_orderkey", F.lit(".pt")).alias("p"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textloom.functions.numbers import GOLDEN, MASK, hash32_sql
-from textloom.operators import execution, synth
+from textloom.operators import synth
 from textloom.plans.registry import CHATS, chats, query
 from textloom.plans.conversations import UA
 
@@ -59,14 +59,6 @@ def calculator_counters(spark, sf_dir):
     return own.select("problem_type", "n", F.col("perfect").cast("long").alias("perfect"), F.round("error_rate", 6).alias("error_rate"), "mean_reward")
 
 
-@query(f"SELECT problem_type, count(*) AS n, count(*) AS succeeded, count(*) AS right FROM ({calculator_sql(40, 42)}) GROUP BY problem_type")
-def exec_programs(spark, sf_dir):
-    """The programs are our own, so this machine will do as their sandbox."""
-    own = execution.run_programs(synth.calculator_problems(spark, 40).coalesce(4), "calculator_code", sandboxed=True, timeout=20.0)
-    same = F.col("stdout").try_cast("double") == F.col("expected_output").cast("double")
-    return own.groupBy("problem_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("success"), 1)).alias("succeeded"), F.count(F.when(same, 1)).alias("right"))
-
-
 SWITCHES = f"""WITH {CHATS}, {UA}, g AS (SELECT p.conv_id AS conv_id, any_value(source) AS source,
     list(greatest(1, length(o[i].content) // 4) + greatest(1, length(o[i + 1].content) // 4) + 2 ORDER BY i) AS costs FROM p JOIN c ON p.conv_id = c.conv_id GROUP BY p.conv_id),
   b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY conv_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM g),

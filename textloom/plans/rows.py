@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textloom.functions import formats, ngrams, numbers, text
+from textloom.functions import formats, numbers, text
 from textloom.functions.numbers import LCG_M, MASK, hash32_sql, lcg_sql
 from textloom.operators import evals, mixing, packing, preference, rewards, splits, tokens
 from textloom.plans.conversations import ALIGNED, LENGTHS, PAIRS, SHOWN, WORD_COUNT, lengths, pairs, shown, word_rows
@@ -153,23 +153,6 @@ def topk_filter(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", kept.alias("kept"), F.when(kept, F.col("price")).otherwise(0.0).alias("price"))
 
 
-@query("SELECT p_partkey, round(CASE WHEN len(w) >= 2 THEN 2.0::DOUBLE * 2 / (2 + len(w)) ELSE 1 END, 6) AS rouge_l FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
-def rouge_l(spark, sf_dir):
-    """Against a name's first two words, which is its longest common subsequence with it."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(ngrams.rouge_l(F.substring_index("p_name", " ", 2), F.col("p_name")), 6).alias("rouge_l"))
-
-
-@query(
-    """SELECT doc_id, CASE WHEN len(w) < 5 THEN 0.0::DOUBLE ELSE round(exp(1 - len(w)::DOUBLE / (len(w) - 1)), 6) END AS bleu, len(w) >= 4 AS own FROM (
-    SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '')[1:30] AS w FROM documents)"""
-)
-def bleu(spark, sf_dir):
-    """Of a text without its last word: all its n-grams are in the whole, so only brevity counts. Of a whole text: 1."""
-    words = F.slice(text.split_words(F.col("text")), 1, 30)
-    own = table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("t"), F.when(F.size(words) > 0, F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ")).otherwise("").alias("cut"))
-    return own.select("doc_id", F.round(ngrams.bleu(F.col("cut"), F.col("t")), 6).alias("bleu"), (F.round(ngrams.bleu(F.col("t"), F.col("t")), 9) == 1).alias("own"))
-
-
 @query("SELECT n_nationkey, coalesce(r_name, 'none') AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
 def map_lookup(spark, sf_dir):
     """A lookup in a map with a default, where the map has a row for each region."""
