@@ -1,9 +1,9 @@
 """Operator 11: how the sources of a language differ in their use of terms.
 
 Each task counts the terms of its texts in a radix trie over their UTF-8 bytes, with a counter at each leaf for every (language, source) that has the term: its
-occurrences and its documents. A trie that has grown to ``MOST_COUNTERS`` counters is sent on and begun anew. Tries are sent as their leaf counters in byte order, and tries of
-several tasks merge by prefix range: ranges of (language, term, source), drawn so that each has about as many counters, go to a task each, which adds up equal leaves. No
-range has to hold a whole prefix, or all sources of a term, so no term or source is one task's work.
+occurrences and its documents. A trie that has grown to ``MOST_COUNTERS`` counters is sent on and begun anew. Tries merge by prefix range: ranges of (language, term) with about
+equally many leaves, from at most ``SAMPLED`` terms of about ``SAMPLED_TEXTS`` texts (which has no bearing on results), cut each trie into runs of leaves in byte order, and a range's
+runs are added up by one task. A term that many texts or sources have is one leaf, with one counter a task and source.
 
 Terms in fewer than ``least`` documents of their language go. Shares are whole numbers out of 10**9, and all arithmetic is exact.
 
@@ -21,11 +21,13 @@ pairs of value 0; a text without terms only makes its group occur; an empty tabl
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,10 @@ MOST_COUNTERS = 500_000
 BLOCK = 512
 SCALE = 1_000_000_000
 EACH = 400_000
+RANGE_BYTES = 16 << 20
+SAMPLED_TEXTS = 2_000
+SAMPLED = 20_000
+MERGED_ROWS = 1_000_000
 
 KINDS = np.full(256, BREAK, np.uint8)
 KINDS[97:123] = KINDS[128:] = 0
@@ -110,29 +116,46 @@ class Counters:
             self.rows = len(self.held[0][0])
         return self.rows
 
-    def sent(self) -> pa.RecordBatch:
-        """All counters in the order of their terms, and begins anew."""
+    def sent(self, cuts: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        """All counters in runs, one for each range that has some, in the order of languages and terms; begins anew."""
         self.settle()
-        names = list(self.groups)
+        names, langs = list(self.groups), sorted({lang for lang, _ in self.groups}, key=str.encode)
         walked = [(b"", -1), *self.trie.walk()]
         place = np.zeros(self.trie.size + 1, np.int64)
         place[[leaf for _, leaf in walked]] = np.arange(len(walked))
         key, n, docs = self.held[0] if self.held else (np.zeros(0, np.int64),) * 3
-        term, group = place[key >> self.GROUPS], key & ((1 << self.GROUPS) - 1)
-        order = np.argsort(term, kind="stable")
-        roots = list(self.empty)
-        term = np.concatenate([np.zeros(len(roots), np.int64), term[order]])
-        group = np.concatenate([np.array(roots, np.int64), group[order]])
-        n = np.concatenate([np.zeros(len(roots), np.int64), n[order]])
-        docs = np.concatenate([np.array(list(self.empty.values()), np.int64), docs[order]])
-        texts = pa.array([t for t, _ in walked], pa.binary()).cast(pa.string())
-        of = lambda i: pa.array([x[i] for x in names], pa.string()).take(pa.array(group))
+        roots = np.array(list(self.empty), np.int64)
+        term = np.concatenate([np.zeros(len(roots), np.int64), place[key >> self.GROUPS]])
+        group = np.concatenate([roots, key & ((1 << self.GROUPS) - 1)])
+        n = np.concatenate([np.zeros(len(roots), np.int64), n])
+        docs = np.concatenate([np.array(list(self.empty.values()), np.int64), docs])
+        rank = {x: i for i, x in enumerate(langs)}
+        lang = np.array([rank[x] for x, _ in names], np.int64)[group]
+        spelled = [x for x, _ in walked]
+        at = np.zeros(len(term), np.int64)
+        for x, i in rank.items():
+            own = lang == i
+            first = bisect_left(cuts, (x.encode(), b""))
+            steps = [bisect_left(spelled, t) for c, t in cuts[first:] if c == x.encode()]
+            at[own] = first + np.searchsorted(np.array(steps, np.int64), term[own], "right")
+        order = np.lexsort((term, lang, at))
+        at, term, group, n, docs = (x[order] for x in (at, term, group, n, docs))
+        texts, of = pa.array(spelled, pa.binary()).cast(pa.string()), [pa.array([x[i] for x in names], pa.string()) for i in (0, 1)]
+        ends = bounds(at)
+        runs_of = []
+        for a, b in pairwise(ends):
+            own = [pa.DictionaryArray.from_arrays(pa.array(group[a:b], pa.int32()), x) for x in of]
+            table = pa.table([own[0], texts.take(pa.array(term[a:b])), own[1], pa.array(n[a:b]), pa.array(docs[a:b])], LEAF_NAMES)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_table(table)
+            runs_of.append(sink.getvalue().to_pybytes())
         self.__init__()
-        return pa.RecordBatch.from_arrays([of(0), texts.take(pa.array(term)), of(1), pa.array(n), pa.array(docs)], LEAF_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(at[ends[:-1]], pa.int32()) if runs_of else pa.array([], pa.int32()), pa.array(runs_of, pa.binary())], ["range", "leaves"])
 
 
-LEAF = "lang string, term string, source string, n long, docs long"
 LEAF_NAMES = ["lang", "term", "source", "n", "docs"]
+LEAF_TYPES = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
 def merged(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +167,25 @@ def merged(key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray
     return key[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first)
 
 
-def tries(df: DataFrame, portion: int = PORTION) -> DataFrame:
-    """The leaf counters of the tries of each task: lang, term, source, n, docs. The empty term counts all documents of a group."""
+def range_cuts(df: DataFrame, ranges: int) -> list[tuple[bytes, bytes]]:
+    """Languages and terms at which ranges begin, from a bounded sample."""
+    rows = df.count()
+    some = df.sample(min(1.0, SAMPLED_TEXTS / max(rows, 1)), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts, _, _ in portions(batches, 2, KINDS, PORTION):
+            t = spans(texts, KINDS)
+            lang = b[0].take(pa.array(t.doc))
+            yield from pa.table([lang, t.strings().cast(pa.string())], ["lang", "term"]).group_by(["lang", "term"]).aggregate([]).combine_chunks().to_batches()
+
+    found = some.mapInArrow(run, "lang string, term string").distinct()
+    picked = found.orderBy(F.xxhash64("lang", "term")).limit(SAMPLED).collect()
+    keys = sorted((r.lang.encode(), r.term.encode()) for r in picked)
+    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+
+
+def tries(df: DataFrame, cuts: list[tuple[bytes, bytes]], portion: int = PORTION) -> DataFrame:
+    """The tries of each task, cut into ranges: range, leaves (an Arrow stream of lang, term, source, n, docs). The empty term counts all documents of a group."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,25 +212,56 @@ def tries(df: DataFrame, portion: int = PORTION) -> DataFrame:
                 own.empty[int(g)] = own.empty.get(int(g), 0) + int(k)
             own.add(*found)
             if (own.rows > MOST_COUNTERS and own.settle() > MOST_COUNTERS) or len(own.groups) >= 1 << 20:
-                yield own.sent()
+                yield own.sent(cuts)
         if own.groups:
-            yield own.sent()
+            yield own.sent(cuts)
+
+    return df.mapInArrow(run, "range int, leaves binary")
+
 
-    return df.mapInArrow(run, LEAF)
+FOUND = "lang string, term string, source string, n long, total long, leads boolean"
 
 
-def merged_leaves(leaves: DataFrame, rows: int, each: int = EACH) -> DataFrame:
-    """Leaf counters of tries of several tasks added up, by ranges of (lang, term, source)."""
+def merged_tries(cut: DataFrame, ranges: int, least: int) -> DataFrame:
+    """The leaves of all tries added up, of terms with ``least`` documents or more: lang, term, source, n, total (of the language's sources) and leads (true in one row of
+    each term). The empty term comes with each source."""
     keys = LEAF_NAMES[:3]
 
-    def reduced(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        codes = [table[k].combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
-        first = np.array(bounds(*codes)[:-1], np.int64)
-        sums = [pa.array(np.add.reduceat(table[c].to_numpy(), first)) for c in LEAF_NAMES[3:]]
-        yield pa.RecordBatch.from_arrays([*[table[k].combine_chunks().take(pa.array(first)) for k in keys], *sums], LEAF_NAMES)
+    def added(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(LEAF_NAMES)
+
+    def finished(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = added(tables).sort_by([(k, "ascending") for k in keys]).combine_chunks()
+        codes = [table[k].combine_chunks().dictionary_encode().indices.to_numpy() for k in keys[:2]]
+        ends = np.array(bounds(*codes))
+        first, size = ends[:-1], np.diff(ends)
+        n = table["n"].to_numpy()
+        root = np.repeat(pc.equal(table["term"], "").to_numpy()[first], size)
+        kept = np.repeat(np.add.reduceat(table["docs"].to_numpy(), first) >= least, size) | root
+        leads = np.zeros(len(n), bool)
+        leads[first] = True
+        total = np.repeat(np.add.reduceat(n, first), size)
+        out = pa.table([*[table[k] for k in keys], table["n"], pa.array(total), pa.array(leads & ~root)], [*keys, "n", "total", "leads"]).filter(pa.array(kept))
+        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    n = parts(rows, each, int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return leaves.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: runs(batches, keys, reduced, most=100_000), LEAF)
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows = -1, [], 0
+        for b in batches:
+            for k, leaves in zip(b[0].to_pylist(), b[1], strict=True):
+                if k != at and held:
+                    yield from finished(held)
+                    held, rows = [], 0
+                at = k
+                held.append(pa.ipc.open_stream(leaves.as_buffer()).read_all().cast(LEAF_TYPES))
+                rows += held[-1].num_rows
+                if rows > MERGED_ROWS:
+                    held = [added(held)]
+                    rows = held[0].num_rows // 2  # as much more may come before the next time
+        if held:
+            yield from finished(held)
+
+    return cut.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, FOUND)
 
 
 def share(n: str, total: str) -> str:
@@ -224,7 +295,7 @@ def both_have(kept: DataFrame, rows: int) -> DataFrame:
         yield from runs(batches, keys, sums.add, most=100_000)
         yield from sums.sent()
 
-    found = own.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    found = own.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
     return found.groupBy("lang", "source", "item").agg(F.sum("common").alias("common"))
 
 
@@ -307,20 +378,17 @@ def divergence(
     bounded_batches(spark)
     blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     own = df.select(blank(lang).alias("lang"), blank(source).alias("source"), blank(text).alias("text"))
-    counted = stored(tries(own, portion), "tries")
-    rows = counted.count()
-    leaves = stored(merged_leaves(counted, rows), "leaves")
-    terms = leaves.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs")
-    terms = stored(terms, "terms")
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
-    found = leaves.where("term <> ''").join(terms, ["lang", "term"]).select("lang", "term", "source", "n", "total")
-    found = stored(found, "found")
-    sums = found.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    groups = leaves.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    n_bytes = own.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ranges = min(SAMPLED, parts(n_bytes, RANGE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = stored(merged_tries(tries(own, range_cuts(own, ranges), portion), ranges, least), "leaves")
+    own_terms = found.where("term <> ''")
+    langs = own_terms.where("leads").groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all"))
+    sums = own_terms.groupBy("lang", "source").agg(F.sum("n").alias("own"))
+    groups = found.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.select("lang", "source", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("v", F.lit(0)).alias("v"), "all")
     blocks = F.ceil(F.count("*").over(Window.partitionBy("lang")) / F.lit(BLOCK)).cast("int")
     groups = stored(groups.withColumn("blocks", blocks).withColumn("p0", F.expr(f"case when v > 0 then {share('1', 'own + v')} end")), "groups")
-    shares = found.join(sized(groups), ["lang", "source"])
+    shares = own_terms.join(sized(groups), ["lang", "source"])
     shares = shares.select("lang", "term", "source", F.expr(share("n + 1", "own + v")).alias("p"), "p0", "blocks", F.expr(share("total + 1", "all + v")).alias("q"))
     kept = stored(shares, "kept")
     n_kept = kept.count()

@@ -25,14 +25,14 @@ class Spans:
     end: np.ndarray
     doc: np.ndarray  # the text that holds each run
     linked: np.ndarray  # true where the next run follows in the same text without a break
+    inside: np.ndarray  # true for bytes of runs
 
     def strings(self) -> pa.Array:
         """The runs as binary values."""
         size = self.end - self.start
         offsets = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offsets[1:])
-        inside = np.repeat(self.start - offsets[:-1], size) + np.arange(offsets[-1])
-        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[inside])])
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[self.inside])])
 
 
 def raw_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +52,7 @@ def spans(texts: pa.Array, kinds: np.ndarray) -> Spans:
     data, n = LOWER[raw], len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return Spans(data, none, none, none, np.zeros(0, bool))
+        return Spans(data, none, none, none, np.zeros(0, bool), np.zeros(0, bool))
     kind = kinds[data]
     inside = kind == INSIDE
     first = np.zeros(n, bool)
@@ -67,7 +67,7 @@ def spans(texts: pa.Array, kinds: np.ndarray) -> Spans:
     linked = np.zeros(len(start), bool)
     if len(start):
         linked[:-1] = (doc[1:] == doc[:-1]) & (breaks[start[1:]] == breaks[end[:-1] - 1])
-    return Spans(data, start, end, doc, linked)
+    return Spans(data, start, end, doc, linked, inside)
 
 
 def portions(batches: Iterator[pa.RecordBatch], text: int, kinds: np.ndarray, most: int, back: int = 0) -> Iterator[tuple[pa.RecordBatch, pa.Array, int, bool]]:
