@@ -4,12 +4,13 @@ Within a task each phrase has the list of its positions. A list of phrases of k
 on: a phrase of k words is kept where both of its parts of k - 1 words are frequent in the whole corpus, and no break lies between. The length of a phrase's list
 is its frequency in the task, and frequencies are sums of lengths. Levels go one after another, from one word up:
 
-1. Tasks send lengths as sorted arrays of 64-bit hashes and counts, cut into buckets by the hash's first bits; a bucket adds them up and answers with its stretch of a
-   bitmap of ``FILTER_BITS`` bits, in which frequent hashes are set. The bitmap is all that the driver and the tasks hold, whatever the size of the corpus.
-2. The next level extends only lists of phrases in the bitmap. Phrases that share a bit with a frequent one come along, so nothing is missed.
+1. Tasks send lengths as sorted arrays of hashes and counts, cut into buckets by the hash's first bits, with 32 bits more of each hash; a bucket adds them up and answers with its stretch of
+   a bitmap of ``FILTER_BITS`` bits, in which frequent hashes are set. The bitmap is all that the driver and the tasks hold, whatever the size of the corpus.
+2. The next level extends only lists of phrases in the bitmap. Phrases that share bits with a frequent one come along, so nothing is missed.
 
-At last the phrases in the bitmaps are counted as texts, so results are exact and hashes decide nothing. A position is a word's place in a portion of the texts; phrases
-end at breaks, so they never cross texts. In a corpus with more frequent phrases than the bitmap tells apart, more of the others are counted as texts; results stay the same.
+At last the phrases in the bitmaps are counted as texts, and then the words that the frequent ones are made of, so results are exact and hashes decide nothing. A position is a word's
+place in a portion of the texts; phrases end at breaks, so they never cross texts. In a corpus with more frequent phrases than the bitmap tells apart, more of the others are counted
+as texts; results stay the same.
 
 Scores are exact: decimals of 38 digits hold 10**6 * a * a up to a = 5 * 10**15.
 
@@ -31,11 +32,12 @@ from textloom.llm.common import bounded_batches, lean, parts, stored
 from textloom.llm.spans import BLANK, BREAK, Spans, portions, spans
 from textloom.llm.words import hashes, mix
 
-PORTION = 12 << 20
-FILTER_BITS = 28
+PORTION = 3 << 20
+FILTER_BITS = 27
 BUCKET_BYTES = 16 << 20
-MOST_HELD = 4_000_000
-RANKED = 100_000
+MOST_HELD = 1_000_000
+MOST_PHRASES = 400_000
+RANKED = 4_000
 
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = BLANK
@@ -109,7 +111,20 @@ class Tally:
         return len(self.h)
 
 
-PARTIAL = "bucket int, h binary, n binary"
+PARTIAL = "bucket int, once binary, h binary, n binary"
+
+
+def in_buckets(h: np.ndarray, n: np.ndarray, bucket_bits: int) -> tuple[list[int], list[list[bytes]]]:
+    """Sorted hashes and their counts by the first ``bucket_bits`` (1 to 31) bits: the buckets, and of each the next 32 bits of hashes that came once, of others, and their counts."""
+    cuts = np.searchsorted(h >> np.uint64(64 - bucket_bits), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+    full = [i for i in range(1 << bucket_bits) if cuts[i] < cuts[i + 1]]
+    near = (h << np.uint64(bucket_bits) >> np.uint64(32)).astype(np.uint32)
+    columns: list[list[bytes]] = [[], [], []]
+    for i in full:
+        own, many = near[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]] > 1
+        for c, x in zip(columns, (own[~many], own[many], n[cuts[i] : cuts[i + 1]][many]), strict=True):
+            c.append(x.tobytes())
+    return full, columns
 
 
 def lengths(df: DataFrame, size: int, filters: list, bucket_bits: int, portion: int) -> DataFrame:
@@ -120,12 +135,9 @@ def lengths(df: DataFrame, size: int, filters: list, bucket_bits: int, portion:
         own, bitmaps = Tally(), [np.frombuffer(f.value, np.uint8) for f in filters]
 
         def sent() -> pa.RecordBatch:
-            cuts = np.searchsorted(own.h >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(own.h), np.uint64), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
-            full = [i for i in range(1 << bucket_bits) if cuts[i] < cuts[i + 1]]
-            h = [own.h[cuts[i] : cuts[i + 1]].tobytes() for i in full]
-            n = [own.n[cuts[i] : cuts[i + 1]].tobytes() for i in full]
+            full, columns = in_buckets(own.h, own.n, bucket_bits)
             own.h, own.n = own.h[:0], own.n[:0]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], ["bucket", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "once", "h", "n"])
 
         for b, texts, again, _ in portions(batches, 1, KINDS, portion, size - 1):
             names, codes = lang_codes(b[0])
@@ -149,18 +161,18 @@ def frequent_bits(partial: DataFrame, least: int, bucket_bits: int, bits: int) -
 
         def stretch() -> pa.RecordBatch:
             own.settle()
-            frequent = own.h[own.n >= least] >> np.uint64(64 - bits)
             out = np.zeros(1 << (bits - bucket_bits), np.uint8)
-            out[(frequent & np.uint64((1 << (bits - bucket_bits)) - 1)).astype(np.int64)] = 1
+            out[(own.h[own.n >= least] >> np.uint64(32 - bits + bucket_bits)).astype(np.int64)] = 1
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
         for b in batches:
-            for k, h, n in zip(b[0].to_pylist(), b[1], b[2], strict=True):
+            for k, once, h, n in zip(b[0].to_pylist(), b[1], b[2], b[3], strict=True):
                 if k != bucket:
                     if bucket >= 0:
                         yield stretch()
                     bucket, own = k, Tally()
-                own.add(np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64))
+                own.add(np.frombuffer(once.as_buffer(), np.uint32).astype(np.uint64), np.ones(len(once.as_buffer()) // 4, np.int64))
+                own.add(np.frombuffer(h.as_buffer(), np.uint32).astype(np.uint64), np.frombuffer(n.as_buffer(), np.int64))
         if bucket >= 0:
             yield stretch()
 
@@ -174,32 +186,43 @@ def frequent_bits(partial: DataFrame, least: int, bucket_bits: int, bits: int) -
 
 
 COUNTED = "lang string, size int, phrase string, n long"
+PHRASE_KEYS = ["lang", "size", "phrase"]
 
 
-def counted(df: DataFrame, filters: list, portion: int) -> DataFrame:
-    """lang, size, phrase and n: the phrases of each size in the filters, as texts; and for each language a row of size 0 with the number of its words."""
+def counted(df: DataFrame, filters: list, portion: int, least_size: int = 1) -> DataFrame:
+    """lang, size, phrase and n: the phrases of each size from ``least_size`` on in the filters (the first is for single words), as texts; and for each language a row of size 0 with
+    the number of its words, where single words are counted."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps, most = [np.frombuffer(f.value, np.uint8) for f in filters], len(filters)
+        held: list[pa.RecordBatch] = []
         for b, texts, again, _ in portions(batches, 1, KINDS, portion, most - 1):
             names, codes = lang_codes(b[0])
             t = spans(texts, KINDS)
             word = word_hashes(t, names, codes)
             lang = codes[t.doc]
             total = np.bincount(lang[again:], minlength=len(names))
-            yield batch(names, np.arange(len(names)), 0, pa.nulls(len(names), pa.string()), total)
+            if least_size == 1:
+                held.append(batch(names, np.arange(len(names)), 0, pa.nulls(len(names), pa.string()), total))
             at, h = np.arange(len(word)), word
             texts_of = t.strings().dictionary_encode()
             code, table = texts_of.indices.to_numpy(zero_copy_only=False).astype(np.int64), texts_of.dictionary
             for k in range(1, most + 1):
                 own = among(h, bitmaps[k - 1])
                 at, h = at[own], h[own]
-                yield from distinct(at[at + k > again], k, lang, code, table, names)
+                if k >= least_size:
+                    held.append(distinct(at[at + k > again], k, lang, code, table, names))
                 if k < most:
                     at, h = extended(at, h, word, t.linked, k + 1)
-
-    def distinct(at: np.ndarray, k: int, lang: np.ndarray, code: np.ndarray, table: pa.Array, names: list[str]) -> Iterator[pa.RecordBatch]:
+            if sum(x.num_rows for x in held) > MOST_PHRASES:
+                held = pa.Table.from_batches(held).group_by(PHRASE_KEYS).aggregate([("n", "sum")]).rename_columns([*PHRASE_KEYS, "n"]).combine_chunks().to_batches()
+                if sum(x.num_rows for x in held) > MOST_PHRASES // 2:
+                    yield from held
+                    held = []
+        yield from held
+
+    def distinct(at: np.ndarray, k: int, lang: np.ndarray, code: np.ndarray, table: pa.Array, names: list[str]) -> pa.RecordBatch:
         """The phrases that begin at these positions, told apart by their words' numbers."""
         key = lang[at]
         for i in range(k):
@@ -208,11 +231,11 @@ def counted(df: DataFrame, filters: list, portion: int) -> DataFrame:
         at = at[first]
         words = [table.take(pa.array(code[at + i])).cast(pa.large_string()) for i in range(k)]
         phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
-        yield batch(names, lang[at], k, phrase.cast(pa.string()), n)
+        return batch(names, lang[at], k, phrase.cast(pa.string()), n)
 
     def batch(names: list[str], lang: np.ndarray, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         own = pa.array(names, pa.string()).take(pa.array(lang))
-        return pa.RecordBatch.from_arrays([own, pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n.astype(np.int64))], ["lang", "size", "phrase", "n"])
+        return pa.RecordBatch.from_arrays([own, pa.array(np.full(len(n), k, np.int32)), phrase, pa.array(n.astype(np.int64))], [*PHRASE_KEYS, "n"])
 
     return df.mapInArrow(run, COUNTED)
 
@@ -220,8 +243,8 @@ def counted(df: DataFrame, filters: list, portion: int) -> DataFrame:
 def frequent_phrases(
     df: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, bits: int = FILTER_BITS, bucket_bits: int | None = None, portion: int = PORTION
 ) -> DataFrame:
-    """lang, size, phrase and n of all phrases of 1 to ``longest`` words with ``least`` occurrences or more, and of each language a row of size 0 with its number
-    of words; a stored table."""
+    """lang, size, phrase and n of all phrases of 2 to ``longest`` words with ``least`` occurrences or more and of the words that they are made of (a few more words may come along),
+    and of each language a row of size 0 with its number of words; stored tables."""
     spark = df.sparkSession
     bounded_batches(spark)
     own = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -231,11 +254,27 @@ def frequent_phrases(
     filters = []
     for size in range(1, longest + 1):
         filters.append(spark.sparkContext.broadcast(frequent_bits(lengths(own, size, filters, bucket_bits, portion), least, bucket_bits, bits)))
-    found = counted(own, filters, portion).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(f"size = 0 or n >= {int(least)}")
-    out = stored(found, "phrases")
-    for f in filters:
+    summed = lambda c: c.groupBy(*PHRASE_KEYS).agg(F.sum("n").alias("n"))
+    out = stored(summed(counted(own, filters, portion, 2)).where(f"n >= {int(least)}"), "phrases")
+    parts_of = out.select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct()
+    words = spark.sparkContext.broadcast(frequent_bits(marked(parts_of, bucket_bits), 1, bucket_bits, bits))
+    single = stored(summed(counted(own, [words], portion)).where(f"size = 0 or n >= {int(least)}"), "words")
+    for f in (*filters, words):
         f.destroy()
-    return out
+    return out.unionByName(single)
+
+
+def marked(words: DataFrame, bucket_bits: int) -> DataFrame:
+    """Words (lang, word) as lists of length one, in the form of ``lengths``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, codes = lang_codes(b[0])
+            h, n = added_up(word_hashes(spans(b[1].cast(pa.large_binary()), KINDS), names, codes), np.ones(b.num_rows, np.int64))
+            full, columns = in_buckets(h, n, bucket_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]], ["bucket", "once", "h", "n"])
+
+    return words.mapInArrow(run, PARTIAL)
 
 
 def collocations(df: DataFrame, *, text: str = "text", lang: str = "lang", least: int = 10, longest: int = 3, top: int = 2000, share: int = 50, **sizes) -> DataFrame:
