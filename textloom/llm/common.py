@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -175,6 +175,19 @@ def among(df: DataFrame, ids: DataFrame, column: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, how)
 
 
+def first_ranked(df: DataFrame, by: list[str], order: list, item: str, top: int, rows: int, each: int = 8_000, fan: int = 16) -> DataFrame:
+    """The first ``top`` rows of each group, with their rank: in parts of about ``each`` of the ``rows`` (by a hash of ``item``), whose first rows meet in rounds of ``fan`` parts, so that a
+    task ranks ``fan * top`` rows of a group at most, however large it is."""
+    salt = fresh("salt", df.columns)
+    n = parts(rows, max(each, 2 * top))
+    own = df.withColumn(salt, F.pmod(F.xxhash64(item), F.lit(n).cast("long")))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*by, *keys).orderBy(*order))
+    while n > 1:
+        own = own.withColumn("rank", rank(salt)).where(f"rank <= {int(top)}").withColumn(salt, F.floor(F.col(salt) / fan))
+        n = -(-n // fan)
+    return own.drop(salt).withColumn("rank", rank()).where(f"rank <= {int(top)}")
+
+
 def bounds(*columns) -> list[int]:
     """Starts of the groups of equal neighbours in numpy arrays, and the number of rows at the end."""
     import numpy as np

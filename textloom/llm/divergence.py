@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, bounds, lean, parts, runs, stored
+from textloom.llm.common import bounded_batches, bounds, first_ranked, lean, parts, runs, stored
 from textloom.llm.spans import BREAK, portions, spans
 
 PORTION = 8 << 20
@@ -394,10 +394,8 @@ def divergence(
     n_kept = kept.count()
 
     order = [F.desc("value"), F.asc("item")]
-    salt = F.pmod(F.xxhash64("item"), F.lit(parts(n_kept, EACH)))
     over = kept.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(gap("p", "q")).alias("value"))
-    some = over.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "salt").orderBy(*order))).where(f"rank <= {int(top)}")
-    first = some.drop("salt").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).where(f"rank <= {int(top)}")
+    first = first_ranked(over, ["lang", "source"], order, "item", top, n_kept)
 
     levels = groups.where("v > 0").select("lang", F.col("p0").alias("z")).distinct()
     alone = kept.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("m")).join(levels, "lang")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, lean, parts, stored
+from textloom.llm.common import bounded_batches, first_ranked, lean, stored
 from textloom.llm.spans import BLANK, BREAK, Spans, portions, spans
 from textloom.llm.words import hashes, mix
 
@@ -37,7 +37,6 @@ FILTER_BITS = 27
 BUCKET_BYTES = 16 << 20
 MOST_HELD = 1_000_000
 MOST_PHRASES = 400_000
-RANKED = 4_000
 
 KINDS = np.zeros(256, np.uint8)
 KINDS[[0x20, 0x09]] = BLANK
@@ -301,8 +300,6 @@ def collocations(df: DataFrame, *, text: str = "text", lang: str = "lang", least
     left = best.join(longer, ["lang", "phrase"], "left").where(f"held is null or 100 * held < {int(share)} * a")
     left = stored(left.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(parts(left.count(), RANKED)))
-    some = left.withColumn("salt", salt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(f"rank <= {int(top)}")
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"rank <= {int(top)}")
+    ranked = first_ranked(left, ["lang"], order, "phrase", top, left.count())
     totals = found.where("size = 0").select("lang", F.col("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
