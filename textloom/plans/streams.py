@@ -15,7 +15,7 @@ ONE = ALIGNED.replace("doc_id // 500", "0").format(size=2048, length=WORD_COUNT)
 @query(ONE + "SELECT doc_id, chunk, CAST(sum(n) OVER (PARTITION BY chunk ORDER BY k) - n AS BIGINT) AS \"offset\" FROM f JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents) USING (k)")
 def next_fit_places(spark, sf_dir):
     """The chunk and the offset of each document of one stream, in blocks of 16 chunks' tokens."""
-    own = table(spark, sf_dir, "documents").select(F.lit(0).alias("stream"), "doc_id", F.size(F.split("text", " ")).alias("length"))
+    own = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(1)).alias("stream"), "doc_id", F.size(F.split("text", " ")).alias("length"))
     return next_fit.placed(own, "length", "stream", ["doc_id"], 2048, fill=16, fan=4).select("doc_id", "chunk", "offset")
 
 
@@ -24,7 +24,7 @@ def next_fit_places(spark, sf_dir):
     + ", g AS (SELECT chunk, count(*) AS n_seqs, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY chunk) SELECT chunk, n_seqs, 2048 - n AS n_pad, n AS n_tokens FROM g WHERE chunk < (SELECT max(chunk) FROM g) OR n = 2048"
 )
 def pack_aligned_stream(spark, sf_dir):
-    own = word_rows(spark, sf_dir).withColumn("stream", F.lit(0))
+    own = word_rows(spark, sf_dir).withColumn("stream", F.pmod("doc_id", F.lit(1)))
     out = next_fit.aligned_chunks(own, "t", "m", "stream", ["doc_id"], 2048)
     return out.select("chunk", "n_seqs", "n_pad", F.size(F.filter("tokens", lambda x: x >= 0)).cast("long").alias("all"), F.col("n_pad").alias("p")).select("chunk", "n_seqs", "n_pad", (F.col("all") - F.col("p")).alias("n_tokens"))
 
