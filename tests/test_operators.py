@@ -122,8 +122,8 @@ def test_arrays(spark):
 
 def test_running_sums_and_numbers(spark):
     rng = random.Random(2)
-    rows = [(rng.choice("ab"), rng.randrange(10**6), k, rng.randrange(9)) for k in range(3000)]
-    df = spark.createDataFrame(rows, "g string, o long, k long, v long").repartition(7)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(10**6), k, rng.randrange(9)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long, k long, v long").withColumns({"part": F.lit(1), "key": F.lit(2), "a.b": F.lit(3)}).repartition(7)
     got = {r.k: r.s for r in ordering.running_sum(df, ["o", "k"], F.col("v"), "s", ["g"]).collect()}
     total = defaultdict(int)
     for g, o, k, v in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -139,7 +139,7 @@ def test_order_of_any_type(spark):
     rows = [(rng.choice(["hot", "hot", "hot", f"é{rng.randrange(500)}", None]), k) for k in range(4000)]
     df = spark.createDataFrame(rows, "s string, k long").withColumns({"d": F.col("k").cast("decimal(20,2)") / 7, "t": F.timestamp_seconds(F.col("k") * 3600), "h": F.when(F.col("k") % 4 == 0, F.col("k")).otherwise(5), "z": F.when(F.col("k") % 9 > 0, F.col("k"))}).repartition(6)
     for order in (["s", "k"], ["d"], ["t"], ["h", "k"], ["z", "k"], ["h", "s", "k"]):
-        assert ordering.bucketed(df, order, []).select("__part").distinct().count() > 8, order
+        assert ordering.bucketed(df, order, "b").select("b").distinct().count() > 8, order
         got = [r.k for r in ordering.row_numbers(df, order, "n").orderBy("n").collect()]
         assert got == [r.k for r in df.orderBy(*order).collect()], order
     assert ordering.row_numbers(df.limit(0), ["s"], "n").count() == 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.numbers import LCG_M, lcg
+from textloom.functions.names import fresh, named
+from textloom.functions.numbers import LCG_M, MASK, hash32, lcg
 from textloom.operators.ordering import row_numbers
 
 
@@ -39,6 +40,22 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(lcg(F.col(key), seed), F.col(key)).limit(n)
 
 
+def sample_by(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows of each group (null is one), all of a smaller one: those with the lowest hash of the whole number ``key``, then the lowest key.
+
+    Rows are counted by group and power of two of the hash, at most 33 counts for each group, summed before they are shuffled. The least power under which a group has n rows is its
+    threshold, and only rows below it are ranked, about n to 2n of a group whatever its size. Counts are exact, so no group comes short. Rows that share a key share its hash; null keys are 0."""
+    hidden, level, group, most, place = (fresh(x, df.columns) for x in ("hash", "level", "group", "most", "place"))
+    own = df.withColumn(hidden, hash32((F.coalesce(named(key).cast("long"), F.lit(0)) + F.lit(seed)).bitwiseAND(F.lit(MASK))))
+    own = own.withColumn(level, F.length(F.bin(hidden))).withColumn(group, F.struct(named(by).alias("b")))
+    upward = Window.partitionBy(group).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(group, level).agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(upward), F.lit(0)))
+    bounds = counts.where(F.col("below") < n).groupBy(group).agg(F.max(level).alias(most))
+    low = own.join(bounds, group).where(F.col(level) <= F.col(most))
+    ranked = low.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(hidden, named(key))))
+    return ranked.where(F.col(place) <= n).select(*[named(c) for c in df.columns])
+
+
 def few_shot(items: DataFrame, idx: str, group: str, k: int, seed: int = 1234) -> DataFrame:
     """For each item k others of its group: idx, shot (from 0), other.
 

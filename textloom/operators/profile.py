@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.messages import n_turns, of_role, total_chars
 from textloom.functions.text import jaccard, simple_words
+from textloom.operators.quantiles import medians
 
 SWITCH = 0.05
 
@@ -55,10 +56,14 @@ def preference_stats(pairs: DataFrame) -> DataFrame:
     sides = {"chars": total_chars, "turns": n_turns}
     rows = F.array(*[F.struct(F.lit(k).alias("measure"), f(F.col("chosen")).alias("c"), f(F.col("rejected")).alias("r")) for k, f in sides.items()])
     own = pairs.select(F.inline(rows)).withColumn("d", F.col("c") - F.col("r"))
-    return own.groupBy("measure").agg(
-        F.count("*").alias("n"), F.avg("c").alias("chosen_mean"), F.median("c").alias("chosen_median"), F.avg("r").alias("rejected_mean"), F.median("r").alias("rejected_median"),
-        F.avg("d").alias("diff_mean"), F.median("d").alias("diff_median"), F.min("d").alias("diff_min"), F.max("d").alias("diff_max"),
+    sums = own.groupBy("measure").agg(
+        F.count("*").alias("n"), F.avg("c").alias("chosen_mean"), F.avg("r").alias("rejected_mean"),
+        F.avg("d").alias("diff_mean"), F.min("d").alias("diff_min"), F.max("d").alias("diff_max"),
     )
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for n, c in (("chosen_median", "c"), ("rejected_median", "r"), ("diff_median", "d"))])
+    middle = medians(own.select("measure", F.inline(names)), "v", ["measure", "name"])
+    wide = middle.groupBy("measure").agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in ("chosen_median", "rejected_median", "diff_median")])
+    return sums.join(wide, "measure", "left")
 
 
 def world_knowledge(df: DataFrame, f1: Column, same: Column) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import formats, numbers, text
 from textloom.functions.numbers import LCG_M, MASK, hash32_sql, lcg_sql
-from textloom.operators import evals, mixing, packing, preference, rewards, splits, tokens
+from textloom.operators import evals, mixing, packing, preference, quantiles, rewards, splits, tokens
 from textloom.plans.conversations import ALIGNED, LENGTHS, PAIRS, SHOWN, WORD_COUNT, lengths, pairs, shown, word_rows
 from textloom.plans.registry import CHATS, chats, query, table
 from textloom.plans.sources import WEIGHTS, sharded
@@ -138,7 +138,14 @@ def rank_mean(spark, sf_dir):
 
 @query("SELECT source, CAST(median(n_chars) AS DOUBLE) AS median, count(*) AS n FROM documents GROUP BY source")
 def order_median(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.median("n_chars").alias("median"), F.count("*").alias("n"))
+    own = table(spark, sf_dir, "documents").select("source", "n_chars")
+    return quantiles.medians(own, "n_chars", ["source"]).join(own.groupBy("source").agg(F.count("*").alias("n")), "source")
+
+
+@query("SELECT l_returnflag, CAST(median(l_extendedprice::DOUBLE) AS DOUBLE) AS median FROM lineitem GROUP BY l_returnflag")
+def median_prices(spark, sf_dir):
+    """Middle values of columns with almost as many values as rows."""
+    return quantiles.medians(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textloom.functions.numbers import LCG_M, lcg, lcg_sql
+from textloom.functions.numbers import LCG_M, hash32_sql, lcg, lcg_sql
 from textloom.operators import mixing, splits
 from textloom.plans.registry import CHATS, chats, query, table
 from textloom.sources import readers, writers
@@ -107,6 +107,12 @@ def sample_n(spark, sf_dir):
     return mixing.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 50)
 
 
+@query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {hash32_sql('((doc_id + 42) & 4294967295)')}, doc_id) AS r FROM documents) WHERE r <= 20")
+def sample_each(spark, sf_dir):
+    """Twenty documents of each source."""
+    return mixing.sample_by(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 20)
+
+
 @query(f"WITH {CHATS} SELECT conv_id, source, (row_number() OVER (ORDER BY {lcg_sql('conv_id', 42)}, conv_id) - 1) // 20 AS shard FROM c")
 def build_conversations(spark, sf_dir):
     own = chats(spark, sf_dir)
