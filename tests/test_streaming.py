@@ -1,9 +1,14 @@
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
 from textloom.operators import packing
 from textloom.operators.tokens import PAD
 from textloom.streaming import mixing as smixing
 from textloom.streaming import packing as spacking
+from textloom.streaming import sinks
 
 
 def test_streams_give_the_chunks_of_the_batch(spark, tmp_path):
@@ -22,8 +27,6 @@ def test_streams_give_the_chunks_of_the_batch(spark, tmp_path):
         if name == "linear":
             want = packing.linear_chunks(whole, "tokens", ["order"], 12, ["stream"])
         else:
-            from pyspark.sql import functions as F
-
             want = packing.aligned_chunks(whole.withColumn("m", F.transform("tokens", lambda t: F.lit(1))), "tokens", "m", "stream", ["order"], 12)
         assert got == sorted((r.stream, r.chunk, list(r.tokens)) for r in want.collect())
         assert name == "linear" or any(PAD in t for *_, t in got)
@@ -44,3 +47,40 @@ def test_mixing_stream(spark, tmp_path):
     first = [r for r in out if r.draw < 400]
     assert len(first) == 400 and {r.text[0] == r.source for r in first} == {True}
     assert 0.65 < sum(r.source == "a" for r in first) / 400 < 0.85
+
+
+@pytest.mark.parametrize("name", ["linear", "aligned"])
+def test_a_killed_stream_writes_each_chunk_once(spark, tmp_path, name):
+    """Files in no order, one of them twice; the query dies after a batch is written and before it is committed, twice, and goes on from its checkpoint."""
+    rng = random.Random(8)
+    rows = [("ab"[i % 2], i // 2, [rng.randrange(100) for _ in range(rng.choice([0, 1, 5, 9, 30]))]) for i in range(80)] + [("c", 0, None), ("c", 1, [7] * 40)]
+    schema = "stream string, order long, tokens array<int>"
+    parts = [rows[k : k + 14] for k in range(0, len(rows), 14)]
+    rng.shuffle(parts)
+    for k, part in enumerate([*parts, parts[2]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    fn = {"linear": spacking.linear_stream, "aligned": spacking.aligned_stream}[name]
+    sink = sinks.into_folders(f"{tmp_path}/out")
+    died = []
+
+    def dying(batch, number):
+        sink(batch, number)
+        if number in (1, 4) and number not in died:
+            died.append(number)
+            raise RuntimeError("killed")
+
+    for _ in range(3):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        q = fn(source, 12, numbered=True).writeStream.foreachBatch(dying).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            pass
+    assert died == [1, 4]
+    got = sorted((r.stream, r.chunk, list(r.tokens)) for r in sinks.finished(spark, f"{tmp_path}/out").collect())
+    whole = spark.createDataFrame(rows, schema)
+    if name == "linear":
+        want = packing.linear_chunks(whole, "tokens", ["order"], 12, ["stream"])
+    else:
+        want = packing.aligned_chunks(whole.where("size(tokens) > 0").withColumn("m", F.transform("tokens", lambda t: F.lit(1))), "tokens", "m", "stream", ["order"], 12)
+    assert got == sorted((r.stream, r.chunk, list(r.tokens)) for r in want.collect())

@@ -1,13 +1,17 @@
 """Streaming packing: state for each stream (shard) is the residual of linear packing or the buffer of aligned packing.
 
-There is no event time. Rows of a stream are taken in the order of their ``order`` column within a micro-batch, and a source with ordered
-files gives the batches in order. The state is bounded by a chunk (and the row that fills it), whatever the stream's length.
+There is no event time. Rows of a stream are taken in the order of their ``order`` column within a micro-batch, and a source with ordered files gives the batches in order. Where files may come in
+any order, ``numbered=True`` says that ``order`` counts each stream's rows from 0 without gaps: rows that come early wait in the state, rows that came before are left out, so the chunks are those
+of the batch operator whatever the order of arrival, and a file that is delivered twice counts once. The state is a chunk (and the row that fills it), the next number, and the rows that wait.
+
+With a checkpoint and ``sinks.into_folders`` a query that is killed at any moment and started again writes each chunk once. Null tokens are none; streams without tokens give no chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,48 +19,76 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from textloom.operators.tokens import PAD
 
 CHUNKS = "stream string, chunk long, tokens array<int>, n_pad long"
-STATE = "buffer array<int>, chunk long"
+#: tokens of the open chunk, number of the next chunk and the next row, and the rows that wait: numbers, lengths, tokens
+STATE = "buffer binary, chunk long, next long, early_rows array<bigint>, early_sizes array<int>, early binary"
+_NONE = np.empty(0, np.int32)
 
 
-def linear_stream(df: DataFrame, size: int) -> DataFrame:
+def linear_stream(df: DataFrame, size: int, numbered: bool = False) -> DataFrame:
     """Chunks of the concatenated tokens of each stream. ``df``: stream string, order long, tokens array<int>."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, chunk = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = []
-        for tokens in ordered(frames):
-            buffer += tokens
-            while len(buffer) >= size:
-                rows.append((key[0], chunk, buffer[:size], 0))
-                buffer, chunk = buffer[size:], chunk + 1
-        state.update((buffer, chunk))
-        yield pd.DataFrame(rows, columns=["stream", "chunk", "tokens", "n_pad"])
+    def chunks(buffer: np.ndarray, rows: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+        whole = np.concatenate([buffer, *rows])
+        full = len(whole) // size * size
+        return [(c, 0) for c in whole[:full].reshape(-1, size)], whole[full:]
 
-    return df.groupBy("stream").applyInPandasWithState(step, CHUNKS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return _packed(df, chunks, numbered)
 
 
-def aligned_stream(df: DataFrame, size: int) -> DataFrame:
+def aligned_stream(df: DataFrame, size: int, numbered: bool = False) -> DataFrame:
     """Next-fit chunks of whole sequences of each stream."""
 
+    def chunks(buffer: np.ndarray, rows: list[np.ndarray]) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+        out, held, used = [], [buffer], len(buffer)
+        for tokens in (t[:size] for t in rows):
+            if used and used + len(tokens) > size:
+                out.append((np.concatenate([*held, np.full(size - used, PAD, np.int32)]), size - used))
+                held, used = [], 0
+            held.append(tokens)
+            used += len(tokens)
+            if used == size:
+                out.append((np.concatenate(held), 0))
+                held, used = [], 0
+        return out, np.concatenate([_NONE, *held])
+
+    return _packed(df, chunks, numbered)
+
+
+def _packed(df: DataFrame, chunks, numbered: bool) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, chunk = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = []
-        for tokens in ordered(frames):
-            tokens = tokens[:size]
-            if buffer and len(buffer) + len(tokens) > size:
-                rows.append((key[0], chunk, buffer + [PAD] * (size - len(buffer)), size - len(buffer)))
-                buffer, chunk = [], chunk + 1
-            buffer = buffer + tokens
-            if len(buffer) == size:
-                rows.append((key[0], chunk, buffer, 0))
-                buffer, chunk = [], chunk + 1
-        state.update((buffer, chunk))
-        yield pd.DataFrame(rows, columns=["stream", "chunk", "tokens", "n_pad"])
+        buffer, chunk, number, *waiting = state.get if state.exists else (b"", 0, 0, [], [], b"")
+        rows = sorted([*_rows(*waiting), *_arrived(frames)], key=lambda r: r[0])
+        early = []
+        if numbered:
+            rows, early, number = _in_turn(rows, number)
+        out, rest = chunks(np.frombuffer(buffer, np.int32), [t for _, t in rows])
+        kept = np.concatenate([_NONE, *[t for _, t in early]]).tobytes()
+        state.update((rest.astype(np.int32).tobytes(), chunk + len(out), number, [n for n, _ in early], [len(t) for _, t in early], kept))
+        yield pd.DataFrame([(key[0], chunk + i, tokens, pad) for i, (tokens, pad) in enumerate(out)], columns=["stream", "chunk", "tokens", "n_pad"])
 
     return df.groupBy("stream").applyInPandasWithState(step, CHUNKS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def ordered(frames: Iterator[pd.DataFrame]) -> Iterator[list[int]]:
-    """Token lists of a micro-batch in order."""
-    rows = [(int(o), [int(x) for x in t]) for f in frames for o, t in zip(f["order"], f["tokens"], strict=True)]
-    return (t for _, t in sorted(rows, key=lambda r: r[0]))
+def _arrived(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+    for f in frames:
+        for n, tokens in zip(f["order"], f["tokens"], strict=True):
+            yield int(n), _NONE if tokens is None else np.asarray(tokens, np.int32)
+
+
+def _rows(numbers: list[int], sizes: list[int], tokens: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows that wait in the state."""
+    ends = np.cumsum(np.asarray(sizes, np.int64))
+    for n, size, end in zip(numbers, sizes, ends, strict=True):
+        yield int(n), np.frombuffer(tokens, np.int32)[end - size : end]
+
+
+def _in_turn(rows: list[tuple[int, np.ndarray]], number: int) -> tuple[list, list, int]:
+    """Of sorted rows those whose turn it is, those that come early, and the number that is next; a number counts once."""
+    now, early = [], []
+    for row in rows:
+        if row[0] == number:
+            now.append(row)
+            number += 1
+        elif row[0] > number and not (early and early[-1][0] == row[0]):
+            early.append(row)
+    return now, early, number
