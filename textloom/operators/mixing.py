@@ -43,16 +43,17 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def sample_by(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each group (null is one), all of a smaller one: those with the lowest hash of the whole number ``key``, then the lowest key.
 
-    Rows are counted by group and power of two of the hash, at most 33 counts for each group, summed before they are shuffled. The least power under which a group has n rows is its
-    threshold, and only rows below it are ranked, about n to 2n of a group whatever its size. Counts are exact, so no group comes short. Rows that share a key share its hash; null keys are 0."""
-    hidden, level, group, most, place = (fresh(x, df.columns) for x in ("hash", "level", "group", "most", "place"))
+    Rows are counted by group and cell of the hash (its length in bits and the four bits after the first, at most 500 cells), summed before they are shuffled. The cells that begin below a
+    group's n-th row hold n rows and few more, whatever the group's size, and only their rows are ranked. Counts are exact, so no group comes short. Rows meet the cells by group and cell, so a
+    group is dealt to many tasks. Rows that share a key share its hash; null keys hash as 0 and come first."""
+    hidden, cell, group, place = (fresh(x, df.columns) for x in ("hash", "cell", "group", "place"))
     own = df.withColumn(hidden, hash32((F.coalesce(named(key).cast("long"), F.lit(0)) + F.lit(seed)).bitwiseAND(F.lit(MASK))))
-    own = own.withColumn(level, F.length(F.bin(hidden))).withColumn(group, F.struct(named(by).alias("b")))
-    upward = Window.partitionBy(group).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    counts = own.groupBy(group, level).agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(upward), F.lit(0)))
-    bounds = counts.where(F.col("below") < n).groupBy(group).agg(F.max(level).alias(most))
-    low = own.join(bounds, group).where(F.col(level) <= F.col(most))
-    ranked = low.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(hidden, named(key))))
+    low = F.greatest(F.length(F.bin(hidden)) - 5, F.lit(0))
+    own = own.withColumn(cell, low * 16 + F.call_function("shiftright", F.col(hidden), low)).withColumn(group, F.struct(named(by).alias("b")))
+    upward = Window.partitionBy(group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(group, cell).agg(F.count("*").alias("c")).withColumn("below", F.coalesce(F.sum("c").over(upward), F.lit(0)))
+    few = own.join(counts.where(F.col("below") < n).select(group, cell), [group, cell], "left_semi")
+    ranked = few.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(hidden, named(key))))
     return ranked.where(F.col(place) <= n).select(*[named(c) for c in df.columns])
 
 
