@@ -82,6 +82,16 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def mapped(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name: the columns have numbers on the way, since a dot in a name would be read as a field of a struct."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, schema)
+
+
 def trim() -> None:
     """Gives memory that this worker has freed back to the machine; the next stage's work may be another worker's."""
     pa.default_memory_pool().release_unused()
