@@ -65,3 +65,31 @@ def test_columns_with_inner_names(spark):
         own = df.toDF("doc_id", "text", *names)
         got = line_dedup.apply_bitmaps(own, line_dedup.keep_bitmaps(own)).collect()
         assert sorted((r.doc_id, r[names[0]], r[names[1]], r[names[2]], r.text) for r in got) == [(k, k, "m", "d", (line + "\nown") if k == 5 else "own") for k in range(6)]
+
+
+def test_many_hot_lines(spark, monkeypatch):
+    """One line has 5 % of all rows and 400 have 0.2 % each: none is left to one task's stream, and beyond the bound of the broadcast they are joined."""
+    rng = random.Random(8)
+    hot, many = "the one hot line", [f"one of the many hot lines {k}" for k in range(400)]
+    lines = [hot] * 2000 + many * 80 + [f"a rare line {k}" for k in range(6000)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 50 : i * 50 + 50])) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(line_dedup, "HEAVY", 20)
+    monkeypatch.setattr(line_dedup, "LEAST_HEAVY", 10)
+    monkeypatch.setattr(line_dedup, "MOST_LIGHT", 60)
+    kept = line_dedup.stored
+    for broadcast in (500_000, 10):
+        sizes = {}
+        monkeypatch.setattr(line_dedup, "MOST_BROADCAST", broadcast)
+        monkeypatch.setattr(line_dedup, "stored", lambda x, name, sizes=sizes: sizes.setdefault(name, kept(x, name)))
+        got = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, min_chars=5))
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == brute(rows, 5, 5)
+        assert sizes["often"].count() == 401
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(i, "a line that is long enough to count as one here", "v") for i in range(6)], "doc_id long, text string, `a.b` string")
+    cut = line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df))
+    assert cut.columns == ["doc_id", "text", "a.b", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r["a.b"], r.n_dropped) for r in cut.collect()) == [(i, "v", int(i < 5)) for i in range(6)]

@@ -4,9 +4,9 @@ Each line long enough becomes a 128-bit hash of its key with its document and po
 are dealt by range, a document's positions of a hash become one row, and the rows are sorted within a partition by hash and document, and streamed: along a hash, the first document in that order
 (the largest doc_id) keeps its lines, and the later ones lose theirs once the stream has seen, or sees in the next few rows,
 ``min_docs`` documents. A row looks at no more than ``min_docs`` neighbours, so nothing is held for a hash however common it is.
-The few hashes that hold more than one in ``HEAVY`` of all rows (there can't be more than ``HEAVY`` of them) would still
-be one task's work; counts with partial sums find those, and their rows are decided where they lie, by a broadcast of their
-largest doc_id.
+The hashes that hold more than one in ``HEAVY`` of all rows, or more than ``MOST_LIGHT`` rows whatever the table's size, would still
+be one task's work; counts with partial sums find those (there can't be more than rows / bound), and their rows are decided where
+they lie, by a broadcast of their largest doc_id. Beyond ``MOST_BROADCAST`` such hashes, which takes 10**12 lines, they are joined.
 
 The result is a keep bitmap for each document that loses lines: 64 positions to a number, compressed by leaving out the numbers that are all ones.
 ``apply_bitmaps`` cuts the texts by it; texts of the documents without one stay where they are, unless the ids of the others are too many to broadcast.
@@ -27,6 +27,7 @@ MIN_DOCS = 5
 HEAVY = 1000
 LEAST_HEAVY = 1000
 ROWS_EACH = 2_000_000
+MOST_LIGHT = ROWS_EACH  # rows of a key in one task's stream, however large the table is
 MOST_BROADCAST = 500_000
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,18 +58,20 @@ def keep_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     )
     seen = stored(seen, "lines")
     rows = seen.count()
-    often = seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).where((F.col("n") > rows // HEAVY) & (F.col("n") > LEAST_HEAVY))
-    often = stored(often.select("h1", "h2"), "often")  # fewer than HEAVY rows
+    bound = max(LEAST_HEAVY, min(rows // HEAVY, MOST_LIGHT))
+    often = seen.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > bound)
+    often = stored(often.select("h1", "h2"), "often")  # fewer than rows / bound
+    small = F.broadcast if rows // bound <= MOST_BROADCAST else (lambda df: df)
     heavy = (
-        seen.join(F.broadcast(often), ["h1", "h2"]).select("h1", "h2", "doc_id").distinct()
+        seen.join(small(often), ["h1", "h2"]).select("h1", "h2", "doc_id").distinct()
         .groupBy("h1", "h2").agg(F.max("doc_id").alias("last"), F.count("*").alias("docs"))
         .select("h1", "h2", F.when(F.col("docs") >= min_docs, F.col("last")).alias("last"))
     )
     heavy = stored(heavy, "heavy")
-    heavy_drops = seen.join(F.broadcast(heavy), ["h1", "h2"]).where("doc_id != last").select("doc_id", "row_mark", "pos")
+    heavy_drops = seen.join(small(heavy), ["h1", "h2"]).where("doc_id != last").select("doc_id", "row_mark", "pos")
     order = Window.partitionBy("h1", "h2").orderBy(F.desc("doc_id"))
     light = (
-        seen.join(F.broadcast(heavy), ["h1", "h2"], "left_anti")
+        seen.join(small(heavy), ["h1", "h2"], "left_anti")
         .repartitionByRange(parts(rows, ROWS_EACH, int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h1", "h2")
         .groupBy("h1", "h2", "doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("row_mark", "pos"))).alias("at"))
@@ -94,7 +97,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     t = F.col(f"`{text}`").cast("string")
     ids = stored(b.select(F.col(id_).alias(doc_id)).distinct(), "ids")
     few = ids.count() <= MOST_BROADCAST
-    cut_docs = docs.join(F.broadcast(ids), doc_id, "left_semi").select(docs.columns) if few else docs
+    cut_docs = docs.join(F.broadcast(ids), doc_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]) if few else docs
     joined = cut_docs.join(b, (F.col(f"`{doc_id}`") == F.col(id_)) & (row_mark(F.col(f"`{doc_id}`"), t) == F.col(mark)), "left")
     cut = F.expr(f"array_join(filter(split(coalesce(cast(`{text}` as string), ''), '\\n', -1), (x, i) -> (shiftright(coalesce(try_element_at({keeps}, cast(i div 64 as int)), -1L), cast(i % 64 as int)) & 1L) = 1L), '\\n')")
     n_dropped = F.when(F.col(keeps).isNull(), F.lit(0).cast("long")).otherwise(F.expr(f"aggregate(map_values({keeps}), 0L, (a, x) -> a + 64 - bit_count(x))"))
