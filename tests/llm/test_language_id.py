@@ -67,3 +67,9 @@ def test_many_labels(spark):
     assert len(labels) == 300 and p.dtype == np.float32 and np.allclose(p.sum(1), 1, atol=1e-4)
     with pytest.raises(ValueError):
         L.learn(df, most_labels=299)
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(*r, 3) for r in rows(60)], "doc_id long, text string, lang string, `a.b` int")
+    got = L.predict(df, L.learn(df)).collect()
+    assert len(got) == 60 and {r["a.b"] for r in got} == {3}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches, fresh, lean
+from textloom.llm.common import bounded_batches, fresh, lean, mapped
 from textloom.llm.token_counts import slices
 
 BITS = 14
@@ -171,4 +171,4 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *, text: str = "
             made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score), "lang_shares": pa.array(maps, pa.map_(pa.string(), pa.float64()))}
             yield pa.RecordBatch.from_arrays([*[b[c] for c in columns], *made.values()], [*columns, *made])
 
-    return own.mapInArrow(run, T.StructType([*[df.schema[c] for c in columns], *new]))
+    return mapped(own, run, T.StructType([*[df.schema[c] for c in columns], *new]))
