@@ -71,7 +71,7 @@ def test_tables_of_large_blocks_are_small(spark):
             tracemalloc.reset_peak()
             tables = Tables(block, 10)
             kept, peak = tracemalloc.get_traced_memory()
-            assert kept - before < 15 * n and peak - before < 30 * n
+            assert kept - before < 15 * n and peak - before < 30 * n + (32 << 20)  # the table of powers has a fixed size
             count, hits, items = scan(docs, tables)
             if items[0].as_py():
                 found += 1
