@@ -23,6 +23,8 @@ def test_counts_are_those_of_the_library(spark):
             n = len(whole.encode(t or ""))
             assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100), (t, slice_bytes)
     assert token_counts.token_counts(df.limit(0), file).count() == 0
+    dotted = token_counts.token_counts(df.withColumnRenamed("n_bytes", "a.b"), file)
+    assert dotted.columns == ["doc_id", "a.b", "n_bytes", "n_tokens", "over_limit"] and {r["a.b"] for r in dotted.collect()} == {7}
 
 
 WORDS = [None, "", "Hello wörld's  12a!\n<|endoftext|> a<|startoftext|>b", "İ ẞ Σας", "áb ́c", "x " * 5000, "\x1c a\x1cb  c", "one two"]

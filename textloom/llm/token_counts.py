@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import bounded_batches, lean
+from textloom.llm.common import bounded_batches, gathered, lean, mapped
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 SEEN_UNITS = 300_000
 UNIT = re.compile(" +[^ ]*")
 
@@ -129,7 +129,7 @@ def count_texts(texts: pa.Array, model_file: str, slice_bytes: int = SLICE_BYTES
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.zeros(len(texts), np.int64)
     for at, to in slices(sizes, slice_bytes):
-        if own.splits and to == at + 1 and sizes[at] > 2 * slice_bytes:
+        if own.splits and to == at + 1 and sizes[at] > slice_bytes:
             for part in long_parts(texts[at].as_py(), slice_bytes):
                 out[at] += int(own.lengths(pa.array([part], pa.large_string()))[0])
         else:
@@ -155,10 +155,10 @@ def token_counts(
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches, slice_bytes):  # equal units of more texts are encoded once
             sizes, tokens = count_texts(b[text], model_file, slice_bytes)
             yield pa.RecordBatch.from_arrays(
                 [*[b[c] for c in names], pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], [*names, *new]
             )
 
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(run, schema)
+    return mapped(df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(text)), run, schema)
