@@ -10,7 +10,6 @@ from textloom.plans.registry import query, table
 from textloom.sources import readers, rowgroups
 from textloom.sources.scratch import put, scratch
 from textloom.streaming import packing as packed
-from textloom.streaming import sinks
 
 #: All documents as one stream.
 ONE = ALIGNED.replace("doc_id // 500", "0").format(size=2048, length=WORD_COUNT)
@@ -49,11 +48,12 @@ def sim_pack_stream(spark, sf_dir):
   SELECT stream, r // 2048 AS chunk, CAST(sum(t * (r % 2048 + 1)) AS BIGINT) AS weighted FROM g GROUP BY 1, 2 HAVING count(*) = 2048"""
 )
 def stream_restarted(spark, sf_dir):
-    """Documents' tokens arrive in eight files; the query dies after its third batch is written, before it is committed, and is started again."""
+    """Documents' tokens arrive in eight batches of files; the query dies after its third batch is written, before it is committed, and is started again."""
     path = scratch(spark, "stream")
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)  # of a batch
     own = row_numbers(table(spark, sf_dir, "documents").select("doc_id", "source", lengths().alias("tokens")), ["doc_id"], "order", ["source"])
-    own.select(F.col("source").alias("stream"), "order", "tokens").repartitionByRange(8, "order").write.parquet(f"{path}/in")
-    sink = sinks.into_folders(f"{path}/out")
+    own.select(F.col("source").alias("stream"), "order", "tokens").repartitionByRange(8 * files, "order").write.parquet(f"{path}/in")
+    sink = packed.linear_sink(f"{path}/out", 2048)
 
     def dying(batch, number):
         sink(batch, number)
@@ -61,15 +61,15 @@ def stream_restarted(spark, sf_dir):
             raise InterruptedError("the query is killed")
 
     for step in (dying, sink):
-        source = spark.readStream.schema("stream string, order long, tokens array<int>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        run = packed.linear_stream(source, 2048, numbered=True).writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+        source = spark.readStream.schema("stream string, order long, tokens array<int>").option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+        run = source.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
         try:
             run.awaitTermination()
         except StreamingQueryException as e:
             if "the query is killed" not in str(e):
                 raise
     each = F.transform("tokens", lambda t, i: t.cast("long") * (i + 1))
-    return sinks.finished(spark, f"{path}/out").select("stream", "chunk", F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
+    return packed.linear_sunk(spark, f"{path}/out").select("stream", "chunk", F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
 
 
 GROUPS = "WITH g AS (SELECT doc_id, source, n // 200 AS file, n % 200 // 50 AS row_group, n % 200 AS row FROM (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents)) "

@@ -25,3 +25,9 @@ def put(spark: SparkSession, path: str, data: str | bytes) -> None:
     out = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own)
     out.write(bytearray(data.encode() if isinstance(data, str) else data))
     out.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a file or a folder, if it is there."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
